@@ -37,3 +37,22 @@ def cut(df: DataFrame) -> DataFrame:
 def whole_text(column: str = "text") -> F.Column:
     """Null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def spool(df: DataFrame) -> DataFrame:
+    """As cut(), but compressed by column: rows go to a Parquet table in the shared checkpoint folder."""
+    import uuid
+
+    prepare(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/spool-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; it learns of them
+    when the driver collects its garbage, which may be long after a spool() has made them useless."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
