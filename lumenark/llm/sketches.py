@@ -38,7 +38,7 @@ def with_sketch(df: DataFrame, text: str, name: str, scale: int = SCALE) -> Data
         .withColumn(hashes, F.expr(f"IF({words}[0] = '', cast(array() AS array<bigint>), transform(sequence(0, greatest(size({words}) - {SHINGLE}, 0)), i -> xxhash64({shingle})))"))
         .drop(words)
         .withColumn(words, F.expr(f"filter({hashes}, h -> h < {_least_kept(scale)}L)"))
-        .withColumn(name, F.expr(f"IF(size({words}) = 0 AND size({hashes}) > 0, array(array_min({hashes})), array_sort(array_distinct({words})))"))
+        .withColumn(name, F.expr(f"IF(size({words}) = 0 AND size({hashes}) > 0, array(array_min({hashes})), sort_array(array_distinct({words})))"))
         .drop(words, hashes)
     )
 
@@ -61,7 +61,7 @@ def containment(a: str, b: str) -> Column:
 
 def merged(a: str, b: str) -> Column:
     """The sketch of two texts together, from theirs (both with hashes below the threshold)."""
-    return F.expr(f"array_sort(array_union({a}, {b}))")
+    return F.expr(f"sort_array(array_union({a}, {b}))")
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
@@ -92,20 +92,24 @@ def fingerprints(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     repeats, the next document is the row with the least text.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    known = with_sketch(texts, "text", "sketch", scale)
+    # Both joins read one shuffle of these by doc_id; sketches are made beyond it, or they would move with the texts.
+    placed = texts.filter("doc_id IS NOT NULL")
     following = next_ids(texts)
-    asked = texts.select("doc_id", F.expr("cast(floor(length(text) / 4) AS int)").alias("need")).filter("need > 0 OR doc_id IS NOT NULL")
-    counts = asked.filter("doc_id IS NOT NULL").agg(F.count("*"), F.count_distinct("doc_id")).first()
+    asked = texts.filter("doc_id IS NOT NULL").select("doc_id", F.expr("cast(floor(length(text) / 4) AS int)").alias("need"))
+    counts = asked.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if counts[0] != counts[1]:
         asked = asked.groupBy("doc_id").agg(F.max("need").alias("need"))
-    asked = asked.join(following, "doc_id")
-    source = known.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"))
-    heads = asked.hint("merge").join(source, "next_id").select(F.col("doc_id").alias("for_id"), F.expr("substring(next_text, 1, need)").alias("head"), "next_sketch")
+    asked = asked.join(following, "doc_id").withColumnRenamed("doc_id", "for_id")
+    # Renamed here, the shuffle of the other side (which renames, too) is the same to Spark and is used again.
+    sources = placed.select(F.col("doc_id").alias("source_id"), "text")
+    following = asked.hint("merge").join(sources, F.col("next_id") == F.col("source_id"))
+    heads = with_sketch(following, "text", "next_sketch", scale).select("for_id", F.expr("substring(text, 1, need)").alias("head"), "next_sketch")
     if counts[0] != counts[1]:
         heads = heads.groupBy("for_id").agg(F.min(F.struct("head", "next_sketch")).alias("h")).select("for_id", "h.*")
-    edited = known.hint("merge").join(heads, F.col("doc_id") == F.col("for_id"), "left").withColumn("n_chars", F.expr("cast(length(text) AS bigint)"))
+    edited = placed.hint("merge").join(heads, F.col("doc_id") == F.col("for_id"), "left").drop("for_id")
+    edited = edited.unionByName(texts.filter("doc_id IS NULL"), allowMissingColumns=True).withColumn("n_chars", F.expr("cast(length(text) AS bigint)"))
     edited = edited.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 4) AS int)), substring(coalesce(head, ''), 1, cast(floor(n_chars / 4) AS int)))"))
-    both = with_sketch(edited, "edited", "edited_sketch", scale)
+    both = with_sketch(with_sketch(edited, "text", "sketch", scale), "edited", "edited_sketch", scale)
     none = F.lit(0.0)
     return both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_string("sketch").alias("fingerprint"), as_string("edited_sketch").alias("edited_fingerprint"),
