@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenark.llm import exact_dedup, html_text, mixing, packing, quality, secrets, simhash, sketches, substrings
+from lumenark.llm import exact_dedup, html_text, mixing, packing, pitman_yor, quality, secrets, simhash, sketches, substrings
 from lumenark.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_secret_scan": op5_secret_scan,
+        "op6_pitman_yor": op6_pitman_yor,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_quality_classifier": op9_quality_classifier,
