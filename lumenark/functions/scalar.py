@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 from operator import or_
 
@@ -21,6 +21,11 @@ def low(c: Column | str) -> Column:
     return F.lower(text(c))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often, and in whatever lambda, it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def contains_any(c: Column, parts: Iterable[str]) -> Column:
     return reduce(or_, (c.contains(p) for p in parts))
 
@@ -137,8 +142,11 @@ def slug(name: Column | str) -> Column:
 
 def title_case(name: Column) -> Column:
     """Upper case after anything but a letter, lower case after a letter."""
-    letters = F.split(name, "")
-    return F.array_join(F.transform(letters, lambda c, i: F.when((i == 0) | ~F.get(letters, i - 1).rlike(r"\p{L}"), F.upper(c)).otherwise(F.lower(c))), "")
+
+    def cased(letters: Column) -> Column:
+        return F.transform(letters, lambda c, i: F.when((i == 0) | ~F.get(letters, i - 1).rlike(r"\p{L}"), F.upper(c)).otherwise(F.lower(c)))
+
+    return F.array_join(let(F.split(name, ""), cased), "")
 
 
 def _trip_name(folder: Column | str) -> Column:
@@ -180,7 +188,7 @@ def nearest_place(lat: Column | str, lon: Column | str) -> Column:
     lat, lon = ((F.col(c) if isinstance(c, str) else c).try_cast("double") for c in (lat, lon))
     places = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(a).alias("lat"), F.lit(o).alias("lon")) for n, a, o in R.PLACES))
     found = F.array_min(F.transform(places, lambda p, i: F.struct(haversine_km(lat, lon, p["lat"], p["lon"]).alias("km"), i.alias("i"), p["name"].alias("name"))))
-    return F.when((lat.isNotNull() & lon.isNotNull() & ~((lat == 0) & (lon == 0))) & (found["km"] < R.PLACE_KM), found["name"])
+    return F.when(lat.isNotNull() & lon.isNotNull() & ~((lat == 0) & (lon == 0)), let(found, lambda p: F.when(p["km"] < R.PLACE_KM, p["name"])))
 
 
 def month_hint(trip: Column) -> Column:
@@ -219,17 +227,15 @@ def path_words(path: Column | str) -> Column:
 
 
 def word_cells(words: Column) -> Column:
-    """Array of (cell, value) of a text's words: cell and sign from the SHA-1 of each word."""
+    """Cells of a text's words, by the SHA-1 of each."""
     tokens = F.regexp_extract_all(F.lower(words), F.lit("([a-z0-9]+)"), F.lit(1))
-    cell = F.transform(tokens, lambda t: (F.conv(F.substring(F.sha1(t), 38, 3), 16, 10).cast("int") % R.EMBED_DIM))
-    return F.transform(cell, lambda c: F.struct(c.alias("cell"), F.when(c >= 256, 1.0).otherwise(-1.0).alias("value")))
+    return F.transform(tokens, lambda t: F.conv(F.substring(F.sha1(t), 38, 3), 16, 10).cast("int") % R.EMBED_DIM)
 
 
 def lexical_embedding(words: Column) -> Column:
-    """Dense unit vector of a text's words; zeros for a text without any."""
-    cells = F.transform(word_cells(words), lambda s: s["cell"])
-    counts = F.transform(F.sequence(F.lit(0), F.lit(R.EMBED_DIM - 1)), lambda k: F.size(F.filter(cells, lambda c: c == k)).cast("double") * F.when(k >= 256, 1.0).otherwise(-1.0))
-    return unit(counts)
+    """Dense unit vector of a text's words; zeros for a text without any. A cell's sign is that of its upper half."""
+    zeros = F.array_repeat(F.lit(0.0), R.EMBED_DIM)
+    return unit(F.aggregate(word_cells(words), zeros, lambda v, c: F.transform(v, lambda x, i: F.when(i == c, x + F.when(c >= 256, 1.0).otherwise(-1.0)).otherwise(x))))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -237,8 +243,9 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 
 def unit(v: Column | str) -> Column:
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))
+    v = F.col(v) if isinstance(v, str) else v
+    with_norm = let(v, lambda a: F.struct(a.alias("v"), F.sqrt(dot(a, a)).alias("n")))
+    return let(with_norm, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(x.cast("double"))))
 
 
 def token_hits(tokens: Column, hay: Column) -> Column:
@@ -252,8 +259,12 @@ def search_tokens(query: Column) -> Column:
 def snippet(body: Column, tokens: Column) -> Column:
     """From 30 characters before the first token found to 70 after; the whole text if none is."""
     found = F.get(F.filter(F.transform(tokens, lambda t: F.instr(F.lower(body), t)), lambda i: i > 0), F.lit(0))
-    start = F.greatest(F.lit(0), found - 31)
-    return F.when(found.isNull(), body).otherwise(F.substr(body, start + 1, found + 69 - start))
+
+    def around(at: Column) -> Column:
+        start = F.greatest(F.lit(0), at - 31)
+        return F.when(at.isNull(), body).otherwise(F.substr(body, start + 1, at + 69 - start))
+
+    return let(found, around)
 
 
 def content_bucket(labels: Column, has_text: Column, sample: Column) -> Column:
