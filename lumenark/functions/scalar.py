@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -248,23 +249,21 @@ def unit(v: Column | str) -> Column:
     return let(with_norm, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(x.cast("double"))))
 
 
-def token_hits(tokens: Column, hay: Column) -> Column:
-    return F.aggregate(F.transform(tokens, lambda t: hay.contains(t).cast("int")), F.lit(0), lambda s, x: s + x)
+def search_tokens(query: str) -> list[str]:
+    """A search text's words of two or more characters that say something."""
+    return [t for t in re.findall(r"[a-z0-9%$.]+", query.lower()) if len(t) >= 2 and t not in R.SEARCH_STOP]
 
 
-def search_tokens(query: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(query), F.lit(r"([a-z0-9%$.]+)"), F.lit(1)), lambda t: (F.length(t) >= 2) & ~t.isin(*R.SEARCH_STOP))
+def token_hits(tokens: list[str], hay: Column) -> Column:
+    """How many of the tokens the text holds."""
+    return reduce(add, (hay.contains(t).cast("int") for t in tokens), F.lit(0))
 
 
-def snippet(body: Column, tokens: Column) -> Column:
+def snippet(body: Column, tokens: list[str]) -> Column:
     """From 30 characters before the first token found to 70 after; the whole text if none is."""
-    found = F.get(F.filter(F.transform(tokens, lambda t: F.instr(F.lower(body), t)), lambda i: i > 0), F.lit(0))
-
-    def around(at: Column) -> Column:
-        start = F.greatest(F.lit(0), at - 31)
-        return F.when(at.isNull(), body).otherwise(F.substr(body, start + 1, at + 69 - start))
-
-    return let(found, around)
+    found = F.coalesce(*(F.nullif(F.instr(F.lower(body), t), F.lit(0)) for t in tokens), F.lit(None).cast("int"))
+    start = F.greatest(F.lit(0), found - 31)
+    return F.when(found.isNull(), body).otherwise(F.substr(body, start + 1, found + 69 - start))
 
 
 def content_bucket(labels: Column, has_text: Column, sample: Column) -> Column:

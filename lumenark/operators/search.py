@@ -63,7 +63,7 @@ def captions(rows: DataFrame, query: str, limit: int | None = 60, caption: str =
 
 def keywords(tags: DataFrame, query: str, limit: int | None = 80, key: str = "full_path") -> DataFrame:
     """Tagged files by how many of the query's words their text, label and bucket hold; at least one."""
-    tokens = S.search_tokens(F.lit(query))
+    tokens = S.search_tokens(query)
     hay = F.lower(F.concat_ws(" ", S.text("text_sample"), S.text("top_label"), S.text("content_bucket")))
     scored = tags.withColumns({"score": S.token_hits(tokens, hay), "snippet": S.snippet(S.text("text_sample"), tokens)}).filter("score > 0")
     return scored.orderBy(F.desc("score"), key).limit(limit) if limit else scored
