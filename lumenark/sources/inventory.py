@@ -36,7 +36,10 @@ def enriched(files: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def walk(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
-    """Media files below a folder: full_path, file_name, extension, file_size, modified_time, and sha256 if content is read."""
+    """Media files below a folder: full_path, file_name, extension, file_size, modified_time, and sha256 if content is read.
+
+    Names that start with a dot or an underscore are not listed; Spark's file sources hide them.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     path = F.regexp_replace("path", "^file:/*", "/")
     rows = found.select(path.alias("full_path"), S.basename(path).alias("file_name"), F.lower(S.suffix(S.basename(path))).alias("extension"), F.col("length").alias("file_size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("modified_time"), *([F.sha2("content", 256).alias("sha256")] if content else []))
