@@ -4,22 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenark.functions import rules as R
 from lumenark.functions import scalar as S
 
 
+def best_rows(files: DataFrame, keys: list[F.Column], order: list[F.Column]) -> DataFrame:
+    """For each value of keys the row that comes first by order, with files' columns.
+
+    An aggregation rather than a window: each task hands on one row a key, so a key that holds a
+    third of all rows costs no task more than others.
+    """
+    rows = files.groupBy(*(k.alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min_by(F.struct(*files.columns), F.struct(*order)).alias("_r"))
+    return rows.select("_r.*")
+
+
 def plan(files: DataFrame, preference: Mapping[str, int] = R.DRIVE_PREFERENCE) -> DataFrame:
     """One row for each file of a hash with several: KEEP for the preferred drive's, then shortest path, then smallest id.
 
-    Singletons are filtered by a count that shares the window's shuffle, so files move once.
+    What to keep is aggregated per hash and joined back; Spark deals a hot hash's rows to several tasks.
     """
-    same = Window.partitionBy("sha256")
-    best = same.orderBy(S.drive_rank("device_name", preference), F.length("full_path"), "id")
-    ranked = files.filter("sha256 <> ''").select("id", "sha256", "file_name", "full_path", "device_name", "file_size").withColumns({"_n": F.row_number().over(best), "_copies": F.count("*").over(same), "keep_path": F.first("full_path").over(best)})
-    return ranked.filter("_copies > 1").select(F.when(F.col("_n") == 1, "KEEP").otherwise("DELETE").alias("decision"), "id", "sha256", "file_name", "full_path", "device_name", "file_size", "keep_path")
+    rows = files.filter("sha256 <> ''").select("id", "sha256", "file_name", "full_path", "device_name", "file_size")
+    order = F.struct(S.drive_rank("device_name", preference), F.length("full_path"), "id")
+    kept = rows.groupBy("sha256").agg(F.count("*").alias("_copies"), F.min_by(F.struct("id", "full_path"), order).alias("_keep")).filter("_copies > 1")
+    joined = rows.join(kept, "sha256")
+    return joined.select(F.when(F.col("id") == F.col("_keep.id"), "KEEP").otherwise("DELETE").alias("decision"), "id", "sha256", "file_name", "full_path", "device_name", "file_size", F.col("_keep.full_path").alias("keep_path"))
 
 
 def plan_summary(planned: DataFrame) -> DataFrame:
@@ -54,6 +65,4 @@ def missing_hash_key(files: DataFrame) -> F.Column:
 
 def canonical_sources(files: DataFrame, preference: Mapping[str, int] = R.DRIVE_PREFERENCE) -> DataFrame:
     """One file per hash (files without one are on their own): preferred drive, shortest path, smallest id."""
-    keyed = files.withColumn("_key", missing_hash_key(files))
-    best = Window.partitionBy("_key").orderBy(S.drive_rank("device_name", preference), F.length("full_path"), "id")
-    return keyed.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n", "_key")
+    return best_rows(files, [missing_hash_key(files)], [S.drive_rank("device_name", preference), F.length("full_path"), F.col("id")])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenark.functions import rules as R
 from lumenark.functions import scalar as S
-from lumenark.operators.dedupe import canonical_sources, missing_hash_key
+from lumenark.operators.dedupe import best_rows, canonical_sources, missing_hash_key
 
 
 def _junk() -> Column:
@@ -55,8 +55,7 @@ def plan(files: DataFrame, trip: str, library: DataFrame | None = None) -> DataF
     chosen = files.filter(F.col("trip") == trip)
     keyed = chosen.withColumn("_key", missing_hash_key(chosen))
     copies = keyed.groupBy("_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.col("device_name").alias("device"), F.col("full_path").alias("path"), F.coalesce("root_path", F.lit("")).alias("root")))), lambda c: c.dropFields("id")).alias("candidates"))
-    first = Window.partitionBy("_key").orderBy("id")
-    heads = keyed.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    heads = best_rows(keyed, [F.col("_key")], [F.col("id")])
     placed = layout(heads, library if library is not None else files).filter("dest_rel IS NOT NULL").join(copies, "_key")
     taken = F.row_number().over(Window.partitionBy("dest_rel", F.lower("file_name")).orderBy("id"))
     name = F.when(taken > 1, F.concat(S.stem("file_name"), F.lit("__"), F.substring("_key", 1, 8), S.suffix("file_name"))).otherwise(F.col("file_name"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenark.functions import scalar as S
-from lumenark.operators.dedupe import missing_hash_key
+from lumenark.operators.dedupe import best_rows, missing_hash_key
 
 
 def labelled(files: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -38,12 +38,14 @@ def trips(files: DataFrame) -> DataFrame:
 
     Bytes of files without a hash count in `bytes` only. A hash counts with its first file.
     """
+    # Two levels, so that neither a hot hash nor the files without one meet in a single task.
     hashed = F.col("sha256") != ""
-    first = Window.partitionBy("trip", "sha256").orderBy("id")
-    ranked = files.withColumn("_first", hashed & (F.row_number().over(first) == 1))
-    rolled = ranked.groupBy("trip").agg(
-        F.min_by("category", "id").alias("category"), F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.count_if("_first").alias("unique_files"),
-        F.coalesce(F.sum(F.when(F.col("_first"), F.col("file_size"))), F.lit(0)).alias("unique_bytes"), F.array_join(F.sort_array(F.collect_set("device_name")), ",").alias("devices"),
+    copies = files.groupBy("trip", missing_hash_key(files).alias("_key")).agg(
+        F.min("id").alias("_id"), F.min_by("category", "id").alias("category"), F.count("*").alias("n"), F.sum("file_size").alias("b"), F.min_by("file_size", "id").alias("one"), F.bool_or(hashed).alias("_hashed"), F.collect_set("device_name").alias("on"),
+    )
+    rolled = copies.groupBy("trip").agg(
+        F.min_by("category", "_id").alias("category"), F.sum("n").alias("files"), F.sum("b").alias("bytes"), F.count_if("_hashed").alias("unique_files"),
+        F.coalesce(F.sum(F.when(F.col("_hashed"), F.col("one"))), F.lit(0)).alias("unique_bytes"), F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.sort_array("on"))))), ",").alias("devices"),
     )
     months = dominant(files.filter("month <> ''"), "trip", "month", "id")
     dated = rolled.join(months, "trip", "left").withColumn("year_month", F.coalesce("month", S.month_hint(F.col("trip"))))
@@ -53,9 +55,7 @@ def trips(files: DataFrame) -> DataFrame:
 
 def sources(files: DataFrame) -> DataFrame:
     """Per camera: files, bytes, originals and edited ones, each hash once (its first file)."""
-    once = Window.partitionBy("_key").orderBy("id")
-    first = files.withColumn("_key", missing_hash_key(files)).withColumn("_n", F.row_number().over(once)).filter("_n = 1")
-    return first.groupBy("device").agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.count_if(F.col("stage") == "original").alias("originals"), F.count_if(F.col("stage") == "edited").alias("edited"))
+    return best_rows(files, [missing_hash_key(files)], [F.col("id")]).groupBy("device").agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.count_if(F.col("stage") == "original").alias("originals"), F.count_if(F.col("stage") == "edited").alias("edited"))
 
 
 def drive_inventory(files: DataFrame) -> DataFrame:

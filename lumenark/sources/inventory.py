@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenark.functions import rules as R
 from lumenark.functions import scalar as S
+from lumenark.operators.dedupe import best_rows
 from lumenark.sources import schema
 
 INGEST_EXTENSIONS = (*R.BUCKETS["photos"], *R.BUCKETS["raw"], *R.BUCKETS["videos"], *R.BUCKETS["sidecar"])
@@ -50,8 +51,7 @@ def shots(files: DataFrame) -> DataFrame:
     """One viewable file per shot (folder and stem): the best kind, then the smallest id."""
     ext = S.low("extension")
     ranked = files.filter(ext.isin(*R.SHOT_PRIORITY) & ~S.text("file_name").startswith("._")).withColumn("_p", S.first_match(((ext == e, p) for e, p in R.SHOT_PRIORITY.items()), 9))
-    best = Window.partitionBy(S.dirname("full_path"), F.lower(S.stem("file_name"))).orderBy("_p", "id")
-    return ranked.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n", "_p")
+    return best_rows(ranked, [S.dirname("full_path"), F.lower(S.stem("file_name"))], [F.col("_p"), F.col("id")]).drop("_p")
 
 
 def folder_shots(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,8 +87,7 @@ def extract_with(files: DataFrame, extractor, columns: str, batch: int = 80) ->
 
 def latest_roots(scan_roots: DataFrame) -> DataFrame:
     """The last recorded identity of each volume."""
-    last = Window.partitionBy("volume_name").orderBy(F.desc("id"))
-    return scan_roots.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+    return best_rows(scan_roots, [F.col("volume_name")], [-F.col("id")])
 
 
 def archived_summaries(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,8 +104,7 @@ def candidates(files: DataFrame, metadata: DataFrame, only_unsorted: bool = Fals
         kept = kept.filter(F.col("full_path").ilike("%unorganized%") | F.col("full_path").ilike("%nsorted%") | F.col("full_path").ilike("%ntitled%"))
     if under:
         kept = kept.filter(F.col("full_path").ilike(under.rstrip("/") + "/%"))
-    one = Window.partitionBy("sha256").orderBy("id")
-    rows = kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select("id", "full_path", "file_name", "sha256")
+    rows = best_rows(kept.select("id", "full_path", "file_name", "sha256"), [F.col("sha256")], [F.col("id")])
     return rows.orderBy("id").limit(limit) if limit else rows
 
 
