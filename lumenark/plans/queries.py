@@ -321,11 +321,11 @@ def scl13_lexical_embedding(spark, d):
 
 
 @query(f"""{LEXICAL}, q AS (SELECT DISTINCT cast('0x' || substr(sha1(t), 38, 3) AS int) % 512 AS cell FROM (VALUES ('example'), ('com'), ('en')) v(t))
-SELECT page_id AS id, score FROM (SELECT page_id, round(sum(CASE WHEN cell IN (SELECT cell FROM q) THEN n ELSE 0 END) / sqrt(sum(n * n)) / sqrt(3.0), 4) AS score FROM c GROUP BY page_id) x WHERE score > {R.RELEVANCE['lexical']} ORDER BY score DESC, id DESC LIMIT 25""")
+SELECT page_id AS id, score FROM (SELECT page_id, round(sum(CASE WHEN cell IN (SELECT cell FROM q) THEN n ELSE 0 END) / sqrt(sum(n * n)) / sqrt(3.0), 4) AS score FROM c GROUP BY page_id) x WHERE score > {R.RELEVANCE['lexical']} ORDER BY score DESC, id DESC LIMIT 60""")
 def txt3_lexical_search(spark, d):
     pages = spark_table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("full_path"))
-    ranked = search.text_search(search.embed(pages).select("id", F.transform("vec", lambda x: F.round(x.cast("double"), 12)).alias("vec")), pages, "example com en", k=100000)
-    return ranked.select("id", F.round("score", 4).alias("score")).orderBy(F.desc("score"), F.desc("id")).limit(25)
+    ranked = search.text_search(search.embed(pages).select("id", F.transform("vec", lambda x: F.round(x.cast("double"), 12)).alias("vec")), pages, "example com en")
+    return ranked.select("id", F.round("score", 4).alias("score"))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'tion') AND contains(lower(text), 'ea') ORDER BY doc_id LIMIT 60")
@@ -340,9 +340,9 @@ def txt2_ocr_search(spark, d):
     return search.keywords(spark_table(spark, d, "tags"), "Receipt with ably 10% a").select("full_path", "score", "snippet")
 
 
-@query(f"""{duckdb_with('files', 'tags')} SELECT file_id, full_path, content_bucket, top_label, substr(coalesce(text_sample, ''), 1, 120) AS text FROM (SELECT * FROM tags WHERE lower(content_bucket) IN {O._in(R.SCREENSHOT_BUCKETS)} ORDER BY file_id LIMIT 100) x WHERE NOT {O._any("lower(full_path)", R.SORTED_FOLDERS)}""")
+@query(f"""{duckdb_with('files', 'tags')} SELECT file_id, full_path, content_bucket, top_label, substr(coalesce(text_sample, ''), 1, 120) AS text FROM (SELECT * FROM tags WHERE lower(content_bucket) IN {O._in(R.SCREENSHOT_BUCKETS)} ORDER BY file_id LIMIT 500) x WHERE NOT {O._any("lower(full_path)", R.SORTED_FOLDERS)}""")
 def txt4_screenshot_sort(spark, d):
-    return search.screenshots_to_move(spark_table(spark, d, "tags"), 100)
+    return search.screenshots_to_move(spark_table(spark, d, "tags"))
 
 
 ASKED = (("drone sunset 2024", "Drone", None, 2024, None, "sunset"), ("vertical iphone portraits", "iPhone", "Vertical", None, None, "portraits"), ("waterfall", None, None, None, None, "waterfall"), ("beach photos july", None, None, None, 7, "beach photos"), ("Sony", "Sony", None, None, None, "Sony"), ("maybe landscape 1999x", None, "Horizontal", None, 5, "maybe 1999x"))
@@ -439,42 +439,47 @@ def agg18_people(spark, d):
 # --- tables over time ----------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, text FROM documents WHERE doc_id % 10 < 3 AND doc_id % 10 <> 2 UNION ALL SELECT doc_id, text || '!' FROM documents WHERE doc_id % 10 IN (2, 3, 4)")
+@query("WITH new AS (SELECT doc_id, cast(min(quality) AS varchar) AS text FROM labels GROUP BY doc_id) SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT doc_id, text FROM new")
 def dml1_upsert(spark, d):
-    t = spark_table(spark, d, "documents").select("doc_id", "text")
-    return maintenance.upsert(t.filter("doc_id % 10 < 3"), t.filter("doc_id % 10 IN (2, 3, 4)").withColumn("text", F.concat("text", F.lit("!"))), "doc_id")
+    new = spark_table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").cast("string").alias("text"))
+    return maintenance.upsert(spark_table(spark, d, "documents").select("doc_id", "text"), new, "doc_id")
 
 
-@query("""SELECT id, full_path, CASE WHEN id % 10 >= 4 THEN 2 * n ELSE n END AS file_size, CASE WHEN id % 10 >= 6 THEN 'new' ELSE 'old' END AS device_name, CASE WHEN id % 10 >= 6 THEN 2 ELSE 1 END AS first_seen_scan_id, CASE WHEN id % 10 >= 4 THEN 2 ELSE 1 END AS last_seen_scan_id
-FROM (SELECT doc_id AS id, '/d/' || doc_id AS full_path, n_chars AS n FROM documents) x""")
+@query("""WITH old AS (SELECT doc_id AS id, '/d/' || doc_id AS full_path, n_chars AS file_size FROM documents), new AS (SELECT vec_id + 700 AS id, '/d/' || (vec_id + 700) AS full_path, 5 AS file_size FROM embeddings)
+SELECT coalesce(old.id, new.id) AS id, coalesce(old.full_path, new.full_path) AS full_path, coalesce(new.file_size, old.file_size) AS file_size, CASE WHEN old.id IS NULL THEN 'new' ELSE 'old' END AS device_name,
+       CASE WHEN old.id IS NULL THEN 2 ELSE 1 END AS first_seen_scan_id, CASE WHEN new.id IS NULL THEN 1 ELSE 2 END AS last_seen_scan_id FROM old FULL JOIN new ON old.full_path = new.full_path""")
 def dml2_partial_upsert(spark, d):
-    t = spark_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("/d/"), "doc_id").alias("full_path"), F.col("n_chars").alias("file_size"))
-    old = t.filter("id % 10 < 6").withColumns({"device_name": F.lit("old"), "first_seen_scan_id": F.lit(1), "last_seen_scan_id": F.lit(1)})
-    new = t.filter("id % 10 >= 4").withColumns({"file_size": F.col("file_size") * 2, "device_name": F.lit("new"), "first_seen_scan_id": F.lit(2), "last_seen_scan_id": F.lit(2)})
+    """Documents as a first scan, embeddings under shifted ids as a second one."""
+
+    def scan(ids, size, name, number):
+        return ids.select("id", F.concat(F.lit("/d/"), "id").alias("full_path"), size.cast("long").alias("file_size"), F.lit(name).alias("device_name"), F.lit(number).alias("first_seen_scan_id"), F.lit(number).alias("last_seen_scan_id"))
+
+    old = scan(spark_table(spark, d, "documents").withColumnRenamed("doc_id", "id"), F.col("n_chars"), "old", 1)
+    new = scan(spark_table(spark, d, "embeddings").select((F.col("vec_id") + 700).alias("id")), F.lit(5), "new", 2)
     return maintenance.partial_upsert(old, new, "full_path", maintenance.RENEWED_FILES)
 
 
 NOW = "2026-01-01 00:00:00"
 
 
-@query(f"{duckdb_with('files')} SELECT id, CASE WHEN id % 7 = 0 AND id % 14 <> 0 THEN coalesce(deleted_at, '{NOW}') WHEN id % 14 = 0 THEN NULL ELSE deleted_at END AS deleted_at FROM files")
+@query(f"{duckdb_with('files')} SELECT id, CASE WHEN id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN NULL WHEN id IN (SELECT doc_id FROM labels) THEN coalesce(deleted_at, '{NOW}') ELSE deleted_at END AS deleted_at FROM files")
 def dml4_soft_delete_restore(spark, d):
-    files = spark_table(spark, d, "files")
-    gone = maintenance.soft_delete(files, files.filter("id % 7 = 0").select("id"), NOW)
-    return maintenance.restore(gone, files.filter("id % 14 = 0").select("id")).select("id", "deleted_at")
+    files, labels = spark_table(spark, d, "files"), spark_table(spark, d, "labels").withColumnRenamed("doc_id", "id")
+    gone = maintenance.soft_delete(files, labels.select("id"), NOW)
+    return maintenance.restore(gone, labels.filter("toxic = 1").select("id")).select("id", "deleted_at")
 
 
-@query(f"{duckdb_with('files', 'metadata')}, gone AS (SELECT id, full_path FROM files WHERE deleted_at < '2025-01-15 00:00:00') SELECT 'files' AS relation, count(*) AS n FROM files WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'metadata', count(*) FROM metadata WHERE file_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'captions', count(*) FROM files WHERE id % 2 = 0 AND full_path NOT IN (SELECT full_path FROM gone)")
+@query(f"{duckdb_with('files', 'metadata', 'tags')}, gone AS (SELECT id, full_path FROM files WHERE deleted_at < '2025-01-15 00:00:00') SELECT 'files' AS relation, count(*) AS n FROM files WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'metadata', count(*) FROM metadata WHERE file_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'tags', count(*) FROM tags WHERE full_path NOT IN (SELECT full_path FROM gone)")
 def dml6_purge(spark, d):
     files, metadata = spark_table(spark, d, "files"), spark_table(spark, d, "metadata")
-    files, metadata, side = maintenance.purge(files, metadata, {"captions": files.filter("id % 2 = 0").select("full_path")}, before="2025-01-15 00:00:00")
+    files, metadata, side = maintenance.purge(files, metadata, {"tags": spark_table(spark, d, "tags")}, before="2025-01-15 00:00:00")
     parts = [t.agg(F.lit(name).alias("relation"), F.count("*").alias("n")) for name, t in (("files", files), ("metadata", metadata), *side.items())]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(f"{duckdb_with('files')} SELECT id, full_path, file_size, device_name, deleted_at FROM files WHERE deleted_at IS NOT NULL ORDER BY deleted_at DESC, id LIMIT 20")
+@query(f"{duckdb_with('files')} SELECT id, full_path, file_size, device_name, deleted_at FROM files WHERE deleted_at IS NOT NULL ORDER BY deleted_at DESC, id LIMIT 500")
 def dml10_trash(spark, d):
-    return maintenance.trash(spark_table(spark, d, "files"), 20)
+    return maintenance.trash(spark_table(spark, d, "files"))
 
 
 @query(f"""{duckdb_with('files')}, s AS (SELECT CASE WHEN id % 6 = 0 THEN 'present' WHEN device_name = 'Archive' THEN 'skipped' WHEN id % 6 IN (1, 2) THEN 'present' WHEN id % 6 = 3 THEN 'missing' ELSE 'skipped' END AS status FROM files WHERE deleted_at IS NULL)
