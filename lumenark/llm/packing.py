@@ -10,6 +10,8 @@ some half a percent; its size does not depend on the corpus.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,18 +33,44 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _cached: dict[str, WordIds] = {}
 
 
+# How a tokenizer file must split texts for words to be tokenised apart.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+_DIGITS = "".join(c for c in map(chr, range(256)) if c.isnumeric())
+#: Words that split as SPLIT says without a look at it: Latin-1 without spaces, controls, quotes and <.
+_SIMPLE = re.compile("[!-&(-;=-~\u00a1-\u00ff]+")
+_PARTS = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
+
+
 class WordIds:
-    """Ids (little-endian 32 bits) of texts by a tokenizer file."""
+    """Ids (little-endian 32 bits) of texts by a tokenizer file that drops white space and marks word ends.
+
+    Unseen words are split here into parts (letters, a digit, marks), and unseen parts tokenised many at a time; a part's
+    ids end with the one id that bears the end mark. Words that are not simple go to the tokenizer as they are.
+    """
 
     def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        with open(path, encoding="utf-8") as file:
+            form = json.load(file)
+        mark = form["model"].get("end_of_word_suffix")
+        if [n["type"] for n in (form["normalizer"] or {}).get("normalizers", [])] != NORMALIZERS or form["pre_tokenizer"]["pretokenizers"][0].get("pattern") != {"Regex": SPLIT} or not mark:
+            raise ValueError(f"{path} does not tokenise words apart")
+        self.tokenizer, self.parts = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.parts.normalizer = normalizers.Sequence([])
+        self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.known_parts: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> WordIds:
@@ -54,15 +82,30 @@ class WordIds:
     def learn(self, words: set[bytes]) -> None:
         if len(self.new) > KEPT_WORDS:
             self.old, self.new = self.new, {}
-        unseen = []
+        if len(self.known_parts) > KEPT_WORDS:
+            self.known_parts = {}
+        simple, others = [], []
         for word in words.difference(self.new):
-            if (ids := self.old.get(word)) is None:
-                unseen.append(word)
-            else:
+            if (ids := self.old.get(word)) is not None:
                 self.new[word] = ids
-        for at in range(0, len(unseen), 4096):
-            part = unseen[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                continue
+            text = word.decode()
+            if _SIMPLE.fullmatch(text):
+                simple.append((word, _PARTS.findall(text.lower())))
+            else:
+                others.append((word, text))
+        unseen = list({p for _, parts in simple for p in parts}.difference(self.known_parts))
+        for at in range(0, len(unseen), 1024):
+            some = unseen[at : at + 1024]
+            ids = np.array(self.parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            found = ids.tobytes()
+            self.known_parts.update(zip(some, (found[x:y] for x, y in zip([0, *stops], stops)), strict=True))
+        get = self.known_parts.__getitem__
+        for word, parts in simple:
+            self.new[word] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
+        if others:
+            for (word, _), found in zip(others, self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False)):
                 self.new[word] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
