@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,23 @@ def prepare(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it if df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def only(docs: DataFrame, keys: DataFrame, *named: F.Column) -> DataFrame:
+    """Rows of docs whose values of `named` (expressions over docs) are a row of keys, nulls matching nulls; docs' own columns."""
+    columns = [fresh(docs, f"key{k}") for k in range(len(named))]
+    wanted = keys.distinct().toDF(*(f"{c}_wanted" for c in columns))
+    held = docs.withColumns(dict(zip(columns, named)))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"{c}_wanted")) for c in columns))
+    return held.join(wanted, same, "left_semi").dropDuplicates(columns).drop(*columns)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder at once and go on from there."""
     prepare(df.sparkSession)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import cut, prepare, whole_text
+from lumenark.llm.common import cut, only, prepare, whole_text
 
 AVERAGE_BITS = 10  # chunks of 1 KB on average beyond the least size
 LEAST, MOST = 256, 8192
@@ -133,11 +133,13 @@ def exact_dedup(docs: DataFrame, digests: tuple[Callable[[bytes], bytes], ...] =
     that repeat doc_id and text are one document seen twice; both carry the same answer.
     """
     lists = cut(recipes(docs, digests))
-    groups = lists.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return lists.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    # Cut too, so that both sides of the join are plain shuffles, whose hot recipes Spark deals to several tasks.
+    groups = cut(lists.groupBy("recipe").agg(F.max("doc_id").alias("largest"), F.count("*").alias("n")).filter("n > 1"))
+    found = lists.join(groups, "recipe", "left").withColumn("keep_id", F.coalesce("largest", "doc_id"))
+    return found.select("doc_id", "keep_id", F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with docs' own columns; repeated rows leave one."""
-    stay = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs that stay, with docs' own columns; of rows that repeat doc_id and text, one."""
+    stay = exact_dedup(docs).filter("kept").select("doc_id", "text_sha256")
+    return only(docs, stay, F.col("doc_id").cast("long"), F.sha2(whole_text(), 256))

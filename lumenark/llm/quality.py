@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import cut, prepare, whole_text
+from lumenark.llm.common import cut, fresh, prepare, whole_text
 
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 14, 1 << 12
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
-#: Labelled documents the target model is counted over, at most: those whose ids hash lowest.
+#: Labelled documents the target model is counted over, at most, by the hash of their ids.
 TARGET_ROWS = 20_000
 SEED = 23
 #: The target model leans on the raw one as if it had seen so many more features of each bucket, dealt as in raw text.
@@ -80,6 +80,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROW
     Raw counts cover all of docs. labels (doc_id, quality, toxic): good are rows with quality 1 and not toxic 1.
     """
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL AND NOT coalesce(toxic, 0) = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    known = good.count()
+    if known > target_rows:  # about so many, so that finding the lowest needs no more
+        spread = F.expr(f"pmod(xxhash64(doc_id, {SEED}), 1000000L)")
+        good = good.filter(spread < int(1_000_000 * min(1.0, 1.1 * target_rows / known + 1e-5)))
     ids = frozenset(r[0] for r in good.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(target_rows).collect())
     counted = docs.select("doc_id", "text").mapInArrow(_count(ids), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -156,5 +160,5 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, target_ro
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that stay, with docs' own columns. Rows that repeat a doc_id stay together, by their best one."""
-    stay = resample(docs, labels).filter("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    stay, name = resample(docs, labels).filter("kept").select("doc_id").distinct(), fresh(docs, "stay")
+    return docs.join(stay.toDF(name), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import cut, prepare, whole_text
+from lumenark.llm.common import cut, only, prepare, whole_text
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -48,13 +48,14 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.fromiter((fingerprint(t) for t in batch.column("text").cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array(found.view(np.int64))], ["doc_id", "text_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a signed long; a null text counts as empty."""
+    """(doc_id, text_id, fp): the text's xxhash64, the fingerprint's bits as a signed long; a null text counts as empty."""
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_id"), whole_text().alias("text"))
+    return texts.mapInArrow(_fingerprints, "doc_id long, text_id long, fp long")
 
 
 def near_links(nodes: DataFrame) -> DataFrame:
@@ -96,6 +97,19 @@ def components(links: DataFrame) -> DataFrame:
     return stars.unionByName(stars.selectExpr("root AS node", "root").distinct())
 
 
+def _classes(docs: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, text_id (the text's xxhash64), fp, root (least fingerprint reachable), n_links, component_id."""
+    prints = cut(fingerprints(docs))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    links = cut(near_links(nodes.select("fp")))
+    roots = components(links)
+    degree = links.selectExpr("explode(array(a, b)) AS fp").groupBy("fp").agg(F.count("*").alias("n_links"))
+    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").selectExpr("fp", "coalesce(root, fp) AS root", "least_id").join(degree, "fp", "left")
+    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    classes = cut(named.join(least, "root").select("fp", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    return prints.join(classes, "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text, any more): doc_id, fingerprint, component_id, n_links.
 
@@ -104,18 +118,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     without a word have fingerprint zero and link like any other. A null text counts as empty; a
     null doc_id keeps its row and never names a component unless all of it is null.
     """
-    prints = cut(fingerprints(docs))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    links = cut(near_links(nodes.select("fp")))
-    roots = components(links)
-    degree = links.selectExpr("explode(array(a, b)) AS fp").groupBy("fp").agg(F.count("*").alias("n_links"))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").selectExpr("fp", "coalesce(root, fp) AS root", "least_id").join(degree, "fp", "left")
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+    return _classes(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names their component, with docs' own columns; repeated rows leave one."""
-    stay = near_duplicates(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id"])
+    """Of each component the row with the smallest doc_id (of equals, the least text hash; nulls last), with docs' own columns."""
+    place = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    first = _classes(docs).groupBy("root").agg(F.min(F.struct(place.alias("place"), "doc_id", "text_id")).alias("first"))
+    return only(docs, first.select("first.doc_id", "first.text_id"), F.col("doc_id").cast("long"), F.xxhash64(whole_text()))
