@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import WORD, cut, whole_text
+from lumenark.llm.common import WORD, cut, fresh, whole_text
 
 # Weights of the production mix; names not listed weigh DEFAULT_WEIGHT. Weights are positive integers.
 DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
@@ -31,6 +31,9 @@ BUDGET = (3, 4)
 MAX_EPOCHS = 2
 SEED = 17
 
+#: Leaves whose budgets are sent to all tasks, at most (some 100 bytes each).
+BROADCAST_LEAVES = 100_000
+
 LEAF = ["domain", "lang", "source"]
 
 
@@ -81,6 +84,9 @@ def mix(docs: DataFrame, domain: Column | None = None, budget: tuple[int, int] =
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (domain_of_source() if domain is None else domain).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("tokens")))
     leaves = leaf_budgets(rows.groupBy(*LEAF).agg(F.sum("tokens").alias("leaf_tokens")), budget, max_epochs, weights)
     leaves = leaves.withColumn("whole", F.expr("CASE WHEN leaf_tokens = 0 THEN 0 ELSE leaf_budget DIV leaf_tokens END")).withColumn("rest", F.expr("leaf_budget - whole * leaf_tokens"))
+    leaves = cut(leaves)
+    if leaves.count() <= BROADCAST_LEAVES:
+        leaves = F.broadcast(leaves)  # counted just now; more leaves join by a shuffle, whose hot leaves Spark splits
     dealt = rows.join(leaves, LEAF).withColumn("place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     dealt = dealt.withColumn("slice", F.substring("place", 1, 3))
     slices = dealt.groupBy(*LEAF, "slice").agg(F.sum("tokens").alias("t"))
@@ -92,10 +98,13 @@ def mix(docs: DataFrame, domain: Column | None = None, budget: tuple[int, int] =
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs in the mix, each as often as its copies say, with docs' own columns."""
-    chosen = mix(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("tokens").alias("_tokens")).agg(F.max("copies").alias("_copies"))
-    keyed = docs.withColumn("_words", F.regexp_count(whole_text(), F.lit(WORD)).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce("lang", F.lit("")) == F.col("_lang")) & (F.coalesce("source", F.lit("")) == F.col("_source")) & (F.col("_words") == F.col("_tokens"))
-    return keyed.join(chosen, same).withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    names = {c: fresh(docs, f"mix_{c}") for c in ("doc_id", "lang", "source", "tokens", "copies", "words", "epoch")}
+    doc_id, lang, source, tokens, copies, words, epoch = names.values()
+    key = [F.col(c).alias(names[c]) for c in ("doc_id", "lang", "source", "tokens")]
+    chosen = mix(docs, **options).filter("copies > 0").groupBy(*key).agg(F.max("copies").alias(copies))
+    keyed = docs.withColumn(words, F.regexp_count(whole_text(), F.lit(WORD)).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.coalesce("lang", F.lit("")) == F.col(lang)) & (F.coalesce("source", F.lit("")) == F.col(source)) & (F.col(words) == F.col(tokens))
+    return keyed.join(chosen, same).withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE_SQL = """
