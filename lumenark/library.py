@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenark.functions import scalar as S
 from lumenark.operators import clusters, dedupe, drives, maintenance, search, staging, trips
 from lumenark.sources import inventory, schema
 
@@ -62,7 +63,7 @@ class Library:
         return staging.plan(self.files, trip)
 
     def stage_status(self) -> DataFrame:
-        return staging.summary(self["stage_items"])
+        return staging.status(self["stage_items"], self.mounts.filter("mount IS NOT NULL"))
 
     def stage_errors(self) -> DataFrame:
         return staging.errors(self["stage_items"])
@@ -105,8 +106,12 @@ class Library:
         """Members of clusters inside a trip, the shot to keep at place 1."""
         vectors = self["embeddings"].select(F.col("file_id").alias("id"), "vec").join(self.files.select("id", F.col("trip").alias("block")), "id", "left")
         found = clusters.components(vectors, clusters.similar_pairs(vectors, threshold))
-        about = self.files.select("id", "file_name", "full_path", "extension", F.col("file_size").alias("size"), (F.col("width") * F.col("height")).alias("pixels"))
-        return clusters.ranked_members(found.join(about, "id", "left"))
+        about = self.files.select("id", "file_name", F.col("full_path").alias("known_path"), F.lower("extension").alias("known_extension"), F.col("file_size").alias("size"), (F.col("width") * F.col("height")).alias("pixels"))
+        named = found.join(self["embeddings"].select(F.col("file_id").alias("id"), "full_path"), "id").join(about, "id", "left")
+        # Vectors from outside the inventory have their path only.
+        named = named.withColumn("full_path", F.coalesce("known_path", "full_path"))
+        named = named.withColumns({"file_name": F.coalesce("file_name", S.basename("full_path")), "extension": F.coalesce("known_extension", F.lower(S.suffix(S.basename("full_path"))))})
+        return clusters.ranked_members(named.drop("known_path", "known_extension"))
 
     def people(self) -> DataFrame:
         return clusters.people(self["faces"].select("id", "person_id"))

@@ -133,6 +133,17 @@ def recent_moves(ledger: DataFrame, limit: int = 200) -> DataFrame:
     return ledger.orderBy(F.desc("id")).limit(limit)
 
 
+def put_override(overrides: DataFrame, key: str, trip: str | None, category: str | None) -> DataFrame:
+    """overrides with one key's row set; key is "drive::folder"."""
+    row = overrides.sparkSession.createDataFrame([(key, trip, category)], schema.OVERRIDES)
+    return upsert(overrides, row, "key")
+
+
+def startup(files: DataFrame, metadata: DataFrame, side_tables: dict[str, DataFrame], settings: dict, now: datetime.datetime) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """What a new session begins with: the tables without rows whose retention has run out."""
+    return purge(files, metadata, side_tables, before=cutoff(now, saved_settings({}, settings)["trash_retention_days"]))
+
+
 def saved_settings(current: dict, changes: dict) -> dict:
     """Defaults, then what is stored, then changes; unknown names are passed over."""
     return SETTINGS | {k: v for k, v in (current | changes).items() if k in SETTINGS}

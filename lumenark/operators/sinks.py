@@ -30,6 +30,16 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_plan(planned: DataFrame, path: str) -> None:
+    """The dedupe plan as text files of CSV lines."""
+    plan_lines(planned).write.mode("overwrite").text(path)
+
+
+def write_moves(ledger: DataFrame, path: str, limit: int = 100_000) -> None:
+    """The newest ledger rows."""
+    write_csv(ledger.orderBy(F.desc("id")).limit(limit), path)
+
+
 def cluster_rows(ranked: DataFrame) -> DataFrame:
     """Near-duplicate members with their cluster's number from 1 (the largest first) and what to do: KEEP or REVIEW."""
     sizes = ranked.select("component", "members").distinct()

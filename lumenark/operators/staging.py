@@ -132,6 +132,13 @@ def summary(items: DataFrame) -> DataFrame:
     return items.agg(F.count("*").alias("total_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"), F.coalesce(F.sum(F.when(F.col("state") == "verified", F.col("size"))), F.lit(0)).alias("verified_bytes"), *(F.count_if(F.col("state") == s).alias(s) for s in states))
 
 
+def status(items: DataFrame, mounted: DataFrame) -> DataFrame:
+    """The summary with the share of bytes done in percent, and the absent drive (mounted: device_name) that could provide most bytes."""
+    drive = next_absent_drive(drive_remaining(items), mounted).agg(F.first("device").alias("next_drive"))
+    done = F.when(F.col("total_bytes") > 0, F.round(100.0 * F.col("verified_bytes") / F.col("total_bytes"), 1)).otherwise(0.0)
+    return summary(items).withColumn("pct", done).join(F.broadcast(drive))  # one row each
+
+
 def drive_remaining(items: DataFrame) -> DataFrame:
     """Per drive: pending items and bytes it could provide, each item once."""
     waiting = items.filter("state = 'pending'").select("size", F.explode(F.array_distinct(F.expr("transform(candidates, c -> c.device)"))).alias("device"))

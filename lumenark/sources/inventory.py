@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,17 @@ from lumenark.sources import schema
 INGEST_EXTENSIONS = (*R.BUCKETS["photos"], *R.BUCKETS["raw"], *R.BUCKETS["videos"], *R.BUCKETS["sidecar"])
 
 
+def locate(spark: SparkSession, candidates: list[str], variable: str = "LUMENARK_FILES") -> str:
+    """The inventory's path: what the environment names, else the first candidate that exists on any file system Spark reads."""
+    named = os.environ.get(variable)
+    jvm = spark.sparkContext._jvm
+    for place in [named] if named else candidates:
+        path = jvm.org.apache.hadoop.fs.Path(place)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return place
+    raise FileNotFoundError(f"no inventory at {named or ', '.join(candidates)}")
+
+
 def live(files: DataFrame) -> DataFrame:
     """Rows that are not soft-deleted; files may lack the column."""
     return schema.ensure_columns(files, schema.FILES).filter(F.col("deleted_at").isNull())

@@ -231,4 +231,27 @@ def test_library_answers(spark):
     assert (trip.trip, trip.files, trip.unique_files, trip.nas_folder, trip.devices) == ("Iceland", 3, 1, "Iceland/2024/2024-09", "A,B")
     assert lib.sources().first().files == 2 and lib.dedupe_plan().count() == 2 and lib.stage_plan("Iceland").count() == 2
     assert lib.search("iceland").count() == 0 and lib.people().count() == 0 and lib.near_duplicates().count() == 0 and lib.counts().count() == 4
+    assert lib.stage_status().first().asDict()["pct"] == 0.0
     assert {r.status for r in lib.identity().collect()} == {"absent"} and lib.identity_report().count() == 2 and lib.reconcile().count() == 3
+
+
+def test_near_duplicates_of_unknown_files(spark):
+    from lumenark.library import Library
+
+    vectors = spark.createDataFrame([(7, "/x/a.JPG", [1.0, 0.0]), (8, "/x/b.dng", [1.0, 0.0]), (9, "/x/c.png", [0.0, 1.0])], schema.EMBEDDINGS)
+    rows = Library(spark, {"embeddings": vectors}).near_duplicates().orderBy("place").collect()
+    assert [(r.id, r.file_name, r.extension, r.component) for r in rows] == [(8, "b.dng", ".dng", 7), (7, "a.JPG", ".jpg", 7)]
+
+
+def test_startup_overrides_and_status(spark, tmp_path):
+    df = spark.createDataFrame([(1, "/f1", 1, "A", "/", "2025-01-01 00:00:00"), (2, "/f2", 1, "A", "/", "2025-03-01 00:00:00"), (3, "/f3", 1, "A", "/", None)], INVENTORY)
+    files, meta, _ = maintenance.startup(df, spark.createDataFrame([(1,), (3,)], "file_id long"), {}, {"trash_retention_days": 10}, datetime.datetime(2025, 3, 5))
+    assert sorted(r.id for r in files.collect()) == [2, 3] and [r.file_id for r in meta.collect()] == [3]
+    overrides = spark.createDataFrame([("A::x", "old", None)], schema.OVERRIDES)
+    assert tuple(maintenance.put_override(overrides, "A::x", "new", "trips").first()) == ("A::x", "new", "trips")
+    job = items(spark, {"sha256": "a", "candidates": [("D1", "/p", ""), ("D1", "/q", ""), ("D2", "/r", "")]}, {"sha256": "b", "candidates": [], "state": "verified", "size": 30})
+    row = staging.status(job, spark.createDataFrame([("D2",)], "device_name string")).first()
+    assert (row.pct, row.next_drive) == (75.0, "D1")
+    assert inventory.locate(spark, [f"{tmp_path}/none", str(tmp_path)]) == str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        inventory.locate(spark, [f"{tmp_path}/none"])
