@@ -4,9 +4,8 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
-from lumenark.operators import clusters, dedupe, drives, maintenance, search, sinks, staging, trips
+from lumenark.operators import clusters, dedupe, drives, maintenance, search, sinks, staging
 from lumenark.sources import inventory, schema
 
 FILES = "id long, sha256 string, device_name string, full_path string, file_name string, file_size long"
