@@ -81,6 +81,12 @@ def test_main_text():
     assert html_text.main_text("", model) == "" and html_text.main_text("<nav><a href=x>only</a></nav>", model) == ""
 
 
+def test_quotes_open_values_only_after_an_equals_sign():
+    texts = lambda source: [text for _, text in html_text.parse(source).blocks]
+    assert texts("<p title=Bob's>First paragraph.</p><p>It's fine.</p>") == ["First paragraph.", "It's fine."]
+    assert texts("""<p "odd>One.</p><p a=b="c>Two.</p><p a = 'x > y' b="z > 'w">Three.</p><p a="">Four "five".</p>""") == ["One.", "Two.", "Three.", 'Four "five".']
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<", ">", "<p>", "</p>", "<div class='ad'>", "</div>", "<article>", "</article>", "<script>", "</script>", "<!--", "-->", "<a href=\"x", "&amp", "&#x;", "text ", "<li>", "<td>", "</table>", "<table>", "é"]), max_size=40).map("".join))
 def test_any_markup_parses(source):
