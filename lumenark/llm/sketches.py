@@ -17,7 +17,8 @@ from lumenark.llm.common import cut, whole_text
 SHINGLE = 5
 #: One hash in so many is kept.
 SCALE = 8
-SPACE = " \\t\\n\\u000B\\f\\r"
+#: As a Spark SQL literal, which reads an escaped f as the letter.
+SPACE = " \\t\\n\\u000B\\u000C\\r"
 
 
 def _least_kept(scale: int) -> int:

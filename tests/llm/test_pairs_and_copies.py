@@ -165,6 +165,12 @@ def test_fingerprints(documents, awkward):
     assert alone.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and alone.near_next == 1.0
 
 
+def test_form_feeds_are_space_and_the_letter_f_is_not(documents):
+    rows = [(1, "\fa page that starts with a form feed"), (2, "and one that ends so\f\f"), (3, "ffor the life of f"), (4, "fff"), (5, "\f"), (6, "f"), (7, "\f \fother words")]
+    got = {r.doc_id: r.fingerprint for r in sketches.fingerprints(documents(rows)).collect()}
+    assert got == {i: ",".join(f"{h % (1 << 64):016x}" for h in brute_sketch(t)) for i, t in rows}
+
+
 def test_sketches_merge(spark):
     from pyspark.sql import functions as F
 
