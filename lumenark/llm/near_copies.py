@@ -1,0 +1,135 @@
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of them.
+
+Of two such sets, put in any one order of all shingles, the first fifths (and one more) share a shingle. So each
+text is entered under those of its shingles, and texts that meet under one are candidates unless their
+sizes or the places of that shingle rule the similarity out; candidates are verified by comparing whole sets. The order
+puts shingles that many texts of a sample hold last, the commonest at the very end, and goes by hash otherwise; it decides
+how many candidates there are, never which pairs are found.
+
+Only components are asked for. Texts under one shingle are first held against two of them; under shingles whose
+texts are not one component by then, all pairs between different components follow.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lumenark.llm.common import cut, only, prepare, spool, whole_text
+from lumenark.llm.simhash import LOWER, SEED, components
+
+SHINGLE = 5
+#: One text in SAMPLE is counted; shingles of SEEN of those are common, at most COMMON of them (sent to all tasks).
+SAMPLE, SEEN, COMMON = 8, 2, 1 << 16
+#: Sets of sizes m and n with `shared` elements in common are similar: shared / (m + n - shared) >= 4 / 5.
+SIMILAR = "9 * ({shared}) >= 4 * ({m} + {n})"
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of a text in UTF-8; fewer than five words, or none, are one shingle."""
+    words = text.translate(LOWER).split()
+    joined = {b" ".join(five) for five in zip(*(words[k:] for k in range(SHINGLE)))} or {b" ".join(words)}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), np.uint64, len(joined)))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+
+
+def _texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    return batch.column(column).cast(pa.binary()).to_pylist()
+
+
+def _all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingles(text) for text in _texts(batch)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
+
+
+def _entries(common: np.ndarray, counts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[], [], [], []]
+            for text_id, text in zip(batch.column("id").to_pylist(), _texts(batch)):
+                keys = shingles(text)
+                n = len(keys)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+                    keys = keys[np.lexsort((keys, np.where(common[at] == keys, counts[at], 0)))]
+                first = n // 5 + 1
+                for column, values in zip(columns, (keys[:first].view(np.int64), np.full(first, text_id, np.int64), np.full(first, n, np.int32), np.arange(first, dtype=np.int32))):
+                    column.append(values)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["key", "id", "n", "at"])
+
+    return run
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, held = None, None
+    for batch in batches:
+        a, b, keep = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
+        for k, (x, text, other) in enumerate(zip(a, _texts(batch, "text_a"), _texts(batch, "text_b"))):
+            if x != last:
+                last, held = x, shingles(text)
+            if similar(held, shingles(other)):
+                keep.append(k)
+        yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """(a, b, shared, n, m), a < b: pairs that may be similar, of rows with id, n, at and another's o.id, o.n, o.at; shared counts their rows."""
+    fits = f"5 * least(n, o.n) >= 4 * greatest(n, o.n) AND {SIMILAR.format(shared='least(at, o.at) + least(n - at, o.n - o.at)', m='n', n='o.n')}"
+    return met.filter(f"id <> o.id AND {fits}").selectExpr("least(id, o.id) AS a", "greatest(id, o.id) AS b", "n", "o.n AS m").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("m").alias("m"))
+
+
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    asked = pairs.selectExpr("explode(array(a, b)) AS id").distinct()
+    held = texts.join(asked, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    both = pairs.join(held.selectExpr("id AS b", "text AS text_b"), "b").hint("merge").join(held.selectExpr("id AS a", "text AS text_a"), "a")
+    return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"))
+
+
+def near_links(texts: DataFrame) -> DataFrame:
+    """(a, b), a < b: similar texts of texts (id, text), enough of them to link every two that are similar, directly or over others."""
+    counted = texts.filter(f"pmod(id, {SAMPLE}) = 0").mapInArrow(_all_keys, "key long").groupBy("key").agg(F.count("*").alias("c"))
+    top = counted.filter(F.col("c") >= SEEN).orderBy(F.desc("c"), "key").limit(COMMON).toArrow()
+    common, counts = top["key"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy()
+    order = np.argsort(common)
+    entries = spool(texts.mapInArrow(_entries(common[order], counts[order]), "key long, id long, n int, at int"))
+    ends = F.struct("id", "n", "at")
+    shared = entries.groupBy("key").agg(F.min(ends).alias("p"), F.max(ends).alias("q")).filter("p.id <> q.id")
+    entries = cut(entries.hint("merge").join(shared, "key"))
+
+    first = cut(_pairs(entries.selectExpr("id", "n", "at", "explode(array(p, q)) AS o")).select("a", "b"))
+    links = _links(first, texts)
+    roots = cut(components(links))
+    placed = entries.select("key", "id", "n", "at").join(roots.withColumnRenamed("node", "id"), "id", "left").selectExpr("key", "id", "n", "at", "coalesce(root, id) AS root")
+    parted = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+    parted = cut(placed.join(parted.select("key"), "key", "left_semi"))
+    other = parted.selectExpr("key", "root AS other_root", "struct(id, n, at) AS o")
+    rest = _pairs(parted.hint("merge").join(other, "key").filter("id < o.id AND root <> other_root"))
+    # All they share among their entries is counted here; of the text whose entries end first, only the others can be shared besides.
+    rest = rest.filter(SIMILAR.format(shared="shared + greatest(n - n div 5, m - m div 5) - 1", m="n", n="m")).select("a", "b")
+    return links.unionByName(_links(cut(rest.join(first, ["a", "b"], "left_anti")), texts))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Of texts linked by similarity, the row with the smallest doc_id (of equals, the least text hash; nulls last), with docs' own columns.
+
+    A null text counts as empty; texts without a word are similar to each other and to no others.
+    """
+    prepare(docs.sparkSession)
+    texts = docs.select(F.xxhash64(whole_text()).alias("id"), whole_text().alias("text"))
+    roots = components(near_links(texts)).withColumnRenamed("node", "id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("id"))
+    place = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    linked = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    first = linked.groupBy("root").agg(F.min(F.struct(place.alias("place"), "doc_id", "id")).alias("first"))
+    return only(docs, first.select("first.doc_id", "first.id"), F.col("doc_id").cast("long"), F.xxhash64(whole_text()))

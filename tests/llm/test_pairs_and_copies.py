@@ -9,7 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lumenark.llm import exact_dedup, simhash, sketches, substrings
+from lumenark.llm import exact_dedup, near_copies, simhash, sketches, substrings
 
 
 def key(i):
@@ -126,6 +126,50 @@ def test_simhash_keep_one(documents, awkward):
     assert sorted(got) == sorted(set(label.values()))
 
 
+# --- near copies -------------------------------------------------------------------------------------------
+
+
+def brute_similar(a, b):
+    def fives(text):
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).encode().split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+    a, b = fives(a), fives(b)
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+@pytest.mark.parametrize("sample, seen", [(16, 8), (1, 2)])
+def test_the_pipeline_drops_all_near_copies(documents, awkward, monkeypatch, sample, seen):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "SAMPLE", sample)
+    monkeypatch.setattr(near_copies, "SEEN", seen)
+    rng, rows = np.random.default_rng(8), [r for r in awkward if r[0] != 40]
+    for k in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 9999, 200)]
+        for copy in range(5):  # up to four words replaced: similarities on both sides of 0.8
+            changed = list(words)
+            for at in rng.choice(200, copy, replace=False):
+                changed[at] = f"new{k}.{copy}.{at}"
+            rows.append((1000 + 10 * k + copy, " ".join(changed)))
+    texts = sorted({t or "" for _, t in rows})
+    label = dict(zip(texts, texts))
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if label[a] != label[b] and brute_similar(a, b):
+                old, new = label[a], label[b]
+                label = {t: new if x == old else x for t, x in label.items()}
+    least = {}
+    for i, t in rows:
+        place = float("inf") if i is None else i
+        least[label[t or ""]] = min(place, least.get(label[t or ""], place))
+    df = documents(rows)
+    kept = corpus_pipeline.distant_documents(None, df, "")
+    assert kept.columns == df.columns
+    assert sorted(float("inf") if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(least.values())
+    assert near_copies.keep_one(documents([])).count() == 0
+
+
 # --- sketches ----------------------------------------------------------------------------------------------
 
 
