@@ -1,19 +1,31 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
-A 64-bit fingerprint is cut into 32 segments of two bits, and each segment mapped to its count of
-ones. The Manhattan distance of two such vectors never exceeds the Hamming distance of the
-fingerprints. Of two vectors at Manhattan distance 3 or less, one half (16 coordinates) is at
-distance 1 or less, so a grid of unit cells over each half finds them: a vector meets those in its
-own cell, and, if the sum of its half is odd, those in the cells one step away (a step changes
-the parity, so asking from one side loses nothing). Each fingerprint makes some 28 rows whatever
-the corpus; candidates are verified by their exact Hamming distance.
-
-Equal fingerprints are one node, so copies never meet in pairs. Components come from alternating
+A fingerprint is cut into segments, and each segment mapped to its count of ones. The Manhattan distance of two
+such vectors never exceeds the Hamming distance of the fingerprints, so vectors are laid on a grid, those
+that share a cell or lie one step apart meet by a join on the cell, and candidates are verified.
+
+`near_duplicates` links 64-bit fingerprints at 3 bits or fewer, exactly. Of two such fingerprints one half differs in at
+most one bit. Its 16 segments of two bits then have equal counts, or are one step apart (a step changes the
+parity, so asking from the odd side loses nothing). The other half, in segments of one bit, differs in at most
+three bits in the first case and two in the second: of its 4 or 3 pieces one is equal, and its number lengthens the cell. Some
+83 rows a fingerprint; between N random fingerprints some 5e-9 N**2 candidate pairs.
+
+`keep_one` drops near copies: texts whose sets of five-word shingles have a cosine of 0.8 or more (which SimHash bits
+estimate: two bits differ with the probability of angle / pi; every pair with a Jaccard similarity of 0.8 is among them).
+That is a fifth of the bits, so fingerprints are BITS long, and the grid is laid over many choices of
+segments of one bit; cells have log2(N) - SPARE of them, and there are as many choices as find a pair at
+exactly 0.8 with the probability RECALL. Candidates must agree in WIDE further bits up to chance, and are
+verified by comparing whole shingle sets. Only components are asked for: first each text is held against
+the nearest of its cells' representatives, then all that is still apart, where a cell's largest known group is
+not compared within itself.
+
+Equal fingerprints, or texts, are one node, so copies never meet in pairs. Components come from alternating
 star contraction over the links, checkpointed each round.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import cut, only, prepare, whole_text
+from lumenark.llm.common import cut, only, prepare, release, spool, whole_text
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -63,17 +75,28 @@ def near_links(nodes: DataFrame) -> DataFrame:
     words = nodes.selectExpr("fp", "fp & 4294967295L AS x0", "shiftrightunsigned(fp, 32) AS x1")
     # Two-bit fields of counts 0 to 2: each pair of bits less its upper bit.
     count = "x{0} - (shiftrightunsigned(x{0}, 1) & 1431655765L) AS v{0}"
-    halves = words.selectExpr("fp", count.format(0), count.format(1), "bit_count(x0) % 2 = 1 AS odd0", "bit_count(x1) % 2 = 1 AS odd1")
+    halves = words.selectExpr("fp", "x0", "x1", count.format(0), count.format(1), "bit_count(x0) % 2 = 1 AS odd0", "bit_count(x1) % 2 = 1 AS odd1")
+
+    def pieces(h: int, widths: tuple[int, ...]) -> str:
+        """Of the other half: what goes above the 32 bits of a cell of half h: which half, which piece of how many, its bits."""
+        out, at = [], 0
+        for j, width in enumerate(widths):
+            kind = (h * 2 + len(widths) % 2) * 4 + j
+            out.append(f"shiftleft((shiftrightunsigned(x{1 - h}, {at}) & {(1 << width) - 1}L) + {kind << 11}L, 32)")
+            at += width
+        return f"array({', '.join(out)})"
 
     def steps(h: int) -> str:
         up = f"filter(sequence(0, 15), i -> (shiftrightunsigned(v{h}, 2 * i) & 3) < 2)"
         down = f"filter(sequence(0, 15), i -> (shiftrightunsigned(v{h}, 2 * i) & 3) > 0)"
-        return f"IF(odd{h}, concat(transform({up}, i -> v{h} + shiftleft(1L, 2 * i)), transform({down}, i -> v{h} - shiftleft(1L, 2 * i))), cast(array() AS array<bigint>))"
+        return f"concat(transform({up}, i -> v{h} + shiftleft(1L, 2 * i)), transform({down}, i -> v{h} - shiftleft(1L, 2 * i)))"
 
-    # The half's number above its 32 bits makes one key.
-    cells = halves.selectExpr("fp", "array(v0, v1 + 4294967296L) AS own", f"concat({steps(0)}, transform({steps(1)}, v -> v + 4294967296L)) AS near")
-    own = cells.selectExpr("fp AS b", "explode(own) AS cell")
-    asked = cells.selectExpr("fp AS a", "inline(concat(transform(own, c -> struct(c AS cell, true AS same)), transform(near, c -> struct(c AS cell, false AS same))))")
+    three, four, none = (11, 11, 10), (8, 8, 8, 8), "cast(array() AS array<bigint>)"
+    same = "concat({})".format(", ".join(f"transform({pieces(h, four)}, p -> p + v{h})" for h in (0, 1)))
+    even = "concat({})".format(", ".join(f"IF(odd{h}, {none}, transform({pieces(h, three)}, p -> p + v{h}))" for h in (0, 1)))
+    odd = "concat({})".format(", ".join(f"IF(odd{h}, flatten(transform({pieces(h, three)}, p -> transform({steps(h)}, v -> p + v))), {none})" for h in (0, 1)))
+    own = halves.selectExpr("fp AS b", f"explode(concat({same}, {even})) AS cell")
+    asked = halves.selectExpr("fp AS a", f"inline(concat(transform({same}, c -> struct(c AS cell, true AS same)), transform({odd}, c -> struct(c AS cell, false AS same))))")
     pairs = asked.hint("merge").join(own, "cell").filter(f"(a < b OR NOT same) AND a <> b AND bit_count(a ^ b) <= {RADIUS}")
     return pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
 
@@ -121,8 +144,149 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _classes(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
+# --- near copies --------------------------------------------------------------------------------------------
+
+#: Words of a shingle, the least cosine of two near copies' shingle sets, and its square as a fraction.
+COPY_SHINGLE, SIMILAR = 5, 0.8
+SIMILAR_SQUARE = (16, 25)
+#: Bits of a long fingerprint; the first WIDE of them go along with each cell.
+BITS, WIDE = 1024, 128
+#: Texts that share a cell by chance are 2**SPARE; a pair at exactly SIMILAR is found with the probability RECALL.
+SPARE, RECALL = 8, 0.97
+#: Choices of segments that the first, cheaper round looks at.
+FIRST = 8
+#: Texts of a group known to be linked, from which on it is left out of comparisons within itself.
+BIG = 64
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of a text in UTF-8; fewer than five words, or none, are one shingle."""
+    words = text.translate(LOWER).split()
+    joined = {b" ".join(five) for five in zip(*(words[k:] for k in range(COPY_SHINGLE)))} or {b" ".join(words)}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), np.uint64, len(joined)))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return SIMILAR_SQUARE[1] * shared * shared >= SIMILAR_SQUARE[0] * len(a) * len(b)
+
+
+def long_fingerprint(keys: np.ndarray) -> np.ndarray:
+    """BITS bits, packed little-endian: set if so in over half of the shingles' hashes, each drawn out by a finalizer."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(keys), 255):
+        x = keys[at : at + 255, None] + np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(keys), bitorder="little")
+
+
+def grids(n: int) -> np.ndarray:
+    """By row: the bits that make the cells of one choice of segments, for n texts."""
+    differ = math.acos(SIMILAR) / math.pi
+    size = min(40, max(0, math.ceil(math.log2(max(n, 1))) - SPARE))
+    met = (1 - differ) ** size
+    count = 1 if met == 1 else math.ceil(math.log(1 - RECALL) / math.log(1 - met))
+    rng = np.random.default_rng(SEED)
+    return np.array([rng.choice(BITS, size, replace=False) for _ in range(count)], np.int64).reshape(count, size)
+
+
+def within(bits: int) -> int:
+    """Differing bits out of so many that a pair at SIMILAR exceeds with a probability below 1 in 1,000."""
+    differ = math.acos(SIMILAR) / math.pi
+    return math.ceil(bits * differ + 3.2 * math.sqrt(bits * differ * (1 - differ)))
+
+
+def _binary(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    return batch.column(column).cast(pa.binary()).to_pylist()
+
+
+def _long_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [long_fingerprint(shingles(text)).tobytes() for text in _binary(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "bits"])
+
+
+def _cells(choices: np.ndarray):
+    """A row (cell, id, root, w0, w1) for each text and choice of segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, size = choices.shape
+        for batch in batches:
+            n = batch.num_rows
+            packed = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(n, BITS // 8)
+            wide = packed[:, : WIDE // 8].copy().view(np.int64)
+            bits = np.unpackbits(packed, axis=1, bitorder="little")
+            cell = (np.arange(count) << 40) + bits[:, choices.ravel()].reshape(n, count, size).astype(np.int64) @ (1 << np.arange(size, dtype=np.int64))
+            columns = [cell.ravel(), *(np.repeat(x, count) for x in (batch.column("id").to_numpy(), batch.column("root").to_numpy(), wide[:, 0], wide[:, 1]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "id", "root", "w0", "w1"])
+
+    return run
+
+
+CELLS = "cell long, id long, root long, w0 long, w1 long"
+APART = "bit_count(w0 ^ {0}w0) + bit_count(w1 ^ {0}w1)"
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, held = None, None
+    for batch in batches:
+        a, b, keep = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
+        for k, (x, text, other) in enumerate(zip(a, _binary(batch, "text_a"), _binary(batch, "text_b"))):
+            if x != last:
+                last, held = x, shingles(text)
+            if similar(held, shingles(other)):
+                keep.append(k)
+        yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
+
+
+def _similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose whole texts are similar."""
+    asked = pairs.selectExpr("explode(array(a, b)) AS id").distinct()
+    held = texts.join(asked, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    both = pairs.join(held.selectExpr("id AS b", "text AS text_b"), "b").hint("merge").join(held.selectExpr("id AS a", "text AS text_a"), "a")
+    found = cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"))
+    release(texts.sparkSession)
+    return found
+
+
+def near_copies(texts: DataFrame, n: int) -> DataFrame:
+    """(a, b): similar texts of texts (id, text; n rows), enough of them to link all found similar, directly or over others."""
+    prints = spool(texts.mapInArrow(_long_fingerprints, "id long, bits binary").dropDuplicates(["id"]))
+    choices, limit = grids(n), within(WIDE)
+    entries = prints.selectExpr("id", "id AS root", "bits").mapInArrow(_cells(choices[:FIRST]), CELLS)
+    middle = entries.groupBy("cell").agg(F.min(F.struct("id", "w0", "w1")).alias("o"), F.count("*").alias("met")).filter("met > 1").drop("met")
+    first = entries.join(middle, "cell").filter(f"id <> o.id AND {APART.format('o.')} <= {limit}").groupBy("id").agg(F.min(F.struct(F.expr(APART.format("o.")), F.col("o.id").alias("id"))).alias("o"))
+    first = cut(first.selectExpr("least(id, o.id) AS a", "greatest(id, o.id) AS b").distinct())
+    links = _similar_pairs(first, texts)
+
+    roots = cut(components(links))
+    big = cut(roots.groupBy("root").agg(F.count("*").alias("members")).filter(f"members >= {BIG}").select("root"))
+    placed = prints.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "bits")
+    crowd = placed.join(big, "root", "left_semi").select("id", "root", "bits").mapInArrow(_cells(choices), CELLS)
+    crowd = crowd.groupBy("cell", "root").agg(F.count("*").alias("members")).groupBy("cell").agg(F.max(F.struct("members", "root")).getField("root").alias("most"))
+    entries = placed.mapInArrow(_cells(choices), CELLS)
+    asked = entries.join(crowd, "cell", "left").filter("most IS NULL OR root <> most")
+    other = entries.selectExpr("cell", "id AS o_id", "root AS o_root", "w0 AS o_w0", "w1 AS o_w1")
+    met = asked.hint("merge").join(other, "cell").filter(f"root <> o_root AND (id < o_id OR o_root = most) AND {APART.format('o_')} <= {limit}")
+    rest = cut(met.selectExpr("least(id, o_id) AS a", "greatest(id, o_id) AS b").distinct())
+    release(texts.sparkSession)
+    return links.unionByName(_similar_pairs(rest.join(first, ["a", "b"], "left_anti"), texts))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each component the row with the smallest doc_id (of equals, the least text hash; nulls last), with docs' own columns."""
+    """Of texts linked as near copies, the row with the smallest doc_id (of equals, the least text hash; nulls last), with docs' own columns.
+
+    A null text counts as empty; texts without a word are near copies of each other and of no others. Texts of fewer than
+    five words are near copies if their words, A-Z lower-cased, are the same.
+    """
+    prepare(docs.sparkSession)
+    texts = docs.select(F.xxhash64(whole_text()).alias("id"), whole_text().alias("text"))
+    roots = components(near_copies(texts, docs.count())).withColumnRenamed("node", "id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("id"))
     place = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    first = _classes(docs).groupBy("root").agg(F.min(F.struct(place.alias("place"), "doc_id", "text_id")).alias("first"))
-    return only(docs, first.select("first.doc_id", "first.text_id"), F.col("doc_id").cast("long"), F.xxhash64(whole_text()))
+    linked = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    first = linked.groupBy("root").agg(F.min(F.struct(place.alias("place"), "doc_id", "id")).alias("first"))
+    return only(docs, first.select("first.doc_id", "first.id"), F.col("doc_id").cast("long"), F.xxhash64(whole_text()))

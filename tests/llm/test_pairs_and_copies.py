@@ -9,7 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lumenark.llm import exact_dedup, near_copies, simhash, sketches, substrings
+from lumenark.llm import exact_dedup, simhash, sketches, substrings
 
 
 def key(i):
@@ -117,15 +117,6 @@ def test_components_of_a_chain_a_star_and_a_ring(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 131), 100), **dict.fromkeys(range(200, 209), 200)}
 
 
-def test_simhash_keep_one(documents, awkward):
-    df = documents(awkward)
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns
-    label = brute_components([brute_fingerprint(t or "") for _, t in awkward])
-    got = [label[brute_fingerprint(r.text or "")] for r in kept.collect()]
-    assert sorted(got) == sorted(set(label.values()))
-
-
 # --- near copies -------------------------------------------------------------------------------------------
 
 
@@ -135,21 +126,21 @@ def brute_similar(a, b):
         return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
 
     a, b = fives(a), fives(b)
-    return 5 * len(a & b) >= 4 * len(a | b)
+    return 25 * len(a & b) ** 2 >= 16 * len(a) * len(b)
 
 
-@pytest.mark.parametrize("sample, seen", [(16, 8), (1, 2)])
-def test_the_pipeline_drops_all_near_copies(documents, awkward, monkeypatch, sample, seen):
+@pytest.mark.parametrize("spare, recall, big", [(8, 0.97, 64), (0, 0.99999, 3)])  # all in one cell; many choices of cells of 7 bits
+def test_the_pipeline_drops_near_copies(documents, awkward, monkeypatch, spare, recall, big):
     import corpus_pipeline
 
-    monkeypatch.setattr(near_copies, "SAMPLE", sample)
-    monkeypatch.setattr(near_copies, "SEEN", seen)
+    for name, value in (("SPARE", spare), ("RECALL", recall), ("BIG", big)):
+        monkeypatch.setattr(simhash, name, value)
     rng, rows = np.random.default_rng(8), [r for r in awkward if r[0] != 40]
     for k in range(12):
         words = [f"w{x}" for x in rng.integers(0, 9999, 200)]
-        for copy in range(5):  # up to four words replaced: similarities on both sides of 0.8
+        for copy in range(5):  # words replaced: similarities on both sides of 0.8
             changed = list(words)
-            for at in rng.choice(200, copy, replace=False):
+            for at in rng.choice(200, 3 * copy, replace=False):
                 changed[at] = f"new{k}.{copy}.{at}"
             rows.append((1000 + 10 * k + copy, " ".join(changed)))
     texts = sorted({t or "" for _, t in rows})
@@ -167,7 +158,15 @@ def test_the_pipeline_drops_all_near_copies(documents, awkward, monkeypatch, sam
     kept = corpus_pipeline.distant_documents(None, df, "")
     assert kept.columns == df.columns
     assert sorted(float("inf") if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(least.values())
-    assert near_copies.keep_one(documents([])).count() == 0
+    assert simhash.keep_one(documents([])).count() == 0
+
+
+def test_bits_differ_by_the_angle():
+    rng = np.random.default_rng(6)
+    a = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
+    b = np.unique(np.concatenate([a[:2400], rng.integers(0, 1 << 63, 600).astype(np.uint64)]))
+    differ = np.unpackbits(simhash.long_fingerprint(a) ^ simhash.long_fingerprint(b)).mean()
+    assert abs(differ - np.arccos(0.8) / np.pi) < 0.04
 
 
 # --- sketches ----------------------------------------------------------------------------------------------
