@@ -3,8 +3,9 @@
 A text is a bag of hashed features: words and marks, their pairs, and pairs of word shapes (case, digits, the
 mark itself, whether a token repeats the one before). Two generative models over the buckets are
 counted: target (documents labelled good, a bounded sample of them) and raw (every document). A document's
-log weight is the sum of its features' log ratios; adding Gumbel noise seeded by doc_id and taking the
-k largest draws k documents without replacement in proportion to their weights.
+log weight is the sum of its features' log ratios, scaled down to EVIDENCE features where it has more: features of
+one text are far from independent, and a plain sum grows with the length and leaves nothing to the draw. Adding Gumbel
+noise seeded by doc_id and taking the k largest draws k documents without replacement in proportion to their weights.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,12 @@ SEED = 23
 #: The target model leans on the raw one as if it had seen so many more features of each bucket, dealt as in raw text.
 PSEUDO_COUNT = 16
 
+#: As many features a text's log weight may stand for.
+EVIDENCE = 64
+
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Code points looked at at once, so that a very long text takes no more memory than others.
-STRIDE = 1 << 20
+#: Tokens looked at at once, so that a very long text takes little more memory than others; the last one is carried over.
+STRIDE = 1 << 17
 
 
 def _shape(token: str) -> int:
@@ -47,16 +52,18 @@ def _shape(token: str) -> int:
 
 def features(text: str) -> np.ndarray:
     """The buckets of a text's features, repeats included."""
-    found = []
-    for at in range(0, len(text), STRIDE):
-        tokens = TOKEN.findall(text, at, at + STRIDE)
-        if not tokens:
-            continue
-        words = np.fromiter((zlib.crc32(t.encode()) for t in map(str.lower, tokens)), np.uint64, len(tokens))
-        shapes = np.fromiter(map(_shape, tokens), np.int64, len(tokens))
-        pairs = (words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) >> np.uint64(11)
-        same = (words[:-1] == words[1:]).astype(np.int64)
-        found += [words % WORD_BUCKETS, pairs % WORD_BUCKETS, WORD_BUCKETS + (shapes[:-1] * 67 + shapes[1:] * 2 + same) % SHAPE_BUCKETS]
+    found, tokens = [], TOKEN.finditer(text)
+    before: tuple[int, int] | None = None  # the last token's word and shape
+    while some := [m[0] for m in islice(tokens, STRIDE)]:
+        own = np.fromiter((zlib.crc32(t.encode()) for t in map(str.lower, some)), np.uint64, len(some))
+        shapes = np.fromiter(map(_shape, some), np.int64, len(some))
+        found.append(own % WORD_BUCKETS)
+        if before:
+            own, shapes = np.concatenate([np.array([before[0]], np.uint64), own]), np.concatenate([[before[1]], shapes])
+        pairs = (own[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[1:]) >> np.uint64(11)
+        same = (own[:-1] == own[1:]).astype(np.int64)
+        found += [pairs % WORD_BUCKETS, WORD_BUCKETS + (shapes[:-1] * 67 + shapes[1:] * 2 + same) % SHAPE_BUCKETS]
+        before = int(own[-1]), int(shapes[-1])
     return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
@@ -105,7 +112,7 @@ def _score(ratios: np.ndarray):
             for text in batch.column("text").to_pylist():
                 found = features(text)
                 sizes.append(len(found))
-                sums.append(float(ratios[found].sum()))
+                sums.append(float(ratios[found].sum()) * min(1.0, EVIDENCE / max(1, len(found))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], ["doc_id", "log_weight", "n_features"])
 
     return run
@@ -142,7 +149,8 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, target_ro
     kept marks the k rows with the largest sample_key (rows that tie with the last stay too). Without k it is the
     number of documents that target explains at least as well as raw, allowing for the share of good labels:
     those with log_weight >= log(1/2 / share). A null or empty text has no features and weight 0; null
-    doc_ids share one draw of noise. Without good labels all weights are 0 and all rows stay.
+    doc_ids share one draw of noise. Without good labels all weights are 0 and all rows stay. Texts of any length are read
+    whole. Models are counted, and texts scored, by jobs that run when this is called.
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))

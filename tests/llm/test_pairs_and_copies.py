@@ -172,19 +172,31 @@ def test_bits_differ_by_the_angle():
 # --- sketches ----------------------------------------------------------------------------------------------
 
 
-def brute_sketch(text):
+def brute_hashes(text):
     words, hashes = text.encode().split(), []
     for i in range(max(len(words) - 5, 0) + 1 if words else 0):
         h = 42
         for w in words[i : i + 5]:
             h = xxhash.xxh64_intdigest(w, h)
         hashes.append(h - (1 << 64) if h >> 63 else h)
+    return hashes
+
+
+def brute_sketch(text):
+    """Hashes below the threshold, and the least one where there are none."""
+    hashes = brute_hashes(text)
     kept = sorted({h for h in hashes if h < -(1 << 63) + (1 << 64) // sketches.SCALE})
-    return kept or hashes[:0] + ([min(hashes)] if hashes else [])
+    return kept, None if kept or not hashes else min(hashes)
+
+
+def brute_string(text):
+    kept, least = brute_sketch(text)
+    return ",".join(f"{h % (1 << 64):016x}" for h in kept) if kept or least is None else f"~{least % (1 << 64):016x}"
 
 
 def brute_likeness(a, b):
-    return 1.0 if not a and not b else len({*a} & {*b}) / len({*a} | {*b})
+    (a, x), (b, y) = brute_sketch(a), brute_sketch(b)
+    return float(x == y) if not a and not b else len({*a} & {*b}) / len({*a} | {*b})
 
 
 def test_fingerprints(documents, awkward):
@@ -197,9 +209,7 @@ def test_fingerprints(documents, awkward):
         t, after = t or "", follow.get(i, "")
         k = len(t) // 4
         edited = t[: len(t) - k] + after[:k]
-        a, b, c = brute_sketch(t), brute_sketch(edited), brute_sketch(after)
-        text = lambda s: ",".join(f"{h % (1 << 64):016x}" for h in s)
-        want.append((key(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), text(a), text(b), brute_likeness(a, b), brute_likeness(a, c) if i is not None else 0.0))
+        want.append((key(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), brute_string(t), brute_string(edited), brute_likeness(t, edited), brute_likeness(t, after) if i is not None else 0.0))
     got = sketches.fingerprints(documents(rows)).collect()
     assert sorted((key(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got) == sorted(want)
     assert sketches.fingerprints(documents([])).count() == 0
@@ -208,21 +218,33 @@ def test_fingerprints(documents, awkward):
     assert alone.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and alone.near_next == 1.0
 
 
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.text("f \f\t\n\x0bab", max_size=40), min_size=1, max_size=12, unique=True))
+def test_sketches_of_letters_f_and_form_feeds(documents, texts):
+    got = {r.doc_id: r.fingerprint for r in sketches.fingerprints(documents(list(enumerate(texts)))).collect()}
+    assert got == {i: brute_string(t) for i, t in enumerate(texts)}
+
+
 def test_form_feeds_are_space_and_the_letter_f_is_not(documents):
     rows = [(1, "\fa page that starts with a form feed"), (2, "and one that ends so\f\f"), (3, "ffor the life of f"), (4, "fff"), (5, "\f"), (6, "f"), (7, "\f \fother words")]
     got = {r.doc_id: r.fingerprint for r in sketches.fingerprints(documents(rows)).collect()}
-    assert got == {i: ",".join(f"{h % (1 << 64):016x}" for h in brute_sketch(t)) for i, t in rows}
+    assert got == {i: brute_string(t) for i, t in rows}
 
 
 def test_sketches_merge(spark):
+    """The union of two sketches is the sketch of all shingles of both, short texts without a kept hash included."""
     from pyspark.sql import functions as F
 
     a, b = " ".join(f"w{i}" for i in range(400)), " ".join(f"v{i}" for i in range(2000))
-    df = spark.createDataFrame([(a, b, f"{a} {b}")], "a string, b string, whole string")
-    for c in ("a", "b", "whole"):
+    rows = [(a, b), (a, "one"), ("one", "two"), ("", b), ("p q r", "s t u v w x")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for c in ("a", "b"):
         df = sketches.with_sketch(df, c, f"s_{c}")
-    row = df.select(sketches.merged("s_a", "s_b").alias("m"), "s_whole", sketches.containment("s_a", "s_whole").alias("c"), F.size("s_a").alias("n")).first()
-    assert set(row.m) <= set(row.s_whole) and len(row.s_whole) - len(row.m) <= 4 and row.c == 1.0 and 25 < row.n < 80
+    for row in df.withColumn("m", sketches.merged("s_a", "s_b")).collect():
+        assert row.m == sorted({h for t in (row.a, row.b) for h in brute_hashes(t) if h < -(1 << 63) + (1 << 64) // sketches.SCALE})
+    whole = sketches.with_sketch(spark.createDataFrame([(a, f"{a} {b}")], "a string, whole string"), "a", "s_a")
+    row = sketches.with_sketch(whole, "whole", "s_whole").select(sketches.containment("s_a", "s_whole").alias("c"), F.size("s_a").alias("n")).first()
+    assert row.c == 1.0 and 60 < row.n < 140
 
 
 # --- substring dedup -----------------------------------------------------------------------------------------

@@ -263,6 +263,45 @@ def test_resample_tells_junk_from_prose(documents, awkward, spark):
     assert quality.resample(documents([]), labels).count() == 0
 
 
+def brute_features(text):
+    found = [re.findall(r"\w+|[^\w\s]+", text)]
+    words = [zlib.crc32(t.lower().encode()) for t in found[0]]
+    shapes = [quality._shape(t) for t in found[0]]
+    out = [w % quality.WORD_BUCKETS for w in words]
+    for (v, w), (x, y) in zip(zip(words, words[1:]), zip(shapes, shapes[1:])):
+        out.append(((v * 0x9E3779B97F4A7C15 + w) % (1 << 64) >> 11) % quality.WORD_BUCKETS)
+        out.append(quality.WORD_BUCKETS + (x * 67 + y * 2 + (v == w)) % quality.SHAPE_BUCKETS)
+    return out
+
+
+@pytest.mark.parametrize("stride", [1 << 17, 7])
+def test_log_weights_and_draws_by_hand(documents, awkward, spark, monkeypatch, stride):
+    monkeypatch.setattr(quality, "STRIDE", stride)
+    rows = [r for r in awkward if r[0] != 28] + [(90 + k, "one, two! 33 " * (3 + 40 * k)) for k in range(4)]
+    assert sorted(quality.features("a B, c! " * 99)) == sorted(brute_features("a B, c! " * 99))
+    good = {0, 1, 2, 26, 91}
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(90, 0, 0), (3, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        own = Counter(brute_features(t or ""))
+        raw += own
+        if i in good:
+            target += own
+    ratios = {}
+    for low, high in ((0, quality.WORD_BUCKETS), (quality.WORD_BUCKETS, quality.BUCKETS)):
+        part = sum(n for b, n in target.items() if low <= b < high) / sum(n for b, n in raw.items() if low <= b < high)
+        ratios |= {b: math.log((target[b] + quality.PSEUDO_COUNT) / (raw[b] * part + quality.PSEUDO_COUNT)) for b in raw if low <= b < high}
+    want = sorted((-1 if i is None else i, len(f), sum(ratios[b] for b in f) * min(1, quality.EVIDENCE / max(1, len(f)))) for i, t in rows for f in [brute_features(t or "")])
+    got = quality.resample(documents(rows), labels).collect()
+    found = sorted((-1 if r.doc_id is None else r.doc_id, r.n_features, r.log_weight) for r in got)
+    assert [f[:2] for f in found] == [w[:2] for w in want] and [f[2] for f in found] == pytest.approx([w[2] for w in want], abs=1e-9)
+    k = sum(w[2] >= math.log(0.5 / (6 / 7)) for w in want)  # of seven labels with a quality, six are 1
+    least = sorted((r.sample_key for r in got), reverse=True)[k - 1]
+    assert all(r.kept == (r.sample_key >= least) for r in got)
+    noise = {r.doc_id: r.sample_key - r.log_weight for r in got}
+    assert len({round(x, 9) for x in noise.values()}) == len(noise) and all(-4 < x < 40 for x in noise.values())
+
+
 # --- mixing ------------------------------------------------------------------------------------------------------------
 
 
