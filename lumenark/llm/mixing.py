@@ -3,13 +3,14 @@
 A token budget is handed down a tree domain - language - source. Among siblings it is divided by weight; a
 child that cannot use its part (its documents times the epochs allowed) leaves the rest to its siblings, and
 only what a whole family cannot use goes back to its parent's siblings. As a family's capacity is the
-sum of its members', handing down capped shares level by level does just that. With siblings in the order
-of capacity over weight, the level at which shares settle is the largest of
-(budget - capacities before) / (weights from here on), so each level is one window over a small table.
+sum of its members', handing down capped shares level by level does just that. Among siblings, shares are raised
+to one level, (budget - capacities of the full) / (weights of the others), again and again until no more
+of them are full: each time one aggregation by family, however many siblings it has.
 
 A leaf then takes whole epochs of its documents and the prefix of one more, in an order seeded by epoch.
-Prefix sums go by 4,096 slices of that order, so a leaf with a third of the corpus is spread
-over 4,096 groups, and only token counts move.
+Prefix sums go by slices of that order, as many as the square root of the leaf's rows, so a leaf with a third of the corpus is
+spread over that many groups of about so many rows, and only token counts move. Rows that share id, names and token count are one
+document: they enter together or not at all.
 """
 
 from __future__ import annotations
@@ -51,26 +52,33 @@ def _weight(column: str, weights: Mapping[str, int]) -> Column:
     return out.cast("long")
 
 
-def _share(nodes: DataFrame, parent: list[str], name: str, budget: Column) -> DataFrame:
-    """nodes (parent, name, capacity, weight) and `share`: each one's part of its parent's budget."""
-    order = [F.col("capacity") / F.col("weight"), F.col(name)]
-    family = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    before = F.coalesce(F.sum("capacity").over(family.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    onward = F.sum("weight").over(family.orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
-    levels = nodes.withColumn("_level", (budget - before.cast("double")) / onward.cast("double"))
-    return levels.withColumn("share", F.least(F.col("capacity").cast("double"), F.col("weight").cast("double") * F.max("_level").over(family))).drop("_level")
+def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
+    """nodes (parent, more, capacity, weight, _budget of the parent) and `share`: each one's part of that budget."""
+    nodes = cut(nodes.withColumn("_full", F.lit(False)))
+    before = -1
+    while True:
+        levels = nodes.groupBy(*parent).agg(
+            F.max("_budget").alias("_b"), F.coalesce(F.sum(F.when(F.col("_full"), F.col("capacity"))), F.lit(0)).cast("double").alias("_used"), F.sum(F.when(~F.col("_full"), F.col("weight"))).cast("double").alias("_open")
+        ).select(*parent, ((F.col("_b") - F.col("_used")) / F.col("_open")).alias("_level"))  # null where all are full
+        leveled = nodes.join(levels, parent) if parent else nodes.crossJoin(levels)  # without a parent levels is one row
+        share = F.least(F.col("capacity").cast("double"), F.col("weight").cast("double") * F.col("_level"))
+        leveled = cut(leveled.withColumn("share", F.when(F.col("_full"), F.col("capacity").cast("double")).otherwise(share)).withColumn("_full", F.col("_full") | (F.col("share") >= F.col("capacity"))))
+        full = leveled.filter("_full").count()
+        if full == before or not full:
+            return leveled.drop("_full", "_level", "_budget")
+        nodes, before = leveled.drop("share", "_level"), full
 
 
 def leaf_budgets(leaves: DataFrame, budget: tuple[int, int] = BUDGET, max_epochs: int = MAX_EPOCHS, weights: tuple[Mapping[str, int], ...] = (DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS)) -> DataFrame:
-    """(domain, lang, source, leaf_tokens) to the same and leaf_budget, tokens to take from the leaf."""
+    """(domain, lang, source, leaf_tokens, leaf_rows) to the same and leaf_budget, tokens to take from the leaf."""
     leaves = leaves.withColumn("capacity", F.col("leaf_tokens") * max_epochs)
     langs = leaves.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity"))
     domains = langs.groupBy("domain").agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weight("domain", weights[0]))
-    whole = F.floor(F.sum("capacity").over(Window.partitionBy(F.lit(0))) / max_epochs * budget[0] / budget[1]).cast("double")
-    domains = _share(domains.withColumn("_all", whole), [], "domain", F.col("_all")).select("domain", F.col("share").alias("_budget"))
-    langs = _share(langs.join(domains, "domain").withColumn("weight", _weight("lang", weights[1])), ["domain"], "lang", F.col("_budget")).select("domain", "lang", F.col("share").alias("_budget"))
-    leaves = _share(leaves.join(langs, ["domain", "lang"]).withColumn("weight", _weight("source", weights[2])), ["domain", "lang"], "source", F.col("_budget"))
-    return leaves.select(*LEAF, "leaf_tokens", F.floor("share").cast("long").alias("leaf_budget"))
+    whole = domains.agg(F.floor(F.sum("capacity") / max_epochs * budget[0] / budget[1]).cast("double").alias("_budget"))
+    domains = _share(domains.crossJoin(whole), []).select("domain", F.col("share").alias("_budget"))  # whole is one row
+    langs = _share(langs.join(domains, "domain").withColumn("weight", _weight("lang", weights[1])), ["domain"]).select("domain", "lang", F.col("share").alias("_budget"))
+    leaves = _share(leaves.join(langs, ["domain", "lang"]).withColumn("weight", _weight("source", weights[2])), ["domain", "lang"])
+    return leaves.select(*LEAF, "leaf_tokens", "leaf_rows", F.floor("share").cast("long").alias("leaf_budget"))
 
 
 def mix(docs: DataFrame, domain: Column | None = None, budget: tuple[int, int] = BUDGET, max_epochs: int = MAX_EPOCHS, weights: tuple[Mapping[str, int], ...] = (DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS), seed: int = SEED) -> DataFrame:
@@ -79,19 +87,21 @@ def mix(docs: DataFrame, domain: Column | None = None, budget: tuple[int, int] =
     tokens counts the text's words; copies is how often the document enters the mix: once for each whole
     epoch of its leaf, and once more if the seeded order of the next epoch reaches its last token within the
     budget. Null names count as empty ones, null texts as empty (they enter with every epoch, and cost
-    nothing). Equal places in an order go by doc_id, then by tokens; null doc_ids come first.
+    nothing). Equal places in an order go by doc_id, then by tokens; null doc_ids come first. Rows equal in doc_id, lang,
+    source and tokens get the same copies. Budgets are found by jobs that run when this is called.
     """
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (domain_of_source() if domain is None else domain).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("tokens")))
-    leaves = leaf_budgets(rows.groupBy(*LEAF).agg(F.sum("tokens").alias("leaf_tokens")), budget, max_epochs, weights)
+    leaves = leaf_budgets(rows.groupBy(*LEAF).agg(F.sum("tokens").alias("leaf_tokens"), F.count("*").alias("leaf_rows")), budget, max_epochs, weights)
     leaves = leaves.withColumn("whole", F.expr("CASE WHEN leaf_tokens = 0 THEN 0 ELSE leaf_budget DIV leaf_tokens END")).withColumn("rest", F.expr("leaf_budget - whole * leaf_tokens"))
     leaves = cut(leaves)
     if leaves.count() <= BROADCAST_LEAVES:
         leaves = F.broadcast(leaves)  # counted just now; more leaves join by a shuffle, whose hot leaves Spark splits
     dealt = rows.join(leaves, LEAF).withColumn("place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    dealt = dealt.withColumn("slice", F.substring("place", 1, 3))
+    # The slice grows with the place: its first 32 bits, scaled to as many slices as the root of the leaf's rows.
+    dealt = dealt.withColumn("slice", F.expr("shiftright(cast(conv(substring(place, 1, 8), 16, 10) AS bigint) * cast(ceil(sqrt(leaf_rows)) AS bigint), 32)"))
     slices = dealt.groupBy(*LEAF, "slice").agg(F.sum("tokens").alias("t"))
     before = slices.select(*LEAF, "slice", (F.sum("t").over(Window.partitionBy(*LEAF).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")).alias("before"))
-    inside = Window.partitionBy(*LEAF, "slice").orderBy("place", F.col("doc_id").asc_nulls_first(), "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*LEAF, "slice").orderBy("place", F.col("doc_id").asc_nulls_first(), "tokens")  # up to the last row that is equal in these
     reached = dealt.withColumn("inside", F.sum("tokens").over(inside)).join(before, [*LEAF, "slice"])
     return reached.select("doc_id", *LEAF, "tokens", "leaf_budget", (F.col("whole") + F.when(F.col("before") + F.col("inside") <= F.col("rest"), 1).otherwise(0)).cast("long").alias("copies"))
 
@@ -126,5 +136,5 @@ s2 AS (SELECT domain, lang, source, leaf_tokens, cast(floor(least(cast(capacity
 s3 AS (SELECT *, CASE WHEN leaf_tokens = 0 THEN 0 ELSE leaf_budget // leaf_tokens END AS whole FROM s2),
 dealt AS (SELECT rows.*, leaf_budget, whole, leaf_budget - whole * leaf_tokens AS rest, md5('17:' || whole || ':' || coalesce(cast(doc_id AS varchar), '')) AS place FROM rows JOIN s3 USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, tokens, leaf_budget,
-       cast(whole + CASE WHEN sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id NULLS FIRST, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest THEN 1 ELSE 0 END AS bigint) AS copies
+       cast(whole + CASE WHEN sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id NULLS FIRST, tokens RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest THEN 1 ELSE 0 END AS bigint) AS copies
 FROM dealt"""

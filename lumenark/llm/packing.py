@@ -2,7 +2,7 @@
 
 Texts are tokenised where they lie; only some 40 bytes a piece go on. The tokenizer drops ASCII white space and
 never looks across it, so ids are kept per word (two generations of a bounded cache) and joined.
-Pieces are then dealt at random over shards of about SHARD pieces, each packed by itself: a piece
+Pieces are then dealt at random, equal rows apart, over shards of about SHARD pieces, each packed by itself: a piece
 goes where the sum over residual gaps of the squared number of open sequences with that gap
 becomes least, a new sequence being one of the choices. Two orders are tried, large pieces by falling
 size and then the rest as dealt, and all by falling size; the one that needs fewer sequences stands. A shard
@@ -15,6 +15,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -87,17 +88,20 @@ class WordIds:
             self.old, self.new = self.new, {}
         if len(self.known_parts) > KEPT_WORDS:
             self.known_parts = {}
-        simple, others = [], []
-        for word in words.difference(self.new):
-            if (ids := self.old.get(word)) is not None:
-                self.new[word] = ids
-                continue
-            text = word.decode()
-            if _SIMPLE.fullmatch(text):
+        single, simple, others = [], [], []
+        known, old = self.new, self.old.get
+        for word in words.difference(known):
+            if (ids := old(word)) is not None:
+                known[word] = ids
+            elif word.isalpha():  # ASCII letters only: one part
+                single.append((word, word.lower().decode()))
+            elif _SIMPLE.fullmatch(text := word.decode()):
                 simple.append((word, _PARTS.findall(text.lower())))
             else:
                 others.append((word, text))
-        unseen = list({p for _, parts in simple for p in parts}.difference(self.known_parts))
+        unseen = {p for _, p in single}
+        unseen.update(chain.from_iterable(parts for _, parts in simple))
+        unseen = list(unseen.difference(self.known_parts))
         for at in range(0, len(unseen), 1024):
             some = unseen[at : at + 1024]
             ids = np.array(self.parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -105,11 +109,13 @@ class WordIds:
             found = ids.tobytes()
             self.known_parts.update(zip(some, (found[x:y] for x, y in zip([0, *stops], stops)), strict=True))
         get = self.known_parts.__getitem__
+        for word, part in single:
+            known[word] = get(part)
         for word, parts in simple:
-            self.new[word] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
+            known[word] = b"".join(map(get, parts))
         if others:
             for (word, _), found in zip(others, self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False)):
-                self.new[word] = np.array(found.ids, "<u4").tobytes()
+                known[word] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Of each text in turn; words are learned for a few MB of text at a time."""
@@ -147,27 +153,40 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(_pieces(tokenizer, capacity), PIECE)
 
 
-def sum_of_squares(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Positions of sizes (1 to capacity) in each sequence, in the order given."""
+def placements(sizes: list[int], capacity: int) -> list[int | None]:
+    """For each of sizes (1 to capacity) in turn, the gap of the open sequence it goes to, or None for a new one."""
     count = np.zeros(capacity + 1, np.int64)  # open sequences by residual gap
-    open_at: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
-    out: list[list[int]] = []
-    for k, size in enumerate(sizes):
+    out: list[int | None] = []
+    for size in sizes:
         # What the sum changes by if the piece leaves gap 0, 1, ... in an open sequence.
         change = 2 * (count[: capacity + 1 - size] - count[size:]) + 2
         change[0] = 1 - 2 * count[size]
         change[count[size:] == 0] = 1 << 40
         gap = int(change.argmin())
         if change[gap] <= (2 * count[capacity - size] + 1 if size < capacity else 0):
-            members = open_at[gap + size].pop()
             count[gap + size] -= 1
+            out.append(gap + size)
         else:
-            members, gap = [], capacity - size
-            out.append(members)
-        members.append(k)
+            gap = capacity - size
+            out.append(None)
         if gap:
             count[gap] += 1
-            open_at[gap].append(members)
+    return out
+
+
+def sum_of_squares(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Positions of sizes in each sequence, in the order given."""
+    open_at: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
+    out: list[list[int]] = []
+    for k, (size, gap) in enumerate(zip(sizes, placements(sizes, capacity))):
+        if gap is None:
+            gap, members = capacity, []
+            out.append(members)
+        else:
+            members = open_at[gap].pop()
+        members.append(k)
+        if gap > size:
+            open_at[gap - size].append(members)
     return _merged(out, sizes, capacity)
 
 
@@ -210,9 +229,9 @@ def _pack(capacity: int):
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, seed: int = 0) -> DataFrame:
-    """sequence_id and offset for each piece; found is read twice, so cut it before."""
+    """sequence_id and offset for each piece; found is read twice and its rows are told apart by their places, so cut it before."""
     shards = max(1, -(-found.count() // shard))
-    dealt = found.withColumn("order", F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(seed)))
+    dealt = found.withColumn("order", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(seed)))
     dealt = dealt.withColumn("shard", F.expr(f"pmod(xxhash64(order), {shards}L)"))
     return dealt.groupBy("shard").applyInPandas(_pack(capacity), f"{PIECE}, sequence_id long, offset long")
 
@@ -222,6 +241,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, sh
 
     Pieces of a sequence lie gapless from offset 0. A null or empty text is one piece of length 1.
     Rows that repeat a doc_id are packed as documents of their own. A null doc_id stays null. No
-    rows give no sequences.
+    rows give no sequences. Texts are tokenised by a job that runs when this is called.
     """
     return pack(cut(pieces(docs, tokenizer, capacity)), capacity, shard)

@@ -214,6 +214,32 @@ def test_sum_of_squares_packs_all_once(sizes):
     assert all(sum(sizes[k] for k in b) <= 50 for b in bins)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=60))
+def test_each_piece_goes_where_the_sum_of_squares_is_least(sizes):
+    """Replays the placements: of all gaps that a piece could go to, and a new sequence, none gives a lesser sum."""
+    gaps, placed = Counter(), packing.placements(sizes, 20)
+    total = lambda gaps: sum(n * n for g, n in gaps.items() if g)
+    for size, gap in zip(sizes, placed, strict=True):
+        after = {}
+        for g in [g for g, n in gaps.items() if n and g >= size] + [None]:
+            tried = gaps.copy()
+            tried[20 if g is None else g] -= g is not None
+            tried[(20 if g is None else g) - size] += 1
+            after[g] = total(tried)
+        assert after[gap] == min(after.values())
+        if gap is not None:
+            gaps[gap] -= 1
+        gaps[(20 if gap is None else gap) - size] += 1
+        gaps[0] = 0
+
+
+def test_equal_rows_spread_over_shards(documents, spark):
+    rows = spark.createDataFrame([(5, 0, 0, 3, 77)] * 400, packing.PIECE)
+    got = packing.pack(packing.cut(rows), capacity=64, shard=100).selectExpr("sequence_id >> 32 AS shard").groupBy("shard").count().collect()
+    assert len(got) == 4 and sum(r["count"] for r in got) == 400 and max(r["count"] for r in got) < 160
+
+
 def test_packing_round_trip(documents, awkward, tokenizer):
     from tokenizers import Tokenizer
 
@@ -352,9 +378,10 @@ def test_mix_against_a_loop(spark, documents, awkward):
         whole, rest = divmod(budget, total) if total else (0, 0)
         used = 0
         order = sorted(members, key=lambda r: (hashlib.md5(f"17:{whole}:{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest(), -1 if r.doc_id is None else r.doc_id, r.tokens))
-        want = []
-        for r in order:
-            used += r.tokens
+        want, same = [], Counter((r.doc_id, r.tokens) for r in order)
+        for n, r in enumerate(order):
+            if not n or (r.doc_id, r.tokens) != (order[n - 1].doc_id, order[n - 1].tokens):
+                used += r.tokens * same[r.doc_id, r.tokens]  # equal rows enter together
             want.append(whole + (used <= rest))
         assert sorted(want) == sorted(r.copies for r in members) and sum(r.copies * r.tokens for r in members) <= budget
     taken = mixing.take(df)
@@ -362,6 +389,21 @@ def test_mix_against_a_loop(spark, documents, awkward):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_many_siblings_and_equal_rows(spark):
+    """Shares of a family in several rounds of filling up, and take() within its budget on repeated rows."""
+    rng = random.Random(2)
+    leaves = [("d0", "en", f"s{k}", rng.choice((0, 1, 5, 40, 400, 9000)), 3) for k in range(200)]
+    df = spark.createDataFrame(leaves, "domain string, lang string, source string, leaf_tokens long, leaf_rows long")
+    got = {r.source: r.leaf_budget for r in mixing.leaf_budgets(df, budget=(1, 9), weights=({}, {}, {f"s{k}": 1 + k % 5 for k in range(200)})).collect()}
+    want = fill(sum(r[3] for r in leaves) // 9, {r[2]: (2 * r[3], 1 + k % 5) for k, r in enumerate(leaves)})
+    assert all(abs(got[name] - share) <= 1 for name, share in want.items()) and len(got) == 200
+    rows = [(7, "a b c d", "en", "s1")] * 20 + [(8, "a b", "en", "s1")] * 3 + [(9, "x", "en", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mixed, taken = mixing.mix(docs, budget=(2, 3)).collect(), mixing.take(docs, budget=(2, 3)).collect()
+    tokens = sum(len(r.text.split()) for r in taken)
+    assert tokens == sum(r.copies * r.tokens for r in mixed) <= (80 + 6 + 1) * 2 // 3
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------------------
 
 
