@@ -9,14 +9,20 @@ paths differ (ends of repeated passages, anchors that meet by chance) branch; on
 written out one by one, aggregated and joined likewise. What comes back to a document is the coordinates of
 its edges with an earlier source, from which its removed words follow.
 
-Anchors that one document alone holds go no further than the first aggregation. Identity is by two
-independent 64-bit hashes: anchor and path, or two of an edge.
+Anchors that one document alone holds go no further than the first aggregation. Anchors with over a HOT-th of all
+occurrences (at most HOT of them) are sent to all tasks; the join by anchor is left with keys of a smaller share.
+
+Up to here identity is by hashes: anchor and path, or two of an edge. Then runs of edges with one source are joined into spans,
+and every different span is compared, word by word, with its source at the coordinates where its first edge
+occurs there. Equal words have equal hashes, so nothing is missed; if a span is not what its hashes say, all is
+done again with another seed.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +33,7 @@ from pyspark.sql import functions as F
 from lumenark.llm.common import prepare, release, spool, whole_text
 
 WINDOW, ANCHOR = 13, 5
+HOT = 1 << 16
 
 _MASK = (1 << 64) - 1
 #: Odd multipliers of the two hashes.
@@ -48,6 +55,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
+digest = xxhash.xxh64_intdigest
 _powers = tuple(map(_Powers, BASES))
 
 
@@ -59,10 +67,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Ranges:
     """Hashes of ranges of a word sequence: sum of word hash times base to the power of minus its place in the range."""
 
-    def __init__(self, words: list[bytes]):
-        digest = xxhash.xxh64_intdigest
+    def __init__(self, words: list[bytes], seed: int = 0):
         self.n = len(words)
-        self.words = np.fromiter(map(digest, words), np.uint64, self.n)
+        self.words = np.fromiter(map(digest, words, repeat(seed)), np.uint64, self.n)
 
     def sums(self, which: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = _powers[which].to(self.n)
@@ -102,64 +109,119 @@ def _signed(parts: list[np.ndarray]) -> pa.Array:
     return pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        anchors, hashes, docs = [], [], []
-        for place, text in _columns(batch, "place", "text"):
-            words = text.split()
-            if len(words) >= WINDOW:
-                _, _, anchor, path = paths(Ranges(words))
-                anchors.append(anchor)
-                hashes.append(path)
-                docs.append(np.full(len(anchor), place, np.int64))
-        yield pa.RecordBatch.from_arrays([_signed(anchors), _signed(hashes), _signed(docs)], ["anchor", "path", "place"])
+def _anchors(seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchors, hashes, places, spots = [], [], [], []
+            for place, spot, text in _columns(batch, "place", "spot", "text"):
+                words = text.split()
+                if len(words) >= WINDOW:
+                    _, _, anchor, path = paths(Ranges(words, seed))
+                    anchors.append(anchor)
+                    hashes.append(path)
+                    places.append(np.full(len(anchor), place, np.int64))
+                    spots.append(np.full(len(anchor), spot, np.int64))
+            yield pa.RecordBatch.from_arrays([_signed(anchors), _signed(hashes), _signed(places), _signed(spots)], ["anchor", "path", "place", "spot"])
 
+    return run
 
-SPAN = "place long, text_id long, first int, size int, e1 long, e2 long"
 
+SPAN = "place long, spot long, first int, size int, source long, e1 long, e2 long"
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of edges with an earlier source (e1 null), and the edges of branching paths one by one (size 1)."""
-    for batch in batches:
-        rows: list[tuple[np.ndarray, ...]] = []
-        for place, text_id, text, anchors, sources in _columns(batch, "place", "text_id", "text", "anchors", "sources"):
-            words = text.split()
-            if len(words) < WINDOW:
-                continue
-            ranges = Ranges(words)
-            first, end, anchor, _ = paths(ranges)
-            source = dict(zip(anchors, sources))  # null: it branches
-            known = [source.get(a, place) for a in anchor.view(np.int64).tolist()]
-            settled = np.array([s is not None and s < place for s in known])
-            branching = np.array([s is None for s in known])
-            for chosen, one_by_one in ((settled, False), (branching, True)):
-                if not chosen.any():
+
+def _spans(seed: int):
+    """Runs of edges with an earlier source (e1 null), and the edges of branching paths one by one (size 1, source null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[np.ndarray, ...]] = []
+            for place, spot, text, anchors, sources in _columns(batch, "place", "spot", "text", "anchors", "sources"):
+                words = text.split()
+                if len(words) < WINDOW:
                     continue
-                start, size = first[chosen], (end - first)[chosen]
-                if one_by_one:
-                    start = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-                    size = np.ones(len(start), np.int64)
-                    e1, e2 = ranges.fixed(WINDOW)[start], ranges.fixed(WINDOW, 1)[start]
-                else:
-                    e1 = e2 = np.zeros(len(start), np.uint64)
-                n = len(start)
-                rows.append((np.full(n, place), np.full(n, text_id), start.astype(np.int32), size.astype(np.int32), e1.view(np.int64), e2.view(np.int64), np.full(n, not one_by_one)))
-        if rows:
-            place, text_id, start, size, e1, e2, none = (np.concatenate(c) for c in zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(text_id), pa.array(start), pa.array(size), pa.array(e1, mask=none), pa.array(e2, mask=none)], ["place", "text_id", "first", "size", "e1", "e2"])
+                ranges = Ranges(words, seed)
+                first, end, anchor, _ = paths(ranges)
+                source = dict(zip(anchors, sources))  # null: it branches
+                known = [source.get(a, place) for a in anchor.view(np.int64).tolist()]
+                settled = np.array([s is not None and s < place for s in known])
+                branching = np.array([s is None for s in known])
+                for chosen, one_by_one in ((settled, False), (branching, True)):
+                    if not chosen.any():
+                        continue
+                    start, size = first[chosen], (end - first)[chosen]
+                    if one_by_one:
+                        start = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+                        size = np.ones(len(start), np.int64)
+                        e1, e2 = ranges.fixed(WINDOW)[start], ranges.fixed(WINDOW, 1)[start]
+                        own = np.zeros(len(start), np.int64)
+                    else:
+                        e1 = e2 = np.zeros(len(start), np.uint64)
+                        own = np.array([s for s, c in zip(known, chosen.tolist()) if c], np.int64)
+                    n = len(start)
+                    rows.append((np.full(n, place), np.full(n, spot), start.astype(np.int32), size.astype(np.int32), own, e1.view(np.int64), e2.view(np.int64), np.full(n, not one_by_one)))
+            if rows:
+                place, spot, start, size, own, e1, e2, none = (np.concatenate(c) for c in zip(*rows))
+                columns = [pa.array(place), pa.array(spot), pa.array(start), pa.array(size), pa.array(own, mask=~none), pa.array(e1, mask=none), pa.array(e2, mask=none)]
+                yield pa.RecordBatch.from_arrays(columns, ["place", "spot", "first", "size", "source", "e1", "e2"])
+
+    return run
+
+
+def _quoted(seed: int):
+    """(source, edge, words): the runs of a text with one source, joined where they touch; edge is the hash of the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int, bytes]] = []
+            for text, runs in _columns(batch, "text", "runs"):
+                words, spans = text.split(), []
+                for r in sorted(runs, key=lambda r: (r["source"], r["first"])):
+                    end = r["first"] + r["size"]
+                    if spans and spans[-1][0] == r["source"] and spans[-1][2] >= r["first"]:
+                        spans[-1][2] = max(end, spans[-1][2])
+                    else:
+                        spans.append([r["source"], r["first"], end])
+                for source, first, end in spans:
+                    edge = Ranges(words[first : first + WINDOW], seed).fixed(WINDOW).view(np.int64)
+                    found.append((source, int(edge[0]), b" ".join(words[first : end + WINDOW - 1])))
+            columns = list(zip(*found)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["source", "edge", "words"])
+
+    return run
+
+
+def _compared(seed: int):
+    """(span, same): whether a span's words stand in the text where its first edge does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, words, order, ordered = None, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            same = []
+            for text, edge, span in _columns(batch, "text", "edge", "words"):
+                if text != last:
+                    last, words = text, text.split()
+                    edges = Ranges(words, seed).fixed(WINDOW).view(np.int64) if len(words) >= WINDOW else np.zeros(0, np.int64)
+                    order = np.argsort(edges, kind="stable")
+                    ordered = edges[order]
+                low, high = np.searchsorted(ordered, [edge, edge + 1] if edge < LAST else [edge, edge])
+                spanned = span.split(b" ")
+                same.append(any(words[at : at + len(spanned)] == spanned for at in order[low:high].tolist()))
+            yield pa.RecordBatch.from_arrays([batch.column("span"), pa.array(same, pa.bool_())], ["span", "same"])
+
+    return run
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, gone, shas = [], [], []
-        for text, firsts, lengths in _columns(batch, "text", "firsts", "lengths"):
+        for text, runs in _columns(batch, "text", "runs"):
             words = text.split()
             sizes.append(len(words))
-            if firsts:
+            if runs:
                 change = np.zeros(len(words) + 1, np.int64)
-                start = np.array(firsts)
+                start = np.array([r["first"] for r in runs])
                 np.add.at(change, start, 1)
-                np.add.at(change, start + np.array(lengths) + WINDOW - 1, -1)
+                np.add.at(change, start + np.array([r["size"] for r in runs]) + WINDOW - 1, -1)
                 covered = np.cumsum(change[:-1]) > 0
                 gone.append(int(covered.sum()))
                 words = [w for w, c in zip(words, covered.tolist()) if not c]
@@ -170,30 +232,57 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, place (doc_id; null comes last), spot (tells texts apart that share a place)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return texts.withColumn("place", F.coalesce("doc_id", F.lit(LAST)))
+    return texts.withColumns({"place": F.coalesce("doc_id", F.lit(LAST)), "spot": F.xxhash64("text")})
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(place, text_id, first, size): runs of edges, by number of their first word, that also start in an
-    earlier document. place is the doc_id (null: the last place), text_id the text's xxhash64."""
+def repeated_runs(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """(place, spot, runs): for each text with words to remove, runs (first, size, source) of edges, by number of their first
+    word, that also start in an earlier document, source. See _texts for place and spot."""
     spark = docs.sparkSession
     prepare(spark)
     texts = _texts(docs)
-    held = texts.select("place", "text").mapInArrow(_anchors, "anchor long, path long, place long")
-    shared = held.groupBy("anchor").agg(F.min("place").alias("source"), F.max("place").alias("most"), F.min("path").alias("p"), F.max("path").alias("q")).filter("source < most")
-    shared = spool(shared.selectExpr("anchor", "IF(p = q, source, NULL) AS source"))
+    held = texts.select("place", "spot", "text").mapInArrow(_anchors(seed), "anchor long, path long, place long, spot long")
+    shared = held.groupBy("anchor").agg(F.min("place").alias("source"), F.max("place").alias("most"), F.min("path").alias("p"), F.max("path").alias("q"), F.count("*").alias("n")).filter("source < most")
+    shared = spool(shared.selectExpr("anchor", "IF(p = q, source, NULL) AS source", "n"))
     release(spark)
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(shared.filter(F.col("n") > total // HOT).selectExpr("anchor AS hot", "source AS hot_source"))  # fewer than HOT rows
     # What branches, or has an earlier source, is of use to a document; the source of a compacted path is done.
-    found = spool(held.select("anchor", "place").join(shared, "anchor").filter("source IS NULL OR source < place").select("place", "anchor", "source"))
+    marked = held.select("anchor", "place", "spot").join(hot, F.col("anchor") == F.col("hot"), "left")
+    useful = "(source IS NULL OR source < place)"
+    # Hot rows are dealt by a number of their own; they match nothing.
+    marked = marked.withColumn("key", F.expr("IF(hot IS NULL, anchor, xxhash64(place, spot, anchor))"))
+    cold = shared.filter(F.col("n") <= total // HOT).selectExpr("anchor AS key", "source", "true AS met")
+    found = marked.filter("hot IS NULL OR hot_source IS NULL OR hot_source < place").join(cold, "key", "left").filter(f"hot IS NOT NULL OR met AND {useful}")
+    found = spool(found.selectExpr("place", "spot", "anchor", "IF(hot IS NULL, source, hot_source) AS source"))
     release(spark)
-    by_doc = found.distinct().groupBy("place").agg(F.collect_list(F.struct("anchor", "source")).alias("found")).selectExpr("place", "found.anchor AS anchors", "found.source AS sources")
-    spans = spool(texts.withColumn("text_id", F.xxhash64("text")).join(by_doc, "place").select("place", "text_id", "text", "anchors", "sources").mapInArrow(_spans, SPAN))
+    by_doc = found.distinct().groupBy("place", "spot").agg(F.collect_list(F.struct("anchor", "source")).alias("found")).selectExpr("place", "spot", "found.anchor AS anchors", "found.source AS sources")
+    spans = spool(texts.join(by_doc, ["place", "spot"]).select("place", "spot", "text", "anchors", "sources").mapInArrow(_spans(seed), SPAN))
     release(spark)
-    edges = spans.filter("e1 IS NOT NULL")
+    edges = spans.filter("e1 IS NOT NULL").drop("source")
     sources = spool(edges.groupBy("e1", "e2").agg(F.min("place").alias("source"), F.max("place").alias("most")).filter("source < most").drop("most"))
     later = edges.join(sources, ["e1", "e2"]).filter("source < place")
-    return spans.filter("e1 IS NULL").select("place", "text_id", "first", "size").unionByName(later.select("place", "text_id", "first", "size"))
+    columns = ("place", "spot", "first", "size", "source")
+    runs = spans.filter("e1 IS NULL").select(*columns).unionByName(later.select(*columns))
+    # Rows of one text differ in `first`, so that a list is no longer than its text.
+    runs = spool(runs.distinct().groupBy("place", "spot").agg(F.collect_list(F.struct("first", "size", "source")).alias("runs")))
+    release(spark)
+    return runs
+
+
+def unverified(docs: DataFrame, runs: DataFrame, seed: int = 0) -> int:
+    """How many different spans of runs are not, word by word, what stands in their source."""
+    texts = _texts(docs)
+    spans = texts.join(runs, ["place", "spot"]).select("text", "runs").mapInArrow(_quoted(seed), "source long, edge long, words binary")
+    spans = spool(spans.distinct().withColumn("span", F.xxhash64("source", "words")))  # a passage of many documents is one row
+    release(docs.sparkSession)
+    asked = spans.withColumnRenamed("source", "place").hint("merge").join(texts.select("place", "text"), "place")
+    checked = asked.select("span", "edge", "words", "text").mapInArrow(_compared(seed), "span long, same boolean")
+    wrong = checked.groupBy("span").agg(F.max("same").alias("same")).filter("NOT same").count()
+    release(docs.sparkSession)
+    return wrong
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -201,9 +290,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A word goes if a window of 13 words that covers it also starts in a document with a smaller
     doc_id. A null text counts as empty and texts of fewer than 13 words lose nothing. Rows that share a doc_id
-    do not count as each other's copies; a null doc_id stands after all others.
+    do not count as each other's copies; a null doc_id stands after all others. Texts of any length are read whole. Spans
+    are found and verified by jobs that run when this is called.
     """
-    runs = spool(repeated_spans(docs).distinct().groupBy("place", "text_id").agg(F.collect_list(F.struct("first", "size")).alias("r")).selectExpr("place", "text_id", "r.first AS firsts", "r.size AS lengths"))
-    release(docs.sparkSession)
-    texts = _texts(docs).withColumn("text_id", F.xxhash64("text"))
-    return texts.join(runs, ["place", "text_id"], "left").select("doc_id", "text", "firsts", "lengths").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    for seed in count():
+        runs = repeated_runs(docs, seed)
+        if not unverified(docs, runs, seed):
+            break
+    return _texts(docs).join(runs, ["place", "spot"], "left").select("doc_id", "text", "runs").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string")

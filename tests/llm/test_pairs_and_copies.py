@@ -282,3 +282,23 @@ def test_substring_dedup_of_few_words(documents, texts):
     rows = list(enumerate(texts))
     got = substrings.remove_repeats(documents(rows)).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_removed(rows)
+
+
+def test_spans_are_verified_at_their_source(documents, awkward, monkeypatch):
+    """With a word hash of few values spans that differ are taken for equal; the comparison finds them, and another seed is tried."""
+    rows = [*[r for r in awkward if r[0] != 40], (70, "a b " * 30), (71, "a b " * 20 + "c"), (72, " ".join(f"w{k}" for k in range(40))), (73, " ".join(f"v{k}" for k in range(40)) + " x")]
+    monkeypatch.setattr(substrings, "HOT", 2)  # and most anchors are joined as hot or by key alike
+    docs = documents(rows)
+    assert substrings.unverified(docs, substrings.repeated_runs(docs)) == 0
+
+    class Weak(substrings.Ranges):
+        def __init__(self, words, seed=0):
+            super().__init__(words, seed)
+            if seed == 0:
+                self.words = np.array([len(w) > 2 for w in words], np.uint64)
+
+    monkeypatch.setattr(substrings, "Ranges", Weak)
+    wrong = substrings.repeated_runs(docs)
+    assert substrings.unverified(docs, wrong) > 0
+    got = substrings.remove_repeats(docs).collect()
+    assert sorted((key(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_removed(rows)
