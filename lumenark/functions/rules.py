@@ -137,3 +137,7 @@ RELEVANCE = {"neural": 0.18, "lexical": 0.04}
 EMBED_DIM = 512
 GIB = 1 << 30
 RETENTION_DAYS = 30
+
+# Padding around a face, as a share of its box, and the least side of a crop in pixels.
+FACE_PAD = 0.15
+FACE_LEAST = 8

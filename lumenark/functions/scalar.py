@@ -284,3 +284,14 @@ def lexical_caption(path: Column | str, bucket_: Column, label: Column, sample:
     parts = F.concat(F.array(text(bucket_), F.replace(text(label), F.lit("_"), F.lit(" ")), F.regexp_replace(basename(dirname(path)), "[_-]", " ")), F.slice(words, 1, 6), F.array(F.substring(text(sample), 1, 80)))
     caption = F.array_join(F.filter(parts, lambda p: p != ""), ", ")
     return F.when(caption == "", name).otherwise(caption)
+
+
+def face_crop(bbox: str, width: str, height: str, pad: float = R.FACE_PAD) -> Column:
+    """The pixels (x, y, w, h from the top left) around a face, padded and cut to the image; null if either side is under the least.
+
+    bbox: x, y, w, h as shares of the image, from the bottom left.
+    """
+    x, y, w, h = (F.get(bbox, F.lit(k)) for k in range(4))
+    left, top = F.greatest(F.lit(0.0), (x - w * pad) * F.col(width)), F.greatest(F.lit(0.0), (1.0 - y - h * (1 + pad)) * F.col(height))
+    wide, high = F.least(w * (1 + 2 * pad) * F.col(width), F.col(width) - left), F.least(h * (1 + 2 * pad) * F.col(height), F.col(height) - top)
+    return F.when((wide >= R.FACE_LEAST) & (high >= R.FACE_LEAST), F.struct(left.alias("x"), top.alias("y"), wide.alias("w"), high.alias("h")))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenark.functions import rules as R
+from lumenark.sources.durable import checkpoint_folder
 
 #: Vectors of a block that meet in one task, squared.
 TILE = 2048
@@ -19,9 +20,10 @@ def similar_pairs(vectors: DataFrame, threshold: float = R.NEAR_DUPLICATE, tile:
     """(block, a, b, score), a < b: vectors (id, block, vec) of a block with cosine >= threshold; a null block is Unsorted.
 
     A block is cut into tiles, and each pair of tiles multiplied in a task of its own, so a block may be as
-    large as it likes: a task holds two tiles.
+    large as it likes: a task holds two tiles. Every pair is compared, n * n / 2 products for a block of n, and a vector is
+    sent to as many tasks as its block has tiles. Null vectors are like no other.
     """
-    rows = vectors.select("id", F.coalesce(F.col("block").cast("string"), F.lit("Unsorted")).alias("block"), "vec")
+    rows = vectors.filter("vec IS NOT NULL").select("id", F.coalesce(F.col("block").cast("string"), F.lit("Unsorted")).alias("block"), "vec")
     tiles = rows.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     dealt = rows.join(tiles, "block").withColumn("t", F.expr("cast(pmod(xxhash64(id), tiles) AS int)"))
     # Tile t meets every tile, the lower number first.
@@ -49,9 +51,7 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Labels spread to neighbours and then jump to their label's label; each round is checkpointed.
     """
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    checkpoint_folder(nodes.sparkSession)
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     labels = both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")).checkpoint()
     before = None
@@ -81,12 +81,12 @@ def report(ranked: DataFrame, limit: int = 200) -> tuple[DataFrame, DataFrame]:
     return totals, ranked.join(largest.select("component"), "component")
 
 
-def greedy_groups(vectors: DataFrame, threshold: float = R.SAME_FACE) -> DataFrame:
-    """(id, person_id): vectors (id, vec) in the order of id, each to the group whose mean it is most alike to (its product
-    with the mean, which is not brought to unit length; at or above the threshold, the later group of equals), else to a new one.
+def greedy_groups(vectors: DataFrame, threshold: float = R.SAME_FACE, order: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(id, person_id): vectors (id, vec, and what order names) in that order, each to the group whose mean it is most alike to (its
+    product with the mean, which is not brought to unit length; at or above the threshold, the later group of equals), else to a new one.
 
     What a vector joins depends on all before it, so this is one pass in one task by its nature; that task
-    holds the groups' sums only, and reads vectors batch by batch.
+    holds the groups' sums only, and reads vectors batch by batch. Null vectors belong to no group and are left out.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,12 +111,15 @@ def greedy_groups(vectors: DataFrame, threshold: float = R.SAME_FACE) -> DataFra
                 labels.append(best)
             yield pd.DataFrame({"id": frame["id"], "person_id": labels})
 
-    return vectors.select("id", "vec").coalesce(1).sortWithinPartitions("id").mapInPandas(run, "id long, person_id int")
+    return vectors.filter("vec IS NOT NULL").select("id", "vec", *(c for c in order if c != "id")).repartition(1).sortWithinPartitions(*order).mapInPandas(run, "id long, person_id int")
 
 
 def people(faces: DataFrame, show: int = 12, limit: int = 60) -> DataFrame:
-    """faces (id, person_id): the largest groups with their size and first members."""
-    order = Window.partitionBy("person_id").orderBy("id")
-    shown = faces.withColumn("_n", F.row_number().over(order))
-    groups = shown.groupBy("person_id").agg(F.count("*").alias("size"), F.sort_array(F.collect_list(F.when(F.col("_n") <= show, F.col("id")))).alias("members"))
-    return groups.orderBy(F.desc("size"), "person_id").limit(limit)
+    """faces (id, person_id): the largest groups with their size and first members.
+
+    Spark keeps the first `show` of a group in each task before they move, so a group may be as large as it likes.
+    """
+    largest = faces.groupBy("person_id").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "person_id").limit(limit)
+    first = faces.withColumn("_n", F.row_number().over(Window.partitionBy("person_id").orderBy("id"))).filter(F.col("_n") <= show)
+    members = first.groupBy("person_id").agg(F.sort_array(F.collect_list("id")).alias("members"))
+    return largest.join(members, largest["person_id"].eqNullSafe(members["person_id"])).select(largest["person_id"], "size", "members").orderBy(F.desc("size"), "person_id")

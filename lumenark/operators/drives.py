@@ -73,6 +73,12 @@ def remembered(learned: DataFrame, matches: DataFrame) -> DataFrame:
     return learned.join(new, "device_name", "full").select("device_name", F.coalesce("_mount", "mount").alias("mount"), F.coalesce("_uuid", "uuid").alias("uuid"))
 
 
+def mapped_by_hand(learned: DataFrame, device: str, mount: str, volumes: DataFrame) -> DataFrame:
+    """learned after a user has said where a drive is; a mount that is not among volumes (mount, uuid) changes nothing."""
+    match = volumes.filter((F.col("mount") == mount) & (F.lit(mount) != "")).select(F.lit(device).alias("device_name"), "mount", "uuid").limit(1)
+    return remembered(learned, match)
+
+
 def readable_paths(candidates: DataFrame, mounts: DataFrame, present: DataFrame) -> DataFrame:
     """(path, used_path): candidates (device, path, root) that are present as written, or else on the drive's mount now."""
     there = present.select(F.col("path").alias("_there")).distinct()

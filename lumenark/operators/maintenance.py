@@ -38,19 +38,38 @@ def partial_upsert(old: DataFrame, new: DataFrame, key: str, renewed: tuple[str,
     return joined.select(*(column(c) for c in old.columns))
 
 
+def newest(rows: DataFrame, key: str, *by: str) -> DataFrame:
+    """One row of each key, the one with the largest values of by (of equals, the largest row); the key is not null."""
+    names = [c for c in rows.columns if c not in (key, *by)]
+    best = rows.groupBy(key).agg(F.max(F.struct(*(F.col(c) for c in (*by, *names)))).alias("_row"))
+    return best.select(key, "_row.*").select(*rows.columns)
+
+
 def ingest(files: DataFrame, scan: DataFrame, scan_id: int, device: str, root: str, now: str) -> tuple[DataFrame, DataFrame]:
-    """files after a scan (full_path, file_name, extension, file_size, modified_time, sha256), and the counters of its run.
+    """files after a scan (full_path, file_name, extension, file_size, modified_time, sha256), and the record of its run.
 
-    New paths get the next ids in the order of their paths; a path that was soft-deleted stays so.
+    A path that was scanned twice counts once, as it was modified last. New paths get ids made of their paths, so that
+    there is no counter over all rows; a path that was soft-deleted stays so.
     """
     files = schema.ensure_columns(files, schema.FILES)
-    seen = scan.withColumns({"mime_type": S.mime("extension"), "root_path": F.lit(root), "device_name": F.lit(device), "first_seen_scan_id": F.lit(scan_id).cast("long"), "last_seen_scan_id": F.lit(scan_id).cast("long"), "indexed_at": F.lit(now)})
+    seen = newest(scan, "full_path", "modified_time")
+    seen = seen.withColumns({"mime_type": S.mime("extension"), "root_path": F.lit(root), "device_name": F.lit(device), "first_seen_scan_id": F.lit(scan_id).cast("long"), "last_seen_scan_id": F.lit(scan_id).cast("long"), "indexed_at": F.lit(now)})
     known = seen.join(files.select("full_path"), "full_path", "left_semi")
-    merged = partial_upsert(files, seen, "full_path", RENEWED_FILES)
-    # An id from the path keeps assignment parallel: no counter over all new rows.
-    merged = merged.withColumn("id", F.coalesce("id", S.path_id("full_path")))
+    merged = partial_upsert(files, seen, "full_path", RENEWED_FILES).withColumn("id", F.coalesce("id", S.path_id("full_path")))
     counters = seen.agg(F.count("*").alias("files_seen")).join(known.agg(F.count("*").alias("_known")), how="cross")  # one row each
-    return merged, counters.select(F.lit(scan_id).alias("id"), F.lit(root).alias("root_path"), F.lit(now).alias("finished_at"), "files_seen", (F.col("files_seen") - F.col("_known")).alias("files_added"))
+    record = {"id": F.lit(scan_id).cast("long"), "root_path": F.lit(root), "started_at": F.lit(now), "finished_at": F.lit(now), "files_added": F.col("files_seen") - F.col("_known"), "errors": F.lit(0).cast("long"), "status": F.lit("completed")}
+    return merged, counters.withColumns(record).select(*schema.SCAN_RUNS.names)
+
+
+def ingest_metadata(files: DataFrame, metadata: DataFrame, found: DataFrame, now: str) -> DataFrame:
+    """metadata after an ingest; files is the table after it, found what an extractor said: full_path and any metadata columns.
+
+    A file that has metadata gets its make, model and raw JSON renewed, and keeps the rest. One row of found counts for a path.
+    """
+    metadata = schema.ensure_columns(metadata, schema.METADATA)
+    kind = F.when(S.bucket("extension") == "videos", "video").otherwise("photo")
+    rows = files.select(F.col("id").alias("file_id"), "full_path", kind.alias("media_type")).join(newest(found, "full_path"), "full_path").drop("full_path")
+    return partial_upsert(metadata, rows.withColumn("extracted_at", F.lit(now)), "file_id", RENEWED_METADATA)
 
 
 def soft_delete(files: DataFrame, ids: DataFrame, now: str) -> DataFrame:

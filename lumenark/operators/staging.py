@@ -3,7 +3,7 @@ what a copy would see or has seen comes in as tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenark.functions import rules as R
@@ -50,15 +50,18 @@ def plan(files: DataFrame, trip: str, library: DataFrame | None = None) -> DataF
     """Items of a stage job: one per hash of the trip's labelled files, with every copy as a candidate source.
 
     The first file (by id) of a hash names the item; the second and later items of a folder and name (in any
-    case, by id) get the hash's first eight characters before their extension.
+    case, by id) get the hash's first eight characters before their extension. An item holds all copies of its hash, as
+    any of their drives may be the one at hand; that list is as long as the hash is common in the trip.
     """
     chosen = files.filter(F.col("trip") == trip)
     keyed = chosen.withColumn("_key", missing_hash_key(chosen))
     copies = keyed.groupBy("_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.col("device_name").alias("device"), F.col("full_path").alias("path"), F.coalesce("root_path", F.lit("")).alias("root")))), lambda c: c.dropFields("id")).alias("candidates"))
     heads = best_rows(keyed, [F.col("_key")], [F.col("id")])
     placed = layout(heads, library if library is not None else files).filter("dest_rel IS NOT NULL").join(copies, "_key")
-    taken = F.row_number().over(Window.partitionBy("dest_rel", F.lower("file_name")).orderBy("id"))
-    name = F.when(taken > 1, F.concat(S.stem("file_name"), F.lit("__"), F.substring("_key", 1, 8), S.suffix("file_name"))).otherwise(F.col("file_name"))
+    # The first by id keeps its name: an aggregation, so that a name many files share is no group in one task.
+    spot = placed.groupBy(F.col("dest_rel").alias("_rel"), F.lower("file_name").alias("_name")).agg(F.min("id").alias("_first"))
+    placed = placed.join(spot, (F.col("dest_rel") == F.col("_rel")) & (F.lower("file_name") == F.col("_name")))
+    name = F.when(F.col("id") != F.col("_first"), F.concat(S.stem("file_name"), F.lit("__"), F.substring("_key", 1, 8), S.suffix("file_name"))).otherwise(F.col("file_name"))
     none = F.lit(None).cast("string")
     return placed.select(
         F.col("_key").alias("sha256"), "dest_rel", name.alias("dest_name"), F.col("file_size").alias("size"), "device", "stage", "bucket", "orientation", "candidates", F.col("full_path").alias("orig_path"), F.lit(trip).alias("trip"),
@@ -132,11 +135,21 @@ def summary(items: DataFrame) -> DataFrame:
     return items.agg(F.count("*").alias("total_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"), F.coalesce(F.sum(F.when(F.col("state") == "verified", F.col("size"))), F.lit(0)).alias("verified_bytes"), *(F.count_if(F.col("state") == s).alias(s) for s in states))
 
 
-def status(items: DataFrame, mounted: DataFrame) -> DataFrame:
-    """The summary with the share of bytes done in percent, and the absent drive (mounted: device_name) that could provide most bytes."""
+def job_summary(items: DataFrame, job: dict) -> DataFrame:
+    """The row of a job's summary file: what the job was told, and its counts. job: trip, dest_root, dry_run, verify_hash, status, started_at, updated_at."""
+    told = {name: F.lit(job.get(name)).cast("string").alias(name) for name in ("trip", "dest_root", "status", "started_at", "updated_at")}
+    flags = {name: F.lit(bool(job.get(name))).alias(name) for name in ("dry_run", "verify_hash")}
+    counts = [F.col(s).alias(f"{s}_files") for s in ("verified", "pending", "skipped", "error")]
+    return summary(items).select(*told.values(), *flags.values(), "total_files", *counts, "total_bytes", "verified_bytes", S.gib("verified_bytes", 2).alias("verified_gb"), F.lit(2).alias("manifest_version"))
+
+
+def status(items: DataFrame, mounted: DataFrame, show: int = 8) -> DataFrame:
+    """The summary with the share of bytes done in percent, the absent drive (mounted: device_name) that could provide most
+    bytes, and the first errors by hash, as "name: error"."""
     drive = next_absent_drive(drive_remaining(items), mounted).agg(F.first("device").alias("next_drive"))
+    failed = items.filter("state = 'error'").orderBy("sha256").limit(show).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sha256", "dest_name", "error"))), lambda x: F.concat(x["dest_name"], F.lit(": "), F.coalesce(x["error"], F.lit("")))), "; ").alias("errors_sample"))
     done = F.when(F.col("total_bytes") > 0, F.round(100.0 * F.col("verified_bytes") / F.col("total_bytes"), 1)).otherwise(0.0)
-    return summary(items).withColumn("pct", done).join(F.broadcast(drive))  # one row each
+    return summary(items).withColumn("pct", done).join(F.broadcast(drive)).join(F.broadcast(failed))  # one row each
 
 
 def drive_remaining(items: DataFrame) -> DataFrame:
@@ -161,7 +174,10 @@ def errors(items: DataFrame) -> DataFrame:
     return items.filter("state = 'error'").select("dest_name", "dest_rel", "device", "size", "sha256", source.alias("source"), "error")
 
 
-def manifest(items: DataFrame, dest_root: str) -> DataFrame:
+def manifest(items: DataFrame, dest_root: str, trip: str | None = None) -> DataFrame:
+    """The 18 columns of a manifest; an item without a trip gets the job's."""
+    if trip is not None:
+        items = items.withColumn("trip", F.coalesce(F.nullif("trip", F.lit("")), F.lit(trip)))
     columns = {
         "dest_subfolder": "dest_rel", "size_bytes": "size", "sha256_inventory": "sha256", "copy_status": "state", "original_path": "orig_path", "resolved_source_path": "used_path", "sha256_verified": "verified_sha",
     }

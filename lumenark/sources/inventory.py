@@ -12,6 +12,7 @@ from lumenark.functions import rules as R
 from lumenark.functions import scalar as S
 from lumenark.operators.dedupe import best_rows
 from lumenark.sources import schema
+from lumenark.sources.durable import checkpointed
 
 INGEST_EXTENSIONS = (*R.BUCKETS["photos"], *R.BUCKETS["raw"], *R.BUCKETS["videos"], *R.BUCKETS["sidecar"])
 
@@ -49,15 +50,60 @@ def enriched(files: DataFrame, metadata: DataFrame) -> DataFrame:
     )
 
 
+LISTED = "path string, folder boolean, file_size long, modified_time string, sha256 string"
+
+
+def _list(content: bool):
+    """For each folder (path) what lies in it, by pyarrow's file systems; a plain path is local."""
+
+    def run(frames):
+        import hashlib
+
+        import pandas as pd
+        from pyarrow import fs as arrow_fs
+
+        def digest(fs, path: str) -> str:
+            sha = hashlib.sha256()
+            with fs.open_input_stream(path) as file:
+                while part := file.read(1 << 20):
+                    sha.update(part)
+            return sha.hexdigest()
+
+        def wanted(name: str) -> bool:
+            stem, dot, ext = name.rpartition(".")
+            return bool(stem and dot) and f".{ext.lower()}" in INGEST_EXTENSIONS
+
+        for frame in frames:
+            rows = []
+            for folder in frame["path"]:
+                fs, inner = arrow_fs.FileSystem.from_uri(folder)
+                outer = folder[: len(folder) - len(inner)] if folder.endswith(inner) and not folder.startswith("file:") else ""
+                for info in fs.get_file_info(arrow_fs.FileSelector(inner)):
+                    if info.type == arrow_fs.FileType.Directory:
+                        rows.append((outer + info.path, True, None, None, None))
+                    elif info.type == arrow_fs.FileType.File and wanted(info.base_name):
+                        rows.append((outer + info.path, False, info.size, info.mtime.strftime("%Y-%m-%dT%H:%M:%S"), digest(fs, info.path) if content else None))
+            yield pd.DataFrame(rows, columns=["path", "folder", "file_size", "modified_time", "sha256"]).astype({"file_size": "Int64"})
+
+    return run
+
+
 def walk(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
     """Media files below a folder: full_path, file_name, extension, file_size, modified_time, and sha256 if content is read.
 
-    Names that start with a dot or an underscore are not listed; Spark's file sources hide them.
+    Every name counts, those that start with a dot or an underscore, too (Spark's own file sources hide them). Folders are
+    listed level by level, those of a level by as many tasks as there are; a file is read by pieces.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    path = F.regexp_replace("path", "^file:/*", "/")
-    rows = found.select(path.alias("full_path"), S.basename(path).alias("file_name"), F.lower(S.suffix(S.basename(path))).alias("extension"), F.col("length").alias("file_size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("modified_time"), *([F.sha2("content", 256).alias("sha256")] if content else []))
-    return rows.filter(F.col("extension").isin(*INGEST_EXTENSIONS))
+    found, level = None, spark.createDataFrame([(folder.rstrip("/") or "/",)], "path string")
+    while True:
+        listed = checkpointed(level.mapInPandas(_list(content), LISTED))
+        found = listed.filter("NOT folder") if found is None else found.unionByName(listed.filter("NOT folder"))
+        level = listed.filter("folder").select("path")
+        if level.isEmpty():
+            break
+        level = level.repartition(spark.sparkContext.defaultParallelism)
+    name = S.basename(F.col("path"))
+    return found.select(F.col("path").alias("full_path"), name.alias("file_name"), F.lower(S.suffix(name)).alias("extension"), "file_size", "modified_time", *(["sha256"] if content else []))
 
 
 def shots(files: DataFrame) -> DataFrame:
@@ -104,9 +150,29 @@ def latest_roots(scan_roots: DataFrame) -> DataFrame:
 
 
 def archived_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    """Summaries of archived stage jobs, newest folder first; unreadable ones are passed over."""
-    found = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").json(f"{folder}/*/*summary*.json")
-    return found.withColumn("folder", S.basename(S.dirname(F.input_file_name()))).orderBy(F.desc("folder"))
+    """Archived stage jobs, newest folder first: job, trip, verified_files, error_files, verified_gb, status, dest_root.
+
+    Each folder with a file in it is a job; one without a readable summary has nulls.
+    """
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    root = folder.rstrip("/").rsplit("/", 1)[-1].replace("\\", "").replace("'", "")
+    job = F.regexp_extract("path", f"/\\Q{root}\\E/([^/]+)/", 1)
+    jobs = held.select(job.alias("job")).filter("job <> ''").distinct()
+    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder).select("value", F.input_file_name().alias("path")).filter(F.col("path").contains("summary"))
+    fields = "trip string, verified_files long, error_files long, verified_gb double, status string, dest_root string"
+    read = texts.select(job.alias("job"), F.from_json("value", fields).alias("s")).groupBy("job").agg(F.max("s").alias("s"))
+    return jobs.join(read, "job", "left").select("job", "s.*").orderBy(F.desc("job"))
+
+
+def load_state(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """A JSON state file (any file system) as one row of the fields; missing, empty or corrupt means all are null."""
+    none = spark.range(1).select(F.from_json(F.lit("{}"), fields).alias("s"))
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return none.select("s.*")
+    read = spark.read.option("wholetext", True).text(path).agg(F.first(F.from_json("value", fields, {"mode": "PERMISSIVE"})).alias("s"))
+    return read.select("s.*")
 
 
 def candidates(files: DataFrame, metadata: DataFrame, only_unsorted: bool = False, under: str | None = None, limit: int | None = None) -> DataFrame:

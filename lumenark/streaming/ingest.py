@@ -15,7 +15,8 @@ def scans(spark: SparkSession, landing: str) -> DataFrame:
 
 
 def merge_scans(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Each batch upserts by path and writes the table's next version; a batch run again after a failure finds its version written."""
+    """Each batch upserts by path and writes the table's next version; of a path that a batch holds twice the row of the last scan,
+    modified last, counts. A batch run again after a failure finds its version written, or replaces what there is of it."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -23,7 +24,7 @@ def merge_scans(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQue
         if number in versions:
             return
         old = spark.read.parquet(f"{folder}/v{max(versions):08d}") if versions else spark.createDataFrame([], schema.FILES)
-        once = batch.dropDuplicates(["full_path"])
+        once = maintenance.newest(batch.filter("full_path IS NOT NULL"), "full_path", "last_seen_scan_id", "modified_time")
         sinks.write_version(maintenance.partial_upsert(old, once, "full_path", maintenance.RENEWED_FILES), folder, number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -36,5 +37,5 @@ def _versions(spark: SparkSession, folder: str) -> list[int]:
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
-    found = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(int(name[1:]) for name in found if name.startswith("v"))
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(name[1:]) for name in names if name.startswith("v") and sinks.complete(spark, f"{folder}/{name}"))

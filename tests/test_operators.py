@@ -187,22 +187,114 @@ def test_greedy_groups_match_a_loop(spark):
 
 def test_sources(spark, tmp_path):
     (tmp_path / "a").mkdir()
-    for name in ("a/x.JPG", "a/x.arw", "a/._y.jpg", "a/notes.txt", "z.png"):
+    (tmp_path / "a/_b/.c").mkdir(parents=True)
+    for name in ("a/x.JPG", "a/x.arw", "a/._y.jpg", "a/notes.txt", "z.png", "_MG_1234.JPG", "a/_b/_DSC1.ARW", "a/_b/.c/deep é.jpg", "a/.jpg"):
         (tmp_path / name).write_bytes(name.encode())
     rows = {r.file_name: r for r in inventory.walk(spark, str(tmp_path), content=True).collect()}
-    assert set(rows) == {"x.JPG", "x.arw", "z.png"}
+    assert set(rows) == {"x.JPG", "x.arw", "z.png", "._y.jpg", "_MG_1234.JPG", "_DSC1.ARW", "deep é.jpg"}
+    assert rows["deep é.jpg"].full_path == f"{tmp_path}/a/_b/.c/deep é.jpg" and rows["_DSC1.ARW"].file_size == len("a/_b/_DSC1.ARW")
+    assert inventory.walk(spark, f"{tmp_path}/a/_b/.c").count() == 1
     import hashlib
 
     assert rows["z.png"].sha256 == hashlib.sha256(b"z.png").hexdigest() and rows["x.JPG"].extension == ".jpg"
-    assert sorted(r.file_name for r in inventory.folder_shots(spark, str(tmp_path)).collect()) == ["x.JPG", "z.png"]
+    assert sorted(r.file_name for r in inventory.folder_shots(spark, str(tmp_path)).collect()) == ["_DSC1.ARW", "_MG_1234.JPG", "deep é.jpg", "x.JPG", "z.png"]
+    assert inventory.folder_photos(spark, str(tmp_path), 2).count() == 2
     path = f"{tmp_path}/z.png"
     assert inventory.folder_shots(spark, str(tmp_path)).filter("file_name = 'z.png'").first().id == int(hashlib.sha1(path.encode()).hexdigest()[:15], 16)
     lines = spark.createDataFrame([('{"path": "/a", "n": 1}',), ("broken",), ('{"n": 2}',)], "value string")
     assert [tuple(r) for r in inventory.extracted(lines, "path string, n int").collect()] == [("/a", 1)]
     got = inventory.extract_with(spark.createDataFrame([("/a",), ("/b",)], "full_path string"), lambda paths: {p: {"make": p * 2} for p in paths if p == "/a"}, "make string")
     assert {r.full_path: r.make for r in got.collect()} == {"/a": "/a/a", "/b": None}
-    where = sinks.write_manifest(items(spark, {"sha256": "h", "dest_name": "a", "candidates": [], "state": "error"}), str(tmp_path / "m"), "A b", "/nas", datetime.datetime(2025, 1, 2))
-    assert where.endswith("A-b_20250102-000000") and spark.read.option("header", True).csv(f"{where}/manifest.csv").count() == 1
+
+
+def test_manifests_and_archives(spark, tmp_path):
+    import json
+
+    done = items(spark, {"sha256": "h", "dest_name": 'a "b"', "candidates": [], "state": "error", "error": "gone"}, {"sha256": "i", "dest_name": "c", "candidates": [], "state": "verified", "size": 3 << 29})
+    job = {"trip": "A b", "dest_root": "/nas", "status": "done"}
+    where = sinks.archive_manifest(done, job, str(tmp_path / "m"), datetime.datetime(2025, 1, 2))
+    assert where.endswith("A-b_20250102-000000")
+    text = lambda name: [r.value for r in spark.read.text(f"{where}/{name}").collect()]
+    lines = text("manifest.csv")
+    assert len(lines) == 3 and lines[0].split(",")[:3] == ["trip", "dest_name", "dest_subfolder"] and len(lines[0].split(",")) == 18
+    assert [line.split(",")[1] for line in text("errors.csv")] == ["dest_name", "\"a 'b'\""]
+    whole = json.loads("\n".join(text("manifest.json")))
+    assert whole["summary"]["verified_gb"] == 1.5 and whole["summary"]["trip"] == "A b" and [f["dest_name"] for f in whole["files"]] == ['a "b"', "c"] and len(whole["files"][0]) == 18
+    (tmp_path / "m/Zz_20260101-000000").mkdir()
+    (tmp_path / "m/Zz_20260101-000000/stage_summary.json").write_text("{broken")
+    got = [tuple(r) for r in inventory.archived_summaries(spark, str(tmp_path / "m")).collect()]
+    assert got == [("Zz_20260101-000000", None, None, None, None, None, None), ("A-b_20250102-000000", "A b", 1, 1, 1.5, "done", "/nas")]
+    assert sinks.write_manifest(done.limit(0), job, f"{tmp_path}/none") and json.loads("".join(r.value for r in spark.read.text(f"{tmp_path}/none/manifest.json").collect()))["files"] == []
+
+
+def test_state_files(spark, tmp_path):
+    fields = "trash_retention_days int, verify_hash boolean"
+    for name, text in (("good", '{"trash_retention_days": 7}'), ("corrupt", "{nope"), ("empty", "")):
+        (tmp_path / name).write_text(text)
+    got = {n: tuple(inventory.load_state(spark, f"{tmp_path}/{n}", fields).first()) for n in ("good", "corrupt", "empty", "missing")}
+    assert got == {"good": (7, None), "corrupt": (None, None), "empty": (None, None), "missing": (None, None)}
+
+
+def test_relations_are_kept_by_version(spark, tmp_path):
+    built = []
+    build = lambda: built.append(1) or spark.range(len(built))
+    assert [sinks.kept(spark, str(tmp_path), v, build).count() for v in ("a", "a", "b")] == [1, 1, 2] and len(built) == 2
+
+
+def test_ingest_job(spark):
+    scan = "full_path string, file_name string, extension string, file_size long, modified_time string, sha256 string"
+    rows = [("/r/a.jpg", "a.jpg", ".jpg", 1, "t1", "x"), ("/r/a.jpg", "a.jpg", ".jpg", 2, "t2", "y"), ("/r/b.mp4", "b.mp4", ".mp4", 3, "t1", "z")]
+    files, run = maintenance.ingest(spark.createDataFrame([], schema.FILES), spark.createDataFrame(rows, scan), 1, "D", "/r", "now")
+    assert {r.full_path: (r.file_size, r.sha256, r.mime_type) for r in files.collect()} == {"/r/a.jpg": (2, "y", "image/jpg"), "/r/b.mp4": (3, "z", "video/mp4")}
+    assert run.first().asDict() == {"id": 1, "root_path": "/r", "started_at": "now", "finished_at": "now", "files_seen": 2, "files_added": 2, "errors": 0, "status": "completed"}
+    said = "full_path string, camera_make string, capture_date string, raw_metadata_json string"
+    meta = maintenance.ingest_metadata(files, spark.createDataFrame([], schema.METADATA), spark.createDataFrame([("/r/a.jpg", "Sony", "2024", "{}"), ("/r/b.mp4", "DJI", "2023", "{}"), ("/other", "x", "y", "z")], said), "now")
+    assert {r.camera_make: (r.media_type, r.capture_date) for r in meta.collect()} == {"Sony": ("photo", "2024"), "DJI": ("video", "2023")}
+    files2, run = maintenance.ingest(files, spark.createDataFrame([("/r/a.jpg", "a.jpg", ".jpg", 9, "t3", "w"), ("/r/c.arw", "c.arw", ".arw", 4, "t3", "v")], scan), 2, "E", "/q", "later")
+    by_path = {r.full_path: r for r in files2.collect()}
+    assert (by_path["/r/a.jpg"].file_size, by_path["/r/a.jpg"].device_name, by_path["/r/a.jpg"].first_seen_scan_id, by_path["/r/a.jpg"].last_seen_scan_id) == (9, "D", 1, 2) and run.first().files_added == 1
+    assert len({r.id for r in by_path.values()}) == 3
+    again = maintenance.ingest_metadata(files2, meta, spark.createDataFrame([("/r/a.jpg", None, "1999", "new")], said), "later")
+    row = next(r for r in again.collect() if r.raw_metadata_json == "new")
+    assert (row.camera_make, row.capture_date, row.extracted_at) == (None, "2024", "now") and again.count() == 2
+
+
+def test_tag_caption_face_and_embed_jobs(spark):
+    from lumenark.operators import jobs
+
+    names = schema.FILES.names
+    row = lambda i, name: tuple({"id": i, "full_path": f"/t/{name}", "file_name": name, "extension": name[name.index("."):], "file_size": 5, "sha256": f"h{i}"}.get(n) for n in names)
+    files = spark.createDataFrame([row(1, "a.jpg"), row(2, "b.jpg"), row(3, "c.jpg"), row(4, "a.arw")], schema.FILES)
+    present = spark.createDataFrame([("/t/a.jpg",), ("/t/b.jpg",)], "path string")
+    meta = spark.createDataFrame([(2, "Sony")], "file_id long, camera_make string")
+    seen = spark.createDataFrame([("/t/a.jpg", [("ocean", 0.9)], ["hello there, friend"])], "path string, labels array<struct<id: string, conf: double>>, texts array<string>")
+    old = spark.createDataFrame([(1, "/t/a.jpg", "old"), (9, "/t/z.jpg", "old")], "file_id long, full_path string, top_label string")
+    tags = jobs.tag_job(files, meta, old, seen, present, "now")
+    assert {r.file_id: (r.top_label, r.tagged_at) for r in tags.collect()} == {1: ("ocean", "now"), 9: ("old", None)}
+    captions = jobs.caption_job(files, spark.createDataFrame([(1, "/t/a.jpg", "x", "old", "then")], schema.CAPTIONS), tags, present, "now", part="/t")
+    assert {r.file_id: r.source for r in captions.collect()} == {1: "lexical", 2: "lexical"}
+    vectors = jobs.embed_job(files, spark.createDataFrame([(2, "/t/b.jpg", [9.0])], schema.EMBEDDINGS), present, lambda paths: [[float(len(p)), 0.0] for p in paths])
+    assert {r.file_id: list(r.vec) for r in vectors.collect()} == {1: [1.0, 0.0], 2: [1.0, 0.0]}
+    box = [0.1, 0.2, 0.3, 0.4]
+    found = spark.createDataFrame([("/t/b.jpg", [(box, [0.0, 1.0]), (box, None), (box, [1.0, 0.0])]), ("/t/a.jpg", [(box, [1.0, 0.0])]), ("/t/c.jpg", [(box, [1.0, 0.0])])], "path string, faces array<struct<bbox: array<double>, vec: array<float>>>")
+    faces = jobs.face_job(files, found, present)
+    assert faces.columns == schema.FACES.names and sorted((r.full_path, list(r.vec), r.person_id) for r in faces.collect()) == [("/t/a.jpg", [1.0, 0.0], 0), ("/t/b.jpg", [0.0, 1.0], 1), ("/t/b.jpg", [1.0, 0.0], 0)]
+    sizes = spark.createDataFrame([("/t/a.jpg", 1000.0, 500.0), ("/t/b.jpg", 10.0, 10.0)], "full_path string, width double, height double")
+    got = [tuple(round(x, 6) for x in r[1:]) for r in jobs.crops(faces, sizes).collect()]
+    assert got == [(55.0, 170.0, 390.0, 260.0)]
+
+
+def test_null_vectors_are_left_out(spark):
+    df = spark.createDataFrame([(1, "x", [1.0, 0.0]), (2, "x", None), (3, "x", [1.0, 0.0])], "id long, block string, vec array<double>")
+    assert [(r.a, r.b) for r in clusters.similar_pairs(df, 0.9).collect()] == [(1, 3)]
+    assert sorted(tuple(r) for r in clusters.greedy_groups(df).collect()) == [(1, 0), (3, 0)]
+
+
+def test_drives_by_hand(spark):
+    learned = spark.createDataFrame([("A", "/old", "u")], "device_name string, mount string, uuid string")
+    volumes = spark.createDataFrame([("/Volumes/N", "")], "mount string, uuid string")
+    assert tuple(drives.mapped_by_hand(learned, "A", "/Volumes/N", volumes).first()) == ("A", "/Volumes/N", "u")
+    assert tuple(drives.mapped_by_hand(learned, "A", "/gone", volumes).first()) == ("A", "/old", "u")
 
 
 def test_stream_merges_scans_once(spark, tmp_path):
@@ -219,6 +311,20 @@ def test_stream_merges_scans_once(spark, tmp_path):
     assert [(r.full_path, r.file_size, r.device_name) for r in got] == [("/a", 6, "D")]
 
 
+def test_a_batch_that_died_is_written_again(spark, tmp_path):
+    from lumenark.streaming import ingest
+
+    row = lambda **c: tuple(({"id": 1, "full_path": "/a", "device_name": "D"} | c).get(n) for n in schema.FILES.names)
+    spark.createDataFrame([row(file_size=5, last_seen_scan_id=1, modified_time="t"), row(file_size=7, last_seen_scan_id=2, modified_time="t"), row(file_size=6, last_seen_scan_id=1, modified_time="u")], schema.FILES).write.parquet(f"{tmp_path}/in")
+    (tmp_path / "t/v00000000").mkdir(parents=True)
+    (tmp_path / "t/v00000000/part-00000.parquet").write_bytes(b"cut off")  # what a writer left that died before _SUCCESS
+    ingest.merge_scans(ingest.scans(spark, f"{tmp_path}/in"), f"{tmp_path}/t", f"{tmp_path}/c").awaitTermination()
+    assert ingest._versions(spark, f"{tmp_path}/t") == [0]
+    assert [r.file_size for r in spark.read.parquet(f"{tmp_path}/t/v00000000").collect()] == [7]
+    with pytest.raises(Exception, match="(?i)exists"):
+        sinks.write_version(spark.range(1), f"{tmp_path}/t", 0)
+
+
 def test_library_answers(spark):
     from lumenark.library import Library
 
