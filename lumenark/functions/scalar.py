@@ -235,8 +235,8 @@ def word_cells(words: Column) -> Column:
 
 def lexical_embedding(words: Column) -> Column:
     """Dense unit vector of a text's words; zeros for a text without any. A cell's sign is that of its upper half."""
-    zeros = F.array_repeat(F.lit(0.0), R.EMBED_DIM)
-    return unit(F.aggregate(word_cells(words), zeros, lambda v, c: F.transform(v, lambda x, i: F.when(i == c, x + F.when(c >= 256, 1.0).otherwise(-1.0)).otherwise(x))))
+    count = lambda cells: F.transform(F.sequence(F.lit(0), F.lit(R.EMBED_DIM - 1)), lambda i: F.size(F.filter(cells, lambda c: c == i)) * F.when(i >= R.EMBED_DIM // 2, 1.0).otherwise(-1.0))
+    return unit(let(word_cells(words), count))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

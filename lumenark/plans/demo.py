@@ -38,7 +38,7 @@ SELECT doc_id AS file_id, CASE doc_id % 4 WHEN 0 THEN '2024:06:0' || cast(1 + g
        CASE g % 7 WHEN 0 THEN cast(-21.9 AS double) WHEN 1 THEN cast(0 AS double) WHEN 2 THEN cast(-140 AS double) WHEN 3 THEN cast(-151.7 AS double) WHEN 4 THEN cast(2.3 AS double) + cast(doc_id % 9 AS double) / 50 ELSE NULL END AS gps_longitude,
        CASE g % 9 WHEN 0 THEN '{{"AbsoluteAltitude": 12}}' WHEN 1 THEN '{{"Software": "adobe lightroom 6"}}' WHEN 2 THEN '{{"Orientation": 6}}' WHEN 3 THEN '{{"Orientation":8}}' WHEN 4 THEN '{{"Orientation": 1}}' ELSE NULL END AS raw_metadata_json
 FROM (SELECT *, cast(floor(doc_id / 4) AS bigint) AS g FROM documents) a
-WHERE doc_id % 13 <> 0"""
+WHERE n_chars >= 100"""
 
 OVERRIDES_SQL = """
 SELECT 'T7 SSD2::Costa Rica 2024' AS key, 'Pura Vida' AS trip, '' AS category UNION ALL SELECT 'Past T9::Sony Camera 15', '', 'events'

@@ -502,3 +502,6 @@ def agg19_moves_summary(spark, d):
 @query("SELECT event_id AS id, user_id AS size FROM events ORDER BY event_id DESC LIMIT 200")
 def srt5_recent_moves(spark, d):
     return maintenance.recent_moves(spark_table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("size")))
+
+
+from lumenark.plans import jobs  # noqa: E402, F401 - registers its queries, which build on those above

@@ -158,7 +158,7 @@ def archived_summaries(spark: SparkSession, folder: str) -> DataFrame:
     root = folder.rstrip("/").rsplit("/", 1)[-1].replace("\\", "").replace("'", "")
     job = F.regexp_extract("path", f"/\\Q{root}\\E/([^/]+)/", 1)
     jobs = held.select(job.alias("job")).filter("job <> ''").distinct()
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder).select("value", F.input_file_name().alias("path")).filter(F.col("path").contains("summary"))
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder, wholetext=True).select("value", F.input_file_name().alias("path")).filter(F.col("path").contains("summary"))
     fields = "trip string, verified_files long, error_files long, verified_gb double, status string, dest_root string"
     read = texts.select(job.alias("job"), F.from_json("value", fields).alias("s")).groupBy("job").agg(F.max("s").alias("s"))
     return jobs.join(read, "job", "left").select("job", "s.*").orderBy(F.desc("job"))
@@ -171,7 +171,7 @@ def load_state(spark: SparkSession, path: str, fields: str) -> DataFrame:
     place = jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return none.select("s.*")
-    read = spark.read.option("wholetext", True).text(path).agg(F.first(F.from_json("value", fields, {"mode": "PERMISSIVE"})).alias("s"))
+    read = spark.read.text(path, wholetext=True).agg(F.first(F.from_json("value", fields, {"mode": "PERMISSIVE"})).alias("s"))
     return read.select("s.*")
 
 
