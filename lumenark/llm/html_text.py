@@ -32,6 +32,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes noscript iframe template".split())
 CONTROLS = frozenset("button input select option textarea label".split())
+#: Elements without a meaning of their own, in which controls are a sign of notices.
+BOXES = frozenset("div section dialog p aside td".split())
 #: Raw elements whose text is never a block.
 SILENT = RAW - {"textarea", "title"}
 #: What the start of the first closes.
@@ -175,16 +177,21 @@ def parse(source: str) -> Page:
                 say(source[at:end])
             at = end
     flush()
+    children = [0] * len(page.parent)
     for node in range(len(page.parent) - 1, 0, -1):
         parent = page.parent[node]
+        children[parent] += 1
         sizes[parent] += sizes[node]
         linked_sizes[parent] += linked_sizes[node]
         controls[parent] |= controls[node]
-    for node, (size, in_links, control) in enumerate(zip(sizes, linked_sizes, controls)):
-        kind = "block" if page.features[node][0] == "tag:#text" else "below"
-        links = "none" if not in_links else "some" if 2 * in_links < size else "most"
-        # Below a long text it says nothing that a control is there.
-        page.features[node] += (f"{kind}:{min(size.bit_length(), 10)}", f"{kind}links:{links}", f"{kind}controls:{size < 200 and control}")
+    for node, (size, in_links) in enumerate(zip(sizes, linked_sizes)):
+        text = page.features[node][0] == "tag:#text"
+        if text or children[node] > 1:  # what an only child says is not said again
+            kind = "block" if text else "below"
+            links = "none" if not in_links else "some" if 2 * in_links < size else "most"
+            page.features[node] += (f"{kind}:{min(size.bit_length(), 10)}", f"{kind}links:{links}")
+        if page.features[node][0][4:] in BOXES:  # below a long text it says nothing that a control is there
+            page.features[node] += (f"controls:{size < 200 and controls[node]}",)
     return page
 
 
@@ -315,6 +322,7 @@ def labelled_pages(count: int = 1500, seed: int = 11) -> Iterator[str]:
             paragraph, paragraph, paragraph, paragraph, paragraph,
             lambda: f"<h{(k := rng.randint(2, 4))}>{words(1, 8)}</h{k}>",
             lambda: "<ul>" + "".join(f"<li>{words(1, 20)}</li>" for _ in range(rng.randint(1, 6))) + "</ul>",
+            lambda: "<ul>" + "".join(f"<li>{words(1, 2)}{pick(('', '</li>'))}" for _ in range(rng.randint(1, 6))) + "</ul>",
             lambda: f"<ol><li>{words(1, 12)}<li>{words(3, 12)}</ol>",
             lambda: f"<blockquote><p>{words(5, 40)}.</p></blockquote>",
             lambda: f"<pre>{words(3, 30)}</pre>",
@@ -384,11 +392,12 @@ def labelled_pages(count: int = 1500, seed: int = 11) -> Iterator[str]:
 
     other = (nav, header, footer, side, notice, advert, form, comments)
     for _ in range(count):
-        inside = [part() for _ in range(rng.randint(1, 4) if rng.random() < 0.5 else rng.randint(3, 14))]
+        brief = rng.random() < 0.35
+        inside = [f"<p>{words(6, 25)}.</p>" if brief else part() for _ in range(rng.randint(1, 2) if brief else rng.randint(1, 14))]
         if rng.random() < 0.8:
             inside.insert(0, f"<h1>{words(1, 12)}</h1>" if rng.random() < 0.8 else f"<header><h1>{words(1, 12)}</h1><p>{words(1, 6)}</p></header>")
         for make in (advert, side, notice, form, control, control):
-            if rng.random() < 0.14:
+            if rng.random() < (0.35 if make is control and brief else 0.08):
                 inside.insert(rng.randint(1, len(inside)), make())
         if rng.random() < 0.2:
             inside.append(comments())
