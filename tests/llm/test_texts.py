@@ -156,15 +156,105 @@ def test_scores(documents, awkward):
     assert (alone.train_tokens, alone.n_known, alone.base_score) == (0, 0, 0.0)
 
 
+def little_corpus():
+    rng = random.Random(9)
+    tokens = [rng.choice((0, 0, 0, 1, 1, 2, 3)) for _ in range(90)]
+    return [(tokens[i - 2], tokens[i - 1], tokens[i]) for i in range(2, 90)]
+
+
+def all_asked(corpus, words=5):
+    """The corpus as arrays, then every (u, v, w) once, not for training."""
+    rows = corpus + [(u, v, w) for u in range(words) for v in range(words) for w in range(words)]
+    u, v, w = (np.array(c) for c in zip(*rows))
+    return u, v, w, np.arange(len(rows)) < len(corpus)
+
+
 def test_predictions_sum_to_one():
-    rng = np.random.default_rng(0)
-    counts = rng.poisson(0.7, (6, 41)).astype(np.int64)
-    classes = {1: 30, 2: 12, 7: 3}
-    model = pitman_yor.fit(counts, vocabulary=40 + 45, head=40, rare_classes=classes)
-    assert (10**model.dishes).sum(1) == pytest.approx(np.ones(6))
-    assert sum(k * 10 ** model.rare[c] for c, k in classes.items()) + 10 ** model.rare[0] == pytest.approx(1.0)
-    again = pitman_yor.fit(counts, vocabulary=40 + 45, head=40, rare_classes=classes)
-    assert (again.dishes == model.dishes).all()
+    corpus, base = little_corpus(), np.array([0.3, 0.25, 0.2, 0.15, 0.1])
+    tables = pitman_yor.Restaurants(*all_asked(corpus), base, np.random.default_rng(1))
+    for _ in range(20):
+        tables.sweep()
+        asked = tables.predictions()[tables.triple_of[len(corpus) :]].reshape(25, 5)  # the last word of the vocabulary is unseen
+        assert asked.sum(1) == pytest.approx(np.ones(25)) and (asked > 0).all()
+        for level in (tables.two, tables.one):
+            assert (level.customers >= level.tables).all() and ((level.tables > 0) == (level.customers > 0)).all()
+            of = np.repeat(np.arange(len(level.room)), level.room)
+            assert (np.bincount(of, level.size, len(level.room)) == level.customers).all() and (np.bincount(of, level.size > 0, len(level.room)) == level.tables).all()
+        assert (np.bincount(tables.pair, tables.two.tables, len(tables.one.room)) == tables.one.customers).all()
+
+
+def brute_sampler(corpus, base, sweeps, seed, words=5):
+    """The same model with lists of tables, each customer of each restaurant moved in turn; mean predictions of every (u, v, w)."""
+    rng = random.Random(seed)
+    (_, d1, d2), (_, s1, s2) = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    one, two = defaultdict(lambda: defaultdict(list)), defaultdict(lambda: defaultdict(list))
+
+    def predict(tables, dish, discount, strength, parent):
+        n, t = sum(map(sum, tables.values())), sum(map(len, tables.values()))
+        own = sum(tables.get(dish, ())) - discount * len(tables.get(dish, ()))
+        return (own + (strength + discount * t) * parent) / (strength + n)
+
+    def p1(v, w):
+        return predict(one[v], w, d1, s1, base[w])
+
+    def sit(tables, dish, discount, strength, parent):
+        own, t = tables[dish], sum(map(len, tables.values()))
+        odds = [n - discount for n in own] + [(strength + discount * t) * parent]
+        at = rng.choices(range(len(odds)), odds)[0]
+        if at < len(own):
+            own[at] += 1
+        else:
+            own.append(1)
+        return at == len(own) - 1 and own[at] == 1
+
+    def leave(tables, dish):
+        own = tables[dish]
+        at = rng.choices(range(len(own)), own)[0]
+        own[at] -= 1
+        if not own[at]:
+            own.pop(at)
+            return True
+        return False
+
+    def enter(u, v, w):
+        if sit(two[u, v], w, d2, s2, p1(v, w)):
+            sit(one[v], w, d1, s1, base[w])
+
+    for u, v, w in corpus:
+        enter(u, v, w)
+    mean = np.zeros((words, words, words))
+    for sweep in range(sweeps):
+        for u, v, w in corpus:
+            if leave(two[u, v], w):
+                leave(one[v], w)
+            enter(u, v, w)
+        if sweep >= sweeps // 5:
+            for u in range(words):
+                for v in range(words):
+                    for w in range(words):
+                        mean[u, v, w] += predict(two[u, v], w, d2, s2, p1(v, w))
+    return mean / (sweeps - sweeps // 5)
+
+
+def test_sampler_agrees_with_one_that_moves_customers_in_turn():
+    corpus, base = little_corpus(), np.array([0.3, 0.25, 0.2, 0.15, 0.1])
+    want = brute_sampler(corpus, base, 400, 3)
+    tables, mean = pitman_yor.Restaurants(*all_asked(corpus), base, np.random.default_rng(2)), 0.0
+    for number in range(4400):
+        tables.sweep()
+        if number >= 400:
+            mean = mean + tables.predictions()[tables.triple_of[len(corpus) :]].reshape(5, 5, 5) / 4000
+    assert np.abs(mean - want).mean() < 0.004 and np.abs(mean - want).max() < 0.04, (np.abs(mean - want).mean(), np.abs(mean - want).max())
+
+
+def test_shards_and_buckets_change_no_counts(documents, awkward, monkeypatch):
+    """Small shards and chunks, common words in buckets: the same texts, tokens and base scores, and scores that make sense."""
+    whole = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in pitman_yor.score_documents(documents(awkward)).collect())
+    monkeypatch.setattr(pitman_yor, "SHARD", 1500)
+    monkeypatch.setattr(pitman_yor, "CHUNK", 400)
+    got = pitman_yor.score_documents(documents(awkward)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == whole
+    assert all(r.score < 0 and r.perplexity < 1e5 for r in got)
 
 
 def test_seating_has_the_known_mean():
@@ -177,7 +267,7 @@ def test_seating_has_the_known_mean():
             t = np.arange(len(p))
             new = np.where(i - 0.5 * t > 0, 3.0 / (3.0 + np.maximum(i - 0.5 * t, 1e-9)), 1.0)
             p = p * (1 - new) + np.concatenate([[0.0], (p * new)[:-1]])
-        tables = pitman_yor.seat(np.full(4000, customers), np.full(4000, 3.0), 0.5, rng)
+        tables = pitman_yor.seat(np.full(4000, customers), 3.0, 0.5, rng)
         assert tables.mean() == pytest.approx((p * np.arange(len(p))).sum(), rel=0.05)
 
 
