@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where checkpoints go when the cluster names no shared folder (tests and single machines).
+#: Where checkpoints go on a single machine that names no folder.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 #: Rows in one Arrow batch; texts of 100 KB then still make batches of some 50 MB.
@@ -23,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Limit Arrow batches and make sure a checkpoint folder is set, keeping the cluster's own."""
+    """Limit Arrow batches and make sure a checkpoint folder is set, keeping the cluster's own; a cluster without one is an error."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ROWS_PER_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or LOCAL_CHECKPOINTS)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -59,14 +62,21 @@ def whole_text(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def kept_till_exit(df: DataFrame, path: str) -> DataFrame:
+    """The rows, written to a Parquet table and read from it; the driver deletes it when it ends."""
+    spark = df.sparkSession
+    df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.parquet(path)
+
+
 def spool(df: DataFrame) -> DataFrame:
     """As cut(), but compressed by column: rows go to a Parquet table in the shared checkpoint folder."""
     import uuid
 
     prepare(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/spool-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return kept_till_exit(df, f"{df.sparkSession.sparkContext.getCheckpointDir()}/spool-{uuid.uuid4().hex}")
 
 
 def release(spark: SparkSession) -> None:
