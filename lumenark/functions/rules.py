@@ -2,10 +2,10 @@
 
 # Extensions of each media bucket; the first bucket that holds an extension wins.
 BUCKETS = {
-    "photos": (".heic", ".jpeg", ".jpg", ".png", ".tif", ".tiff"),
-    "raw": (".arw", ".cr3", ".dng", ".gpr", ".nef", ".orf", ".raf", ".rw2"),
-    "videos": (".avi", ".insv", ".lrv", ".m2ts", ".m4v", ".mov", ".mp4", ".mts", ".mxf"),
-    "sidecar": (".aae", ".bdm", ".bin", ".insp", ".int", ".lrf", ".lrtemplate", ".prproj", ".srt", ".thm", ".xml", ".xmp"),
+    "photos": (".jpg", ".jpeg", ".png", ".heic", ".tif", ".tiff"),
+    "raw": (".arw", ".dng", ".cr3", ".gpr", ".nef", ".raf", ".orf", ".rw2"),
+    "videos": (".mp4", ".mov", ".avi", ".m4v", ".mxf", ".insv", ".lrv", ".mts", ".m2ts"),
+    "sidecar": (".xmp", ".srt", ".lrf", ".thm", ".aae", ".xml", ".insp", ".lrtemplate", ".bdm", ".bin", ".int", ".prproj"),
 }
 
 # Stage rules.
@@ -17,7 +17,7 @@ STAGE_SIDECARS = (".aae", ".lrf", ".lrtemplate", ".lrv", ".srt", ".thm", ".xmp")
 # What raw metadata must contain, any case.
 ALTITUDE_MARK = "AbsoluteAltitude"
 EDITING_SOFTWARE = ("Adobe Lightroom", "Adobe Photoshop", "Adobe ImageReady", "Topaz", "Capture One", "DaVinci", "Premiere", "Final Cut")
-ROTATED_MARKS = tuple(f'"Orientation":{gap}{n}' for gap in (" ", "") for n in (5, 6, 7, 8))
+ROTATED_MARKS = ('"Orientation": 5', '"Orientation": 6', '"Orientation": 7', '"Orientation": 8', '"Orientation":5', '"Orientation":6', '"Orientation":7', '"Orientation":8')
 
 # Trip rules: pattern (any case), label, category.
 TRIP_RULES = (
@@ -53,19 +53,19 @@ TRIP_RULES = (
 
 # Month of a trip whose files have no date.
 TRIP_MONTHS = {
-    "Banff": "2025-06",
-    "Christmas 2025": "2025-12",
     "Costa Rica": "2024-04",
+    "Iceland": "2024-09",
+    "Wedding": "2024-06",
     "Engagement": "2023-10",
-    "Fall Colors 2025": "2025-10",
-    "France 2025": "2025-09",
     "French Polynesia": "2025-01",
-    "Grand Cayman": "2024-08",
-    "Iceland": "2024-09",
+    "New Zealand": "2025-02",
+    "Banff": "2025-06",
     "Los Angeles 2025": "2025-07",
+    "France 2025": "2025-09",
+    "Fall Colors 2025": "2025-10",
     "New Mexico Balloon Fest": "2025-10",
-    "New Zealand": "2025-02",
-    "Wedding": "2024-06",
+    "Christmas 2025": "2025-12",
+    "Grand Cayman": "2024-08",
 }
 
 # Which drive's copy to keep; drives not listed come after.
