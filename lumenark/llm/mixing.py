@@ -107,7 +107,11 @@ def mix(docs: DataFrame, domain: Column | None = None, budget: tuple[int, int] =
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs in the mix, each as often as its copies say, with docs' own columns."""
+    """The rows of docs in the mix, each as often as its copies say, with docs' own columns.
+
+    Nulls, empty texts and ties as in mix(). Rows equal in doc_id, lang, source and token count are taken alike, so repeated rows
+    never exceed the budget together. Texts of any length move once, with the rows that stay.
+    """
     names = {c: fresh(docs, f"mix_{c}") for c in ("doc_id", "lang", "source", "tokens", "copies", "words", "epoch")}
     doc_id, lang, source, tokens, copies, words, epoch = names.values()
     key = [F.col(c).alias(names[c]) for c in ("doc_id", "lang", "source", "tokens")]

@@ -385,7 +385,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     spans lists kind:start:end (code points, end exclusive) by start, then by rule as listed.
     A null text counts as empty; no match gives counts of 0, an empty list and its hash. Bytes beyond
-    ASCII match no rule, so an offset always falls between two code points.
+    ASCII match no rule, so an offset always falls between two code points. Rows are read one by one, repeated ones too, in one
+    pass over each whole text, however long.
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
