@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenark.functions import scalar as S
-from lumenark.operators import clusters, dedupe, drives, maintenance, search, staging, trips
+from lumenark.operators import clusters, dedupe, drives, maintenance, search, sinks, staging, trips
 from lumenark.sources import inventory, schema
 
 TABLES = {
@@ -18,10 +18,11 @@ TABLES = {
 
 
 class Library:
-    """tables: any of TABLES by name; those not given are empty."""
+    """tables: any of TABLES by name; those not given are empty. store: a folder that all executors share, in which the labelled
+    files are kept under `version`, the caller's name for the state of the tables; without one they are kept in memory."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], store: str | None = None, version: str = "0"):
+        self.spark, self.store, self.version = spark, store, version
         self.tables = {name: tables[name] if name in tables else spark.createDataFrame([], s) for name, s in TABLES.items()}
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -29,8 +30,9 @@ class Library:
 
     @cached_property
     def files(self) -> DataFrame:
-        """Live files, enriched and labelled; kept in memory as far as it holds them."""
-        return trips.labelled(inventory.enriched(self["files"], self["media_metadata"]), self["overrides"]).persist()
+        """Live files, enriched and labelled, materialised once for a version of the tables."""
+        rows = trips.labelled(inventory.enriched(self["files"], self["media_metadata"]), self["overrides"])
+        return sinks.kept(self.spark, self.store, self.version, lambda: rows) if self.store else rows.persist()
 
     @cached_property
     def mounts(self) -> DataFrame:
@@ -65,6 +67,9 @@ class Library:
     def stage_status(self) -> DataFrame:
         return staging.status(self["stage_items"], self.mounts.filter("mount IS NOT NULL"))
 
+    def archived_jobs(self, folder: str) -> DataFrame:
+        return inventory.archived_summaries(self.spark, folder)
+
     def stage_errors(self) -> DataFrame:
         return staging.errors(self["stage_items"])
 

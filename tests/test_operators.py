@@ -239,6 +239,11 @@ def test_relations_are_kept_by_version(spark, tmp_path):
     built = []
     build = lambda: built.append(1) or spark.range(len(built))
     assert [sinks.kept(spark, str(tmp_path), v, build).count() for v in ("a", "a", "b")] == [1, 1, 2] and len(built) == 2
+    from lumenark.library import Library
+
+    row = lambda i: tuple({"id": i, "full_path": f"/Volumes/D/Iceland/x{i}.jpg", "file_name": f"x{i}.jpg", "extension": ".jpg", "file_size": 5, "root_path": "/Volumes/D", "device_name": "D"}.get(n) for n in schema.FILES.names)
+    tables = lambda n: {"files": spark.createDataFrame([row(i) for i in range(n)], schema.FILES)}
+    assert [Library(spark, tables(n), str(tmp_path / "lib"), v).trips().first().files for n, v in ((1, "1"), (3, "1"), (3, "2"))] == [1, 1, 3]
 
 
 def test_ingest_job(spark):
