@@ -10,14 +10,14 @@ parity, so asking from the odd side loses nothing). The other half, in segments
 three bits in the first case and two in the second: of its 4 or 3 pieces one is equal, and its number lengthens the cell. Some
 83 rows a fingerprint; between N random fingerprints some 5e-9 N**2 candidate pairs.
 
-`keep_one` drops near copies: texts whose sets of five-word shingles have a cosine of 0.8 or more (which SimHash bits
-estimate: two bits differ with the probability of angle / pi; every pair with a Jaccard similarity of 0.8 is among them).
-That is a fifth of the bits, so fingerprints are BITS long, and the grid is laid over many choices of
-segments of one bit; cells have log2(N) - SPARE of them, and there are as many choices as find a pair at
-exactly 0.8 with the probability RECALL. Candidates must agree in WIDE further bits up to chance, and are
-verified by comparing whole shingle sets. Only components are asked for: first each text is held against
-the nearest of its cells' representatives, then all that is still apart, where a cell's largest known group is
-not compared within itself.
+`keep_one` drops near copies: texts whose fingerprints over five-word shingles say that the cosine of their sets of shingles is 0.8 or
+more (two SimHash bits differ with the probability of angle / pi; sets with a Jaccard similarity of 0.8 have a cosine of 0.89).
+That is a fifth of the bits, so these fingerprints are BITS long, and the grid is laid over many choices of
+segments of one bit; cells have log2(N) - SPARE of them, and there are as many choices as find a pair that
+differs in as many bits as it may with the probability RECALL. Candidates are verified by the exact distance of their
+whole fingerprints, which go along with each cell. Only components are asked for: first, in ROUNDS, each text is linked to the nearest
+of its cells' representatives that it is not linked to yet, which joins a large group by few links; then all that is still
+apart is compared, where a cell's largest known group is not compared within itself.
 
 Equal fingerprints, or texts, are one node, so copies never meet in pairs. Components come from alternating
 star contraction over the links, checkpointed each round.
@@ -111,6 +111,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").selectExpr("b AS a", "m AS b").unionByName(least.selectExpr("a", "m AS b")).distinct()
         edges = cut(small.selectExpr("least(a, b) AS a", "greatest(a, b) AS b"))
+        release(links.sparkSession)  # of a round's small shuffles, which add up where there are many partitions
         now = tuple(edges.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(a, b) AS decimal(38, 0))"))).first())
         if now == before:
             break
@@ -146,17 +147,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 # --- near copies --------------------------------------------------------------------------------------------
 
-#: Words of a shingle, the least cosine of two near copies' shingle sets, and its square as a fraction.
+#: Words of a shingle, and the least cosine of two near copies.
 COPY_SHINGLE, SIMILAR = 5, 0.8
-SIMILAR_SQUARE = (16, 25)
-#: Bits of a long fingerprint; the first WIDE of them go along with each cell.
-BITS, WIDE = 1024, 128
-#: Texts that share a cell by chance are 2**SPARE; a pair at exactly SIMILAR is found with the probability RECALL.
-SPARE, RECALL = 8, 0.97
-#: Choices of segments that the first, cheaper round looks at.
-FIRST = 8
+BITS = 512
+#: Differing bits of two near copies, at most.
+WITHIN = math.floor(BITS * math.acos(SIMILAR) / math.pi)
+#: Texts that share a cell by chance are 2**SPARE; a pair that differs in WITHIN bits is found with the probability RECALL.
+SPARE, RECALL = 10, 0.95
+#: Rounds of comparisons with representatives, the choices of segments they look at, and the representatives of a cell in
+#: the first round and in others.
+ROUNDS, FIRST, DRAWN = 2, 8, (2, 32)
 #: Texts of a group known to be linked, from which on it is left out of comparisons within itself.
 BIG = 64
+#: The fingerprint as longs.
+WORDS = [f"w{k}" for k in range(BITS // 64)]
+CELLS = ", ".join(f"{c} long" for c in ("cell", "id", "root", *WORDS))
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -166,11 +171,6 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), np.uint64, len(joined)))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return SIMILAR_SQUARE[1] * shared * shared >= SIMILAR_SQUARE[0] * len(a) * len(b)
-
-
 def long_fingerprint(keys: np.ndarray) -> np.ndarray:
     """BITS bits, packed little-endian: set if so in over half of the shingles' hashes, each drawn out by a finalizer."""
     ones = np.zeros(BITS, np.int64)
@@ -185,99 +185,83 @@ def long_fingerprint(keys: np.ndarray) -> np.ndarray:
 
 def grids(n: int) -> np.ndarray:
     """By row: the bits that make the cells of one choice of segments, for n texts."""
-    differ = math.acos(SIMILAR) / math.pi
     size = min(40, max(0, math.ceil(math.log2(max(n, 1))) - SPARE))
-    met = (1 - differ) ** size
+    met = math.comb(BITS - WITHIN, size) / math.comb(BITS, size)
     count = 1 if met == 1 else math.ceil(math.log(1 - RECALL) / math.log(1 - met))
     rng = np.random.default_rng(SEED)
     return np.array([rng.choice(BITS, size, replace=False) for _ in range(count)], np.int64).reshape(count, size)
 
 
-def within(bits: int) -> int:
-    """Differing bits out of so many that a pair at SIMILAR exceeds with a probability below 1 in 1,000."""
-    differ = math.acos(SIMILAR) / math.pi
-    return math.ceil(bits * differ + 3.2 * math.sqrt(bits * differ * (1 - differ)))
-
-
-def _binary(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
-    return batch.column(column).cast(pa.binary()).to_pylist()
-
-
 def _long_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [long_fingerprint(shingles(text)).tobytes() for text in _binary(batch)]
+        found = [long_fingerprint(shingles(text)).tobytes() for text in batch.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "bits"])
 
 
 def _cells(choices: np.ndarray):
-    """A row (cell, id, root, w0, w1) for each text and choice of segments."""
+    """A row of CELLS for each text and choice of segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, size = choices.shape
         for batch in batches:
             n = batch.num_rows
             packed = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(n, BITS // 8)
-            wide = packed[:, : WIDE // 8].copy().view(np.int64)
             bits = np.unpackbits(packed, axis=1, bitorder="little")
             cell = (np.arange(count) << 40) + bits[:, choices.ravel()].reshape(n, count, size).astype(np.int64) @ (1 << np.arange(size, dtype=np.int64))
-            columns = [cell.ravel(), *(np.repeat(x, count) for x in (batch.column("id").to_numpy(), batch.column("root").to_numpy(), wide[:, 0], wide[:, 1]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "id", "root", "w0", "w1"])
+            columns = [cell.ravel(), *(np.repeat(x, count) for x in (batch.column("id").to_numpy(), batch.column("root").to_numpy(), *packed.view(np.int64).T))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "id", "root", *WORDS])
 
     return run
 
 
-CELLS = "cell long, id long, root long, w0 long, w1 long"
-APART = "bit_count(w0 ^ {0}w0) + bit_count(w1 ^ {0}w1)"
+def _apart(other: str) -> str:
+    return " + ".join(f"bit_count({w} ^ {other}{w})" for w in WORDS)
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, held = None, None
-    for batch in batches:
-        a, b, keep = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-        for k, (x, text, other) in enumerate(zip(a, _binary(batch, "text_a"), _binary(batch, "text_b"))):
-            if x != last:
-                last, held = x, shingles(text)
-            if similar(held, shingles(other)):
-                keep.append(k)
-        yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
-
-
-def _similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose whole texts are similar."""
-    asked = pairs.selectExpr("explode(array(a, b)) AS id").distinct()
-    held = texts.join(asked, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    both = pairs.join(held.selectExpr("id AS b", "text AS text_b"), "b").hint("merge").join(held.selectExpr("id AS a", "text AS text_a"), "a")
-    found = cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"))
-    release(texts.sparkSession)
-    return found
+def _nearest(asked: DataFrame, drawn_from: DataFrame, number: int) -> DataFrame:
+    """(a, b): each text of asked (rows of CELLS) with the nearest of the representatives of its cells that has another root.
+    A cell's are drawn by hash among the rows of drawn_from, anew each round, so that a large group has many."""
+    lot, draw = F.expr(f"pmod(xxhash64(id, {number}), {DRAWN[number > 0]})"), F.xxhash64("cell", "id", F.lit(number)).alias("draw")
+    drawn = drawn_from.groupBy("cell", lot.alias("lot")).agg(F.min(F.struct(draw, "id", "root", *WORDS)).alias("r")).select("cell", "r")
+    near = asked.join(drawn, "cell").filter(f"root <> r.root AND {_apart('r.')} <= {WITHIN}")
+    best = near.groupBy("id").agg(F.min(F.struct(F.expr(_apart("r.")), F.col("r.id").alias("id"))).alias("o"))
+    return best.selectExpr("least(id, o.id) AS a", "greatest(id, o.id) AS b").distinct()
 
 
 def near_copies(texts: DataFrame, n: int) -> DataFrame:
-    """(a, b): similar texts of texts (id, text; n rows), enough of them to link all found similar, directly or over others."""
+    """(a, b): near copies among texts (id, text; n rows), enough of them to link all found, directly or over others."""
     prints = spool(texts.mapInArrow(_long_fingerprints, "id long, bits binary").dropDuplicates(["id"]))
-    choices, limit = grids(n), within(WIDE)
+    choices = grids(n)
+    columns = ("id", "root", "bits")
     entries = prints.selectExpr("id", "id AS root", "bits").mapInArrow(_cells(choices[:FIRST]), CELLS)
-    middle = entries.groupBy("cell").agg(F.min(F.struct("id", "w0", "w1")).alias("o"), F.count("*").alias("met")).filter("met > 1").drop("met")
-    first = entries.join(middle, "cell").filter(f"id <> o.id AND {APART.format('o.')} <= {limit}").groupBy("id").agg(F.min(F.struct(F.expr(APART.format("o.")), F.col("o.id").alias("id"))).alias("o"))
-    first = cut(first.selectExpr("least(id, o.id) AS a", "greatest(id, o.id) AS b").distinct())
-    links = _similar_pairs(first, texts)
+    links = cut(_nearest(entries, entries, 0))
+    for number in range(1, ROUNDS):
+        # From here on representatives are texts with a link.
+        roots = cut(components(links))
+        release(texts.sparkSession)  # of many small shuffles
+        placed = prints.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "bits", F.col("root").isNotNull().alias("linked"))
+        drawn_from = placed.filter("linked").select(*columns).mapInArrow(_cells(choices[:FIRST]), CELLS)
+        found = cut(_nearest(placed.select(*columns).mapInArrow(_cells(choices[:FIRST]), CELLS), drawn_from, number))
+        release(texts.sparkSession)
+        links = cut(links.unionByName(found))
 
     roots = cut(components(links))
-    big = cut(roots.groupBy("root").agg(F.count("*").alias("members")).filter(f"members >= {BIG}").select("root"))
+    release(texts.sparkSession)
+    big = roots.groupBy("root").agg(F.count("*").alias("members")).filter(f"members >= {BIG}").select("root")
     placed = prints.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "bits")
-    crowd = placed.join(big, "root", "left_semi").select("id", "root", "bits").mapInArrow(_cells(choices), CELLS)
+    crowd = placed.join(big, "root", "left_semi").select(*columns).mapInArrow(_cells(choices), CELLS)
     crowd = crowd.groupBy("cell", "root").agg(F.count("*").alias("members")).groupBy("cell").agg(F.max(F.struct("members", "root")).getField("root").alias("most"))
     entries = placed.mapInArrow(_cells(choices), CELLS)
     asked = entries.join(crowd, "cell", "left").filter("most IS NULL OR root <> most")
-    other = entries.selectExpr("cell", "id AS o_id", "root AS o_root", "w0 AS o_w0", "w1 AS o_w1")
-    met = asked.hint("merge").join(other, "cell").filter(f"root <> o_root AND (id < o_id OR o_root = most) AND {APART.format('o_')} <= {limit}")
+    other = entries.selectExpr("cell", "id AS o_id", "root AS o_root", *(f"{w} AS o_{w}" for w in WORDS))
+    met = asked.hint("merge").join(other, "cell").filter(f"root <> o_root AND (id < o_id OR o_root = most) AND {_apart('o_')} <= {WITHIN}")
     rest = cut(met.selectExpr("least(id, o_id) AS a", "greatest(id, o_id) AS b").distinct())
     release(texts.sparkSession)
-    return links.unionByName(_similar_pairs(rest.join(first, ["a", "b"], "left_anti"), texts))
+    return links.unionByName(rest)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of texts linked as near copies, the row with the smallest doc_id (of equals, the least text hash; nulls last), with docs' own columns.
+    """Of texts linked as near copies (see the module), the row with the smallest doc_id (of equals, the least text hash; nulls last), with docs' own columns.
 
     A null text counts as empty; texts without a word are near copies of each other and of no others. Texts of fewer than
     five words are near copies if their words, A-Z lower-cased, are the same.
