@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenark.llm import exact_dedup, html_text, mixing, packing, pitman_yor, quality, secrets, simhash, sketches, substrings
+from lumenark.llm import audit, exact_dedup, html_text, mixing, packing, pitman_yor, quality, secrets, simhash, sketches, substrings, toxicity, whitening
 from lumenark.llm.common import table
 
 
@@ -52,6 +52,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -64,6 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_html_extraction": op10_html_extraction,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_toxicity": op12_toxicity,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -74,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+        "op13_filter_audit": audit.ORACLE_SQL,
     }
