@@ -11,11 +11,8 @@ from pyspark.sql import types as T
 from lumenark.functions import rules as R
 from lumenark.functions import scalar as S
 from lumenark.operators.dedupe import best_rows
+from lumenark.sources import folder as media_folder
 from lumenark.sources import schema
-from lumenark.sources.durable import checkpointed
-
-INGEST_EXTENSIONS = (*R.BUCKETS["photos"], *R.BUCKETS["raw"], *R.BUCKETS["videos"], *R.BUCKETS["sidecar"])
-
 
 def locate(spark: SparkSession, candidates: list[str], variable: str = "LUMENARK_FILES") -> str:
     """The inventory's path: what the environment names, else the first candidate that exists on any file system Spark reads."""
@@ -50,60 +47,13 @@ def enriched(files: DataFrame, metadata: DataFrame) -> DataFrame:
     )
 
 
-LISTED = "path string, folder boolean, file_size long, modified_time string, sha256 string"
-
-
-def _list(content: bool):
-    """For each folder (path) what lies in it, by pyarrow's file systems; a plain path is local."""
-
-    def run(frames):
-        import hashlib
-
-        import pandas as pd
-        from pyarrow import fs as arrow_fs
-
-        def digest(fs, path: str) -> str:
-            sha = hashlib.sha256()
-            with fs.open_input_stream(path) as file:
-                while part := file.read(1 << 20):
-                    sha.update(part)
-            return sha.hexdigest()
-
-        def wanted(name: str) -> bool:
-            stem, dot, ext = name.rpartition(".")
-            return bool(stem and dot) and f".{ext.lower()}" in INGEST_EXTENSIONS
-
-        for frame in frames:
-            rows = []
-            for folder in frame["path"]:
-                fs, inner = arrow_fs.FileSystem.from_uri(folder)
-                outer = folder[: len(folder) - len(inner)] if folder.endswith(inner) and not folder.startswith("file:") else ""
-                for info in fs.get_file_info(arrow_fs.FileSelector(inner)):
-                    if info.type == arrow_fs.FileType.Directory:
-                        rows.append((outer + info.path, True, None, None, None))
-                    elif info.type == arrow_fs.FileType.File and wanted(info.base_name):
-                        rows.append((outer + info.path, False, info.size, info.mtime.strftime("%Y-%m-%dT%H:%M:%S"), digest(fs, info.path) if content else None))
-            yield pd.DataFrame(rows, columns=["path", "folder", "file_size", "modified_time", "sha256"]).astype({"file_size": "Int64"})
-
-    return run
-
-
 def walk(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
     """Media files below a folder: full_path, file_name, extension, file_size, modified_time, and sha256 if content is read.
 
-    Every name counts, those that start with a dot or an underscore, too (Spark's own file sources hide them). Folders are
-    listed level by level, those of a level by as many tasks as there are; a file is read by pieces.
+    Every name counts, those that start with a dot or an underscore, too (Spark's own file sources hide them). See sources/folder.py.
     """
-    found, level = None, spark.createDataFrame([(folder.rstrip("/") or "/",)], "path string")
-    while True:
-        listed = checkpointed(level.mapInPandas(_list(content), LISTED))
-        found = listed.filter("NOT folder") if found is None else found.unionByName(listed.filter("NOT folder"))
-        level = listed.filter("folder").select("path")
-        if level.isEmpty():
-            break
-        level = level.repartition(spark.sparkContext.defaultParallelism)
-    name = S.basename(F.col("path"))
-    return found.select(F.col("path").alias("full_path"), name.alias("file_name"), F.lower(S.suffix(name)).alias("extension"), "file_size", "modified_time", *(["sha256"] if content else []))
+    found = media_folder.read(spark, folder, content=content)
+    return found if content else found.drop("sha256")
 
 
 def shots(files: DataFrame) -> DataFrame:

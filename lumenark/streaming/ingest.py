@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lumenark.functions import scalar as S
 from lumenark.operators import maintenance, sinks
+from lumenark.sources import folder as media_folder
 from lumenark.sources import schema
 
 
@@ -14,6 +17,15 @@ def scans(spark: SparkSession, landing: str) -> DataFrame:
     return spark.readStream.schema(schema.FILES).parquet(landing)
 
 
+def folder_scans(spark: SparkSession, folder: str, device: str, **options: str | bool | int | float) -> DataFrame:
+    """New and changed media below a folder as scan rows, with a scan for each second in which a batch is read (options: see sources/folder.py)."""
+    media_folder.register(spark)
+    found = spark.readStream.format(media_folder.NAME).options(**options).load(folder)
+    now, scan = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"), F.unix_seconds(F.current_timestamp())
+    told = {"id": S.path_id("full_path"), "mime_type": S.mime("extension"), "root_path": F.lit(folder.rstrip("/")), "device_name": F.lit(device), "first_seen_scan_id": scan, "last_seen_scan_id": scan, "indexed_at": now}
+    return schema.ensure_columns(found.withColumns(told), schema.FILES).select(*schema.FILES.names)
+
+
 def merge_scans(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Each batch upserts by path and writes the table's next version; of a path that a batch holds twice the row of the last scan,
     modified last, counts. A batch run again after a failure finds its version written, or replaces what there is of it."""
