@@ -49,7 +49,9 @@ MARKUP = re.compile(
 )
 #: The same but for quotes, which do not keep a tag open. Used from the first tag on that no > ends.
 PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>[^>]*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: One attribute after the other, each from its start: a name, and a value if there is one.
+ATTRIBUTE = re.compile(r"""([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+("[^"]*+"|'[^']*+'|[^ \t\n\f\r>]*+))?+""")
+NAMING = frozenset(("class", "id", "role"))
 NAME_WORD = re.compile(r"[a-z]+")
 
 
@@ -85,8 +87,11 @@ class _Open:
         return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
 
 
-def parse(source: str) -> Page:
-    """Block elements and text blocks; unclosed, misnested and cut-off markup is taken as it comes. Time is linear in the page."""
+def parse(source: str, labelled: bool = False) -> Page:
+    """Block elements and text blocks; unclosed, misnested and cut-off markup is taken as it comes. Time is linear in the page.
+
+    labelled: data-y gives an element's label; on other pages it is an attribute like any other.
+    """
     page = Page()
     stack = _Open()
     texts: list[str] = []
@@ -160,10 +165,11 @@ def parse(source: str) -> Page:
         words, label = [f"tag:{name}"], None
         if attrs and ("=" in attrs):
             for key, value in ATTRIBUTE.findall(attrs):
-                if key.lower() == "data-y":
-                    label = LETTERS.index(value.strip("\"'"))
-                else:
+                key = key.lower()
+                if key in NAMING:
                     words += (f"name:{w}" for w in NAME_WORD.findall(value.lower()))
+                elif labelled and key == "data-y":
+                    label = LETTERS.index(value.strip("\"'"))
         if len(words) == 1:
             words.append("name:")
         node = add(tuple(dict.fromkeys(words)), label)
@@ -212,7 +218,7 @@ def train(pages: Iterable[str]) -> Model:
     totals: dict[str, Counter] = defaultdict(Counter)
     steps = [[[0.2] * 3 for _ in LABELS] for _ in range(2)]
     for source in pages:
-        page = parse(source)
+        page = parse(source, labelled=True)
         labels: list[int] = []
         for node, own in enumerate(page.labels):
             label = own if own is not None else labels[page.parent[node]]
@@ -287,6 +293,10 @@ def main_text(source: str, model: Model) -> str:
 # --- labelled pages -----------------------------------------------------------------------------------
 
 
+#: Parts of link-rich content among the kinds that an article of a training page is drawn from.
+LINKED_PARTS = 3
+
+
 def labelled_pages(count: int = 1500, seed: int = 11) -> Iterator[str]:
     """Pages made up from common layouts, each element's label in data-y where it differs from its parent's.
 
@@ -317,9 +327,29 @@ def labelled_pages(count: int = 1500, seed: int = 11) -> Iterator[str]:
         body = words(*pick(((1, 2), (1, 6), (5, 30), (20, 120), (20, 120), (60, 200))))
         return some(lambda: f"<p>{body}.</p>", lambda: f"<p>{body}.</p>", lambda: f"<p>{body}</p>", lambda: f"<p>{body}, <a href='/x'>{words(1, 4)}</a> {words(2, 9)}.", lambda: f"<p><b>{body}.<br>", lambda: f"<p{named('lead', 'intro', 'dropcap', 'text', 'summary')}>{body}.</p>")
 
+    def sources() -> str:
+        """What an article refers to: longer than a menu's entries, and without a name."""
+        n, low = rng.randint(1, 6), pick((1, 2, 3))
+        return some(
+            lambda: "<ul>" + "".join(f'<li><a href="/{k}">{words(low, 9)}</a>{pick(("", "", f", {words(1, 4)}"))}{pick(("", "</li>"))}' for k in range(n)) + "</ul>",
+            lambda: "<ol>" + "".join(f'<li><a href="/{k}">{words(low, 9)}</a></li>' for k in range(n)) + "</ol>",
+            lambda: "<ul>" + "".join(f"<li>{words(1, 6)} <a href=/{k}>{words(1, 4)}</a></li>" for k in range(n)) + "</ul>",
+        )
+
+    def linked() -> str:
+        """Content that is a link, or mostly."""
+        body = words(*pick(((3, 9), (5, 25), (10, 40))))
+        return some(
+            lambda: f'<p><a href="/{words(1, 1)}">{body}.</a></p>', lambda: f"<p><a href=/x>{body}</a>.</p>", lambda: f"<p>{words(1, 5)} <a href='/x'>{body}</a>.</p>", lambda: f"<p><a href=/x>{body}</a> {words(1, 6)}.</p>",
+            lambda: f'<h{(k := rng.randint(2, 4))}><a href="/{words(1, 1)}">{words(1, 6)}</a></h{k}>', lambda: f"<blockquote><a href=/q>{body}.</a></blockquote>", lambda: f"<figure><img src=x><figcaption><a href=/f>{words(2, 9)}</a></figcaption></figure>",
+            lambda: "<dl>" + "".join(f"<dt><a href=/{k}>{words(1, 2)}</a><dd>{words(2, 15)}." for k in range(rng.randint(1, 4))) + "</dl>",
+            lambda: "<table>" + "".join(f"<tr><td><a href=/{k}>{words(1, 3)}</a></td><td>{words(1, 4)}</td></tr>" for k in range(rng.randint(1, 4))) + "</table>",
+            lambda: f"<h{(k := rng.randint(2, 4))}>{words(1, 3)}</h{k}>{sources()}", sources,
+        )
+
     def part() -> str:
         return some(
-            paragraph, paragraph, paragraph, paragraph, paragraph,
+            paragraph, paragraph, paragraph, paragraph, paragraph, *[linked] * LINKED_PARTS,
             lambda: f"<h{(k := rng.randint(2, 4))}>{words(1, 8)}</h{k}>",
             lambda: "<ul>" + "".join(f"<li>{words(1, 20)}</li>" for _ in range(rng.randint(1, 6))) + "</ul>",
             lambda: "<ul>" + "".join(f"<li>{words(1, 2)}{pick(('', '</li>'))}" for _ in range(rng.randint(1, 6))) + "</ul>",
@@ -395,7 +425,7 @@ def labelled_pages(count: int = 1500, seed: int = 11) -> Iterator[str]:
         brief = rng.random() < 0.35
         inside = [f"<p>{words(6, 25)}.</p>" if brief else part() for _ in range(rng.randint(1, 2) if brief else rng.randint(1, 14))]
         if rng.random() < 0.8:
-            inside.insert(0, f"<h1>{words(1, 12)}</h1>" if rng.random() < 0.8 else f"<header><h1>{words(1, 12)}</h1><p>{words(1, 6)}</p></header>")
+            inside.insert(0, f"<h1>{words(1, 12)}</h1>" if rng.random() < 0.7 else f"<h1><a href=/self>{words(1, 9)}</a></h1>" if rng.random() < 0.5 else f"<header><h1>{words(1, 12)}</h1><p>{words(1, 6)}</p></header>")
         for make in (advert, side, notice, form, control, control):
             if rng.random() < (0.35 if make is control and brief else 0.08):
                 inside.insert(rng.randint(1, len(inside)), make())

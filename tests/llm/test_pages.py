@@ -6,6 +6,8 @@ In each page <!--c--> stands before every block of the article; the mark is take
 import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lumenark.llm import html_text
 
@@ -76,3 +78,57 @@ def test_parsing_is_linear(name):
 
     small, large = min(took(5_000) for _ in range(3)), min(took(40_000) for _ in range(2))
     assert large < 24 * max(small, 0.01), (small, large)
+
+NAV = '<nav><a href="/">Home</a> <a href="/news">News</a> <a href="/about">About</a></nav>'
+FOOT = '<footer><p>© 2024 Example</p><a href="/imprint">Imprint</a></footer>'
+LINKED = {
+    "linked paragraphs": f'<body>{NAV}<article><h1><!--c-->Ten parks</h1><p><!--c--><a href="/1">The first park is the oldest of them, and the one most people know.</a></p><p><!--c--><a href="/2">The second park has a lake and three small islands.</a></p><p><!--c-->See also <a href="/3">the third park, which lies behind the station</a>.</p></article>{FOOT}</body>',
+    "two plain and three linked": f'<body>{NAV}<article><h1><!--c--><a href="/self">Why we walk</a></h1><p><!--c-->{LONG}</p><p><!--c--><a href="/2">A study of four thousand walkers came to the same result last year.</a></p><p><!--c--><a href="/3">Another one did not.</a></p><p><!--c--><a href="/4">Both were paid for by makers of shoes.</a></p><p><!--c-->{LONG}</p></article><aside class="related"><h3>Related</h3><ul><li><a href="/a">Running</a></li><li><a href="/b">Cycling</a></li></ul></aside>{FOOT}</body>',
+    "list article with linked headings": f'<body><div class="menu"><a href="/">Start</a><a href="/x">Places</a></div><div class="entry-content"><h1><!--c-->Three parks</h1><h2><!--c--><a href="/p1">Park 1</a></h2><p><!--c-->{LONG}</p><h2><!--c--><a href="/p2">Park 2</a></h2><p><!--c-->{LONG}</p><h2><!--c--><a href="/p3">Park 3</a></h2><p><!--c-->It is small.</p></div>{FOOT}</body>',
+    "sources at the end": f'<body>{NAV}<main><article><h1><!--c-->The flood of 1953</h1><p><!--c-->{LONG * 2}</p><p><!--c-->{LONG}</p><h2><!--c-->Sources</h2><ul><li><!--c--><a href="/s1">Report of the water board, 1954</a></li><li><!--c--><a href="/s2">Letters of the mayor</a></li><li><!--c--><a href="/s3">Map of the lower town</a></li></ul></article></main>{FOOT}</body>',
+    "further reading, ordered": f'<body>{NAV}<div id="content"><h1><!--c-->On yeast</h1><p><!--c-->{LONG}</p><p><!--c-->{LONG}</p><h3><!--c-->Further reading</h3><ol><li><!--c--><a href=/1>Bread and its makers</a><li><!--c--><a href=/2>The sour book</a></ol></div><div class="sidebar"><h3>Popular</h3><ul><li><a href=/q>Ten loaves</a><li><a href=/w>Salt</a></ul></div>{FOOT}</body>',
+    "quotation that is a link": f'<body><header><a href="/">Site</a></header><article><p><!--c-->{LONG}</p><blockquote><!--c--><a href="/q">Nobody had seen the water so high, and nobody has since.</a></blockquote><p><!--c-->{LONG}</p></article>{FOOT}</body>',
+    "caption that is a link": f'<body>{NAV}<article><h1><!--c-->A bridge</h1><p><!--c-->{LONG}</p><figure><img src=a><figcaption><!--c--><a href="/f">The bridge in 1901</a></figcaption></figure><p><!--c-->{LONG}</p></article></body>',
+    "glossary of links": f'<body><ul class="nav"><li><a href=/>A</a><li><a href=/b>B</a></ul><article class="post"><h1><!--c-->Words of the sea</h1><p><!--c-->{LONG}</p><dl><dt><!--c--><a href=/k>keel</a><dd><!--c-->The lowest timber of a ship.<dt><!--c--><a href=/m>mast</a><dd><!--c-->The pole that carries the sails.</dl></article>{FOOT}</body>',
+    "table of links": f'<body>{NAV}<article><h1><!--c-->Stations</h1><p><!--c-->{LONG}</p><table><tr><th><!--c-->Name</th><th><!--c-->Height</th></tr><tr><td><!--c--><a href=/1>North Peak</a></td><td><!--c-->1,204 m</td></tr><tr><td><!--c--><a href=/2>Low Gap</a></td><td><!--c-->611 m</td></tr></table></article>{FOOT}</body>',
+    "linked lead": f'<body>{NAV}<main><div class="article-body"><h1><!--c-->Ferry strike ends</h1><p><!--c--><a href="/live">Follow the day as it happened.</a></p><p><!--c-->{LONG}</p><p><!--c-->{LONG}</p></div></main><div class="related"><a href=/1>More ferries</a><a href=/2>Ports</a></div>{FOOT}</body>',
+    "news with related box": f'<body>{NAV}<article><h1><!--c-->Cranes return</h1><p><!--c-->{LONG}</p><aside class="related"><h4>Read more</h4><ul><li><a href=/1>Storks</a></li><li><a href=/2>Geese</a></li></ul></aside><p><!--c-->{LONG}</p><p><!--c-->They rest in <a href=/f>the same three fields</a> as ever.</p></article>{FOOT}</body>',
+    "blog with tags and share": f'<body><div id="header"><h1><a href="/">A blog</a></h1></div><div class="post"><h2><!--c--><a href="/p/1">Rain again</a></h2><p><!--c-->{LONG}</p><p><!--c-->{LONG}</p><div class="tags"><a href=/t/1>rain</a> <a href=/t/2>spring</a></div><div class="share"><a href=#>Tweet</a> <a href=#>Mail</a></div></div>{FOOT}</body>',
+    "recipe": f'<body>{NAV}<article><h1><!--c-->Soup</h1><p><!--c-->{LONG}</p><h2><!--c-->You need</h2><ul><li><!--c-->two <a href=/o>onions</a></li><li><!--c--><a href=/s>stock</a></li><li><!--c-->salt</li></ul><ol><li><!--c-->Cut the onions.<li><!--c-->Boil all of it for an hour.</ol></article>{FOOT}</body>',
+    "index page without an article": f'<body>{NAV}<ul class="sidebar"><li><a href=/1>One</a><li><a href=/2>Two</a></ul>{FOOT}</body>',
+    "wiki": f'<body><div id="mw-navigation"><ul><li><a href=/a>Main page</a></li><li><a href=/b>Random</a></li></ul></div><div id="bodyContent"><h1><!--c-->Quay</h1><p><!--c-->A <b>quay</b> is a <a href=/p>place</a> where <a href=/b>boats</a> are <a href=/l>loaded</a>.</p><p><!--c-->{LONG}</p><h2><!--c-->See also</h2><ul><li><!--c--><a href=/h>Harbour</a></li><li><!--c--><a href=/pier>Pier</a></li></ul></div><div id="footer"><ul><li><a href=/pr>Privacy</a></li></ul></div></body>',
+    "interview": f'<body>{NAV}<section class="story"><h1><!--c-->Four questions</h1><p><!--c--><b>Why now?</b></p><p><!--c-->Because.</p><p><!--c--><b>Who pays?</b></p><p><!--c-->{LONG}</p></section><section class="newsletter"><p>Get our letter</p><form><input><button>Go</button></form></section>{FOOT}</body>',
+    "press release": f'<body>{NAV}<div class="main-content"><h1><!--c-->New ferry named</h1><p><!--c-->{LONG}</p><p><!--c-->Contact: <a href="mailto:x@example.com">the press office of the harbour</a></p></div>{FOOT}</body>',
+    "links in Spanish": f'<body><nav class="menu"><a href=/>Inicio</a><a href=/n>Noticias</a></nav><article class="contenido"><h1><!--c-->El río crece</h1><p><!--c-->El agua subió dos metros en una noche y las calles bajas quedaron cubiertas.</p><p><!--c--><a href=/m>El alcalde habló con los vecinos el martes.</a></p><p><!--c-->Nadie resultó herido.</p></article><div class="aviso">Usamos cookies. <button>Aceptar</button></div></body>',
+    "timeline": f'<body>{NAV}<article><h1><!--c-->The works</h1><ul><li><!--c-->1901: begun</li><li><!--c-->1904: <a href=/x>the great strike</a></li><li><!--c-->1911: ended</li></ul><p><!--c-->{LONG}</p></article>{FOOT}</body>',
+}
+
+
+def test_links_of_the_article_stay():
+    model, right, wanted = html_text.default_model(), 0, 0
+    for source in LINKED.values():
+        clean, own = blocks_of(source)
+        got = [line for line in html_text.main_text(clean, model).split("\n") if line]
+        assert not set(got) - set(own)
+        wanted, right = wanted + len(own), right + sum(g in own for g in got)
+    assert wanted > 80 and right / wanted >= 0.85, (right, wanted)
+
+
+@pytest.mark.parametrize("name", ["linked paragraphs", "two plain and three linked", "list article with linked headings", "quotation that is a link", "table of links", "linked lead", "press release", "timeline"])
+def test_linked_blocks_stay(name):
+    clean, own = blocks_of(LINKED[name])
+    assert html_text.main_text(clean, html_text.default_model()) == "\n".join(own)
+
+
+def test_other_attributes_are_neither_names_nor_labels():
+    plain = f"<body>{NAV}<article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></article>{FOOT}</body>"
+    odd = plain.replace("<article>", '<article data-y="10" data-id="nav" data-class="menu sidebar" aria-role="banner">').replace("<h1>", '<h1 data-y="b">').replace("<p>", "<p title='class=advert id=footer' data-y=''>")
+    assert html_text.parse(odd) == html_text.parse(plain)
+    assert html_text.parse('<p CLASS=Ad id = "x1 y">a</p>').features[1][:3] == ("tag:p", "name:ad", "name:x") and html_text.parse('<p data-y="c">a</p>', labelled=True).labels[1] == html_text.CONTENT
+
+
+@given(st.lists(st.tuples(st.text("abcdehilnorsty-=\"'/<> \t\n&", max_size=9), st.text(max_size=12)), max_size=5), st.sampled_from(["div", "p", "li", "data-y", "td"]))
+@settings(max_examples=300, deadline=None)
+def test_no_attribute_ends_the_job(attributes, tag):
+    page = f"<{tag} " + " ".join(f"{k}={v}" for k, v in attributes) + f' data-y="{tag}">text</{tag}><p data-y=10>more'
+    html_text.main_text(page, html_text.default_model())

@@ -118,7 +118,7 @@ def test_marginals_are_exact_on_a_small_tree():
 def test_held_out_pages():
     model, right, total = html_text.default_model(), 0, 0
     for source in html_text.labelled_pages(150, seed=5):
-        page, labels = html_text.parse(source), []
+        page, labels = html_text.parse(source, labelled=True), []
         for node, own in enumerate(page.labels):
             labels.append(own if own is not None else labels[page.parent[node]])
         marginals = html_text.content_marginals(page, model)
