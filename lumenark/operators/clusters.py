@@ -10,40 +10,139 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenark.functions import rules as R
-from lumenark.sources.durable import checkpoint_folder
+from lumenark.sources.durable import checkpoint_folder, checkpointed
 
-#: Vectors of a block that meet in one task, squared.
+#: Vectors of a cell that meet in one task, squared.
 TILE = 2048
+#: Vectors that are compared with their block's pivots in one task.
+SLICE = 8192
+#: Vectors to a pivot, at least, and pivots of a block, at most: one task chooses them, from so many times their number.
+SHARE, PIVOTS, SAMPLE = 32, 4096, 4
+#: Radians that rounding may move an angle by.
+ROUNDING = 1e-6
+
+PLACED = "block string, id long, vec array<double>, cell int, angle double, visits array<int>, visit_angles array<double>"
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    v = np.stack(vectors.to_numpy()).astype(np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def _choose_pivots(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of a block's sample, again and again the vector farthest from the pivots so far, until what is left lies close to one."""
+    frame = frame.sort_values("id")
+    units, theta, most = _units(frame["vec"]), frame["theta"].iat[0], int(frame["pivots"].iat[0])
+    chosen, far = [0], _angles(units, units[:1])[:, 0]
+    while len(chosen) < most and far.max() > theta / 2:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, _angles(units, units[chosen[-1:]])[:, 0])
+    return pd.DataFrame({"block": frame["block"].iat[0], "cell": np.arange(len(chosen), dtype=np.int32), "pivot": list(units[chosen])})
+
+
+def _place(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """Each vector's nearest pivot, and the cells of a lower number that can hold a partner: those whose pivot is at most twice the
+    greatest angle farther off."""
+    if not len(rows):
+        return pd.DataFrame({c.split()[0]: np.empty(0, object) for c in PLACED.split(", ")})
+    if not len(pivots):
+        return pd.DataFrame({"block": rows["block"], "id": rows["id"], "vec": rows["vec"], "cell": np.int32(0), "angle": 0.0, "visits": [[]] * len(rows), "visit_angles": [[]] * len(rows)})
+    pivots = pivots.sort_values("cell")
+    angles = _angles(_units(rows["vec"]), np.stack(pivots["pivot"].to_numpy()))
+    home = angles.argmin(axis=1)
+    own = angles[np.arange(len(rows)), home]
+    near = (angles <= (own + 2 * rows["theta"].to_numpy())[:, None]) & (np.arange(angles.shape[1]) < home[:, None])
+    visits = [np.flatnonzero(row).astype(np.int32) for row in near]
+    return pd.DataFrame({"block": rows["block"].to_numpy(), "id": rows["id"].to_numpy(), "vec": rows["vec"].to_numpy(), "cell": home.astype(np.int32), "angle": own, "visits": visits, "visit_angles": [angles[k, v] for k, v in enumerate(visits)]})
+
+
+def _meetings(vectors: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """(block, cell, lo, hi, t, id, vec, angle, resident, theta): vectors by the task (block, cell, lo, hi) that compares them."""
+    rows = vectors.filter("vec IS NOT NULL").select("id", F.coalesce(F.col("block").cast("string"), F.lit("Unsorted")).alias("block"), F.col("vec").cast("array<double>").alias("vec"))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    # Where vectors are not of unit length, a product of at least the threshold still means a cosine of at least threshold / longest^2.
+    theta = F.acos(F.least(F.lit(1.0), F.lit(float(threshold)) / (F.col("longest") * F.col("longest")))) + ROUNDING if threshold > 0 else F.lit(np.pi)
+    blocks = rows.groupBy("block").agg(F.count("*").alias("n"), F.max(norm).alias("longest")).withColumn("theta", F.coalesce(F.nanvl(theta, F.lit(np.pi)), F.lit(np.pi)))
+    blocks = blocks.select("block", "n", "theta", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"), F.when(F.col("n") > tile, F.least(F.lit(PIVOTS), F.ceil(F.greatest(F.sqrt("n"), F.col("n") / SHARE)))).otherwise(0).cast("int").alias("pivots"), F.ceil(F.col("n") / tile).alias("tiles"))
+    dealt = rows.join(blocks, "block").withColumn("slice", F.expr("cast(pmod(xxhash64(id), slices) AS int)"))
+    sample = dealt.filter((F.col("pivots") > 0) & (F.expr("pmod(xxhash64(id, 7), 1000000)") < F.col("pivots") * (SAMPLE * 1e6) / F.col("n")))
+    chosen = sample.select("block", "id", "vec", "theta", "pivots").groupBy("block").applyInPandas(_choose_pivots, "block string, cell int, pivot array<double>")
+    spread = chosen.join(blocks.select("block", "slices"), "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    placed = checkpointed(dealt.select("block", "slice", "id", "vec", "theta").groupBy("block", "slice").cogroup(spread.groupBy("block", "slice")).applyInPandas(_place, PLACED))
+    # A block whose vectors would visit more cells than it has tiles is one cell: then nothing can be left out, and tiles cost less.
+    spent = placed.groupBy("block").agg(F.sum(F.size("visits")).alias("visits"))
+    blocks = blocks.join(spent, "block").select("block", "theta", (F.col("visits") > F.col("n") * F.col("tiles")).alias("dense"))
+    cells = placed.groupBy("block", "cell").agg(F.min("angle").alias("least"), F.max("angle").alias("radius"))
+    known = placed.join(blocks, "block")
+    residents = known.select("block", F.when(F.col("dense"), 0).otherwise(F.col("cell")).alias("cell"), "id", "vec", F.when(F.col("dense"), 0.0).otherwise(F.col("angle")).alias("angle"), "theta", F.lit(True).alias("resident"))
+    visitors = known.filter("NOT dense").select("block", "id", "vec", "theta", F.explode(F.arrays_zip("visits", "visit_angles")).alias("v")).select("block", F.col("v.visits").alias("cell"), "id", "vec", F.col("v.visit_angles").alias("angle"), "theta", F.lit(False).alias("resident"))
+    visitors = visitors.join(cells, ["block", "cell"]).filter((F.col("angle") <= F.col("radius") + F.col("theta")) & (F.col("angle") >= F.col("least") - F.col("theta"))).drop("least", "radius")
+    members = residents.unionByName(visitors)
+    tiles = members.groupBy("block", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    dealt = members.join(tiles, ["block", "cell"]).withColumn("t", F.expr("cast(pmod(xxhash64(id), tiles) AS int)"))
+    # Tile t meets every tile, the lower number first.
+    meeting = dealt.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"lo": F.least("t", "u"), "hi": F.greatest("t", "u")})
+    return meeting.select("block", "cell", "lo", "hi", "t", "id", "vec", "angle", "resident", "theta")
+
+
+def _products(frame: pd.DataFrame, threshold: float) -> Iterator[tuple[dict, int]]:
+    """Pairs found, and products made, some rows of a meeting at a time: by their angle to the pivot, each with those at most theta away.
+    Residents of one tile meet all of the other, visitors its residents only."""
+    lo, hi, theta = frame["lo"].iat[0], frame["hi"].iat[0], frame["theta"].iat[0]
+    own, other = frame["t"] == lo, frame["t"] == hi
+    at_home = frame["resident"].astype(bool)
+    sides = [(own & at_home, other & at_home), (own & at_home, other & ~at_home)] + ([(own & ~at_home, other & at_home)] if lo != hi else [])
+    for k, masks in enumerate(sides):
+        left, right = (frame[m].sort_values(["angle", "id"]) for m in masks)
+        if not len(left) or not len(right):
+            continue
+        (a, x, p), (b, y, q) = ((np.stack(f["vec"].to_numpy()).astype(np.float64), f["id"].to_numpy(), f["angle"].to_numpy()) for f in (left, right))
+        triangle = lo == hi and k == 0
+        for begin in range(0, len(a), 128):
+            end = min(begin + 128, len(a))
+            first, last = int(np.searchsorted(q, p[begin] - theta, "left")), int(np.searchsorted(q, p[end - 1] + theta, "right"))
+            first = max(first, begin) if triangle else first
+            if first >= last:
+                continue
+            score = a[begin:end] @ b[first:last].T
+            i, j = np.nonzero(score >= threshold)
+            m, n = x[begin + i], y[first + j]
+            once = (m != n) & (begin + i < first + j) if triangle else m != n
+            yield {"a": np.minimum(m, n)[once], "b": np.maximum(m, n)[once], "score": score[i, j][once]}, (end - begin) * (last - first)
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = R.NEAR_DUPLICATE, tile: int = TILE) -> DataFrame:
-    """(block, a, b, score), a < b: vectors (id, block, vec) of a block with cosine >= threshold; a null block is Unsorted.
-
-    A block is cut into tiles, and each pair of tiles multiplied in a task of its own, so a block may be as
-    large as it likes: a task holds two tiles. Every pair is compared, n * n / 2 products for a block of n, and a vector is
-    sent to as many tasks as its block has tiles. Null vectors are like no other.
+    """(block, a, b, score), a < b: vectors (id, block, vec) of a block with a product >= threshold; a null block is Unsorted.
+
+    Exact, by an index of angles: a block larger than a tile has pivots, one to SHARE vectors, far from each other; a vector lives in
+    the cell of the nearest one and visits those of a lower number where a partner can live. By the triangle inequality that is a cell whose pivot is at most 2 theta
+    farther off than its own, and whose radius reaches to within theta of it; theta is the angle of the threshold. In a cell, vectors are compared
+    by their angle to the pivot, with those at most theta away. A cell is cut into tiles, and each two of them meet in a
+    task of their own, so a cell may be as large as it likes. Where vectors do not lie in clusters nothing can be left out; such a
+    block is one cell. Null vectors are like no other.
     """
-    rows = vectors.filter("vec IS NOT NULL").select("id", F.coalesce(F.col("block").cast("string"), F.lit("Unsorted")).alias("block"), "vec")
-    tiles = rows.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = rows.join(tiles, "block").withColumn("t", F.expr("cast(pmod(xxhash64(id), tiles) AS int)"))
-    # Tile t meets every tile, the lower number first.
-    spread = dealt.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"lo": F.least("t", "u"), "hi": F.greatest("t", "u")})
 
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame):
-            return pd.DataFrame({"block": [], "a": [], "b": [], "score": []})
-        lo, hi = frame["lo"].iat[0], frame["hi"].iat[0]
-        left, right = (frame[frame["t"] == t] for t in (lo, hi))
-        a, b = (np.stack(f["vec"].to_numpy()).astype(np.float64) if len(f) else np.zeros((0, 1)) for f in (left, right))
-        if not len(a) or not len(b):
-            return pd.DataFrame({"block": [], "a": [], "b": [], "score": []})
-        score = a @ b.T
-        i, j = np.nonzero(score >= threshold)
-        x, y = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        once = x < y if lo == hi else x != y
-        return pd.DataFrame({"block": frame["block"].iat[0], "a": np.minimum(x, y)[once], "b": np.maximum(x, y)[once], "score": score[i, j][once]})
-
-    return spread.select("block", "lo", "hi", "t", "id", "vec").groupBy("block", "lo", "hi").applyInPandas(pairs, "block string, a long, b long, score double")
+        found = [f for f, _ in _products(frame, threshold)]
+        columns = {c: np.concatenate([f[c] for f in found]) if found else [] for c in ("a", "b", "score")}
+        return pd.DataFrame({"block": np.full(len(columns["a"]), frame["block"].iat[0], object), **columns})
+
+    return _meetings(vectors, threshold, tile).groupBy("block", "cell", "lo", "hi").applyInPandas(pairs, "block string, a long, b long, score double")
+
+
+def products(vectors: DataFrame, threshold: float = R.NEAR_DUPLICATE, tile: int = TILE) -> DataFrame:
+    """(block, vectors, products): how many products similar_pairs makes in a block, beside those with pivots."""
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [frame["block"].iat[0]], "products": [sum(n for _, n in _products(frame, threshold))]})
+
+    made = _meetings(vectors, threshold, tile).groupBy("block", "cell", "lo", "hi").applyInPandas(count, "block string, products long").groupBy("block").agg(F.sum("products").alias("products"))
+    sizes = vectors.filter("vec IS NOT NULL").groupBy(F.coalesce(F.col("block").cast("string"), F.lit("Unsorted")).alias("block")).agg(F.count("*").alias("vectors"))
+    return sizes.join(made, "block").select("block", "vectors", "products")
 
 
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -396,6 +396,12 @@ def clu1_near_dup_pairs(spark, d):
     return _pairs(spark, d).withColumn("score", F.round("score", 4))
 
 
+@query("SELECT 'all' AS block, a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.45")
+def clu1_pairs_of_one_block(spark, d):
+    """All vectors in one block, with small tiles, so that the index of angles is at work."""
+    return clusters.similar_pairs(_vectors(spark, d).withColumn("block", F.lit("all")), 0.45, tile=64).withColumn("score", F.round("score", 4))
+
+
 @query(f"{COMPONENTS} SELECT id, component FROM comp")
 def clu1_components(spark, d):
     return clusters.components(_vectors(spark, d), _pairs(spark, d))
