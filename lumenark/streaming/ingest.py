@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lumenark.functions import scalar as S
 from lumenark.operators import maintenance, sinks
+from lumenark.operators.keyed import KeyedTable
 from lumenark.sources import folder as media_folder
 from lumenark.sources import schema
 
@@ -42,6 +43,19 @@ def merge_scans(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQue
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_into(stream: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """As merge_scans(), into a table by path of which a batch rewrites only the partitions that it touches; for large inventories.
+    A batch run again after a failure finds its own number in the table's versions."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        if any(v.note == f"batch {number}" for v in table.versions()):
+            return
+        once = maintenance.newest(batch.filter("full_path IS NOT NULL"), "full_path", "last_seen_scan_id", "modified_time")
+        table.upsert(once, maintenance.RENEWED_FILES, note=f"batch {number}")
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _versions(spark: SparkSession, folder: str) -> list[int]:
     """Numbers of complete versions."""
     jvm = spark.sparkContext._jvm
