@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenark.functions import scalar as S
-from lumenark.operators import clusters, dedupe, drives, maintenance, search, sinks, staging, trips
+from lumenark.operators import clusters, dedupe, drives, jobs, maintenance, search, sinks, staging, trips
 from lumenark.sources import inventory, schema
 
 TABLES = {
@@ -25,6 +27,10 @@ class Library:
         self.spark, self.store, self.version = spark, store, version
         self.tables = {name: tables[name] if name in tables else spark.createDataFrame([], s) for name, s in TABLES.items()}
 
+    def changed(self, **tables: DataFrame) -> Library:
+        """The library with other tables in the place of its own. Methods that change something return one; the caller writes what it wants kept."""
+        return Library(self.spark, {**self.tables, **tables}, self.store, f"{self.version}+{uuid.uuid4().hex}" if self.store else self.version)
+
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
@@ -141,3 +147,85 @@ class Library:
 
     def moves_summary(self) -> DataFrame:
         return maintenance.moves_summary(self["moves"])
+
+    # --- what changes the library ---------------------------------------------------------------------------
+
+    @property
+    def present(self) -> DataFrame:
+        """Paths that exist."""
+        return self["present_paths"].filter("size IS NOT NULL").select("path")
+
+    def ingest(self, folder: str, device: str, scan_id: int, now: str, extractor=None, columns: str = "camera_make string, camera_model string, capture_date string") -> tuple[Library, DataFrame]:
+        """What a folder holds now in files, and with an extractor (see inventory.extract_with) in metadata; and the record of the run."""
+        scan = inventory.walk(self.spark, folder, content=True)
+        files, run = maintenance.ingest(self["files"], scan, scan_id, device, folder.rstrip("/"), now)
+        out = {"files": files}
+        if extractor:
+            found = inventory.extract_with(scan, extractor, columns)
+            out["media_metadata"] = maintenance.ingest_metadata(files, self["media_metadata"], found, now)
+        return self.changed(**out), run
+
+    def tag(self, observations: DataFrame, now: str, **options) -> Library:
+        return self.changed(vision_tags=jobs.tag_job(self["files"], self["media_metadata"], self["vision_tags"], observations, self.present, now, **options))
+
+    def caption(self, now: str, part: str | None = None) -> Library:
+        return self.changed(captions=jobs.caption_job(self["files"], self["captions"], self["vision_tags"], self.present, now, part))
+
+    def embed(self, backend=None, part: str | None = None) -> Library:
+        return self.changed(embeddings=jobs.embed_job(self["files"], self["embeddings"], self.present, backend, part))
+
+    def find_faces(self, observations: DataFrame, part: str | None = None) -> Library:
+        return self.changed(faces=jobs.face_job(self["files"], observations, self.present, part))
+
+    def stage(self, trip: str, base: str, mode: str = "copy", confirm: str = "", dry_run: bool = False, verify_hash: bool = True) -> tuple[Library, DataFrame]:
+        """A new stage job of a trip, and its row of facts (trip, dest_root, mode, verify_hash, dry_run). A move that is no dry run wants confirm MOVE."""
+        if mode not in ("copy", "move"):
+            raise ValueError("mode is copy or move")
+        if mode == "move" and not dry_run and confirm.strip().upper() != "MOVE":
+            raise ValueError("a move wants confirm='MOVE'")
+        facts = staging.dest_root(trips.trips(self.files), trip, base).select(F.lit(trip).alias("trip"), "dest_root", F.lit(mode).alias("mode"), F.lit(staging.verify_hashes(verify_hash, mode)).alias("verify_hash"), F.lit(dry_run).alias("dry_run"))
+        return self.changed(stage_items=self.stage_plan(trip)), facts
+
+    def stage_continue(self, sources: DataFrame, copies: DataFrame, at_destination: DataFrame, verify: bool = True, dry_run: bool = False) -> Library:
+        """One pass over what is pending (see staging.run_pass)."""
+        return self.changed(stage_items=staging.run_pass(self["stage_items"], sources, copies, at_destination, verify, dry_run))
+
+    def stage_skip_absent(self) -> Library:
+        return self.changed(stage_items=staging.skip_absent(self["stage_items"], self.present))
+
+    def stage_retry(self) -> Library:
+        return self.changed(stage_items=staging.retry(self["stage_items"]))
+
+    def stage_tree(self, trip: str) -> DataFrame:
+        """The preview with totals of every folder and of all."""
+        return staging.preview_tree(self.files, trip)
+
+    def reconcile_report(self) -> DataFrame:
+        return maintenance.reconcile_report(self["files"], self.reconcile())
+
+    def prune(self, now: str) -> Library:
+        """What is missing is soft-deleted, unless nothing is present."""
+        return self.changed(files=maintenance.prune(self["files"], self.reconcile(), now))
+
+    def restore(self, ids: DataFrame) -> Library:
+        return self.changed(files=maintenance.restore(self["files"], ids))
+
+    def purge(self, ids: DataFrame | None = None, now: datetime.datetime | None = None, retention_days: int | None = None) -> Library:
+        """Soft-deleted rows named by ids, or those whose retention has run out at `now`, leave all tables."""
+        if (ids is None) == (now is None):
+            raise ValueError("purge() takes ids or now")
+        side = {name: self[name] for name in ("vision_tags", "captions", "embeddings", "faces")}
+        files, metadata, side = maintenance.purge(self["files"], self["media_metadata"], side, ids, None if now is None else maintenance.cutoff(now, retention_days))
+        return self.changed(files=files, media_metadata=metadata, **side)
+
+    def override(self, key: str, trip: str | None, category: str | None) -> Library:
+        """A user's word on a folder; key is "drive::folder"."""
+        return self.changed(overrides=maintenance.put_override(self["overrides"], key, trip, category))
+
+    def map_drive(self, device_name: str, mount: str) -> Library:
+        """A user's word on where a drive is."""
+        return self.changed(learned_drives=drives.mapped_by_hand(self["learned_drives"], device_name, mount, self["volumes"]))
+
+    def near_duplicate_report(self, threshold: float = clusters.R.NEAR_DUPLICATE, limit: int = 200) -> tuple[DataFrame, DataFrame]:
+        """Totals over all clusters, and the members of the largest ones."""
+        return clusters.report(self.near_duplicates(threshold), limit)

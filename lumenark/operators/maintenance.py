@@ -19,8 +19,9 @@ SETTINGS = {"trash_retention_days": R.RETENTION_DAYS, "verify_hash": True}
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of new, and those of old whose key new lacks. new holds a key once."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    """Rows of new, and those of old whose key new lacks. Of a key that new holds twice the largest row counts; null keys are no one's."""
+    once = newest(new.filter(F.col(key).isNotNull()), key).unionByName(new.filter(F.col(key).isNull()))
+    return old.join(once.select(key), key, "left_anti").unionByName(once, allowMissingColumns=True)
 
 
 def partial_upsert(old: DataFrame, new: DataFrame, key: str, renewed: tuple[str, ...]) -> DataFrame:
@@ -41,6 +42,8 @@ def partial_upsert(old: DataFrame, new: DataFrame, key: str, renewed: tuple[str,
 def newest(rows: DataFrame, key: str, *by: str) -> DataFrame:
     """One row of each key, the one with the largest values of by (of equals, the largest row); the key is not null."""
     names = [c for c in rows.columns if c not in (key, *by)]
+    if not names and not by:
+        return rows.distinct()
     best = rows.groupBy(key).agg(F.max(F.struct(*(F.col(c) for c in (*by, *names)))).alias("_row"))
     return best.select(key, "_row.*").select(*rows.columns)
 
@@ -130,6 +133,14 @@ def reconcile_counts(statuses: DataFrame) -> DataFrame:
     return statuses.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("present", "missing", "skipped")))
 
 
+def reconcile_report(files: DataFrame, statuses: DataFrame, show: int = 20) -> DataFrame:
+    """The counts, how many were checked, and the paths of the first `show` missing files by id."""
+    first = statuses.filter("status = 'missing'").select("id").orderBy("id").limit(show)
+    sample = files.join(F.broadcast(first), "id").filter("full_path <> ''")  # at most `show` rows
+    paths = sample.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "full_path"))), lambda r: r["full_path"]).alias("missing_sample"))
+    return reconcile_counts(statuses).withColumn("checked", F.col("present") + F.col("missing") + F.col("skipped")).join(F.broadcast(paths))  # one row each
+
+
 def prune(files: DataFrame, statuses: DataFrame, now: str) -> DataFrame:
     """Soft-delete what is missing, unless nothing at all is present: then the drives, not the files, are gone."""
     seen = statuses.agg(F.count_if(F.col("status") == "present").alias("_seen"))

@@ -75,6 +75,22 @@ def preview(files: DataFrame, trip: str, library: DataFrame | None = None) -> Da
     return layout(targets, library if library is not None else files).filter("dest_rel IS NOT NULL").groupBy("dest_rel").agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes")).orderBy("dest_rel")
 
 
+def preview_tree(files: DataFrame, trip: str, library: DataFrame | None = None) -> DataFrame:
+    """(dest_rel, depth, files, bytes): the preview with a row for each folder at every level, and one, of depth 0 and an empty path, for all."""
+    leaves = preview(files, trip, library)  # few rows: one a folder
+    parts = F.split("dest_rel", "/")
+    levels = leaves.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("dest_rel"), n.alias("depth")))).alias("l"), "files", "bytes")
+    tree = levels.groupBy("l.dest_rel", "l.depth").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+    none = files.sparkSession.range(1).select(F.lit("").alias("dest_rel"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("files"), F.lit(0).cast("long").alias("bytes"))
+    return tree.unionByName(none).groupBy("dest_rel", "depth").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes")).orderBy("dest_rel")
+
+
+def dest_root(trips: DataFrame, trip: str, base: str) -> DataFrame:
+    """One row, dest_root: where a trip's files go below base: place, year and month, as trips (trips.trips()) name them; an unknown trip goes by its name, undated."""
+    known = trips.filter(F.col("trip") == trip).select(F.first("nas_folder").alias("folder"))
+    return known.select(F.concat(F.lit(base.rstrip("/") + "/"), F.coalesce("folder", F.concat(S.slug(F.lit(trip)), F.lit("/Undated")))).alias("dest_root"))
+
+
 def verify_hashes(verify: bool, mode: str) -> bool:
     """A move always verifies hashes."""
     return verify or mode == "move"
