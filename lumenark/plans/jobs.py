@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from lumenark.plans import queries as Q
 from lumenark.plans.demo import duckdb_with, spark_table
 from lumenark.plans.queries import query
 from lumenark.sources import inventory, schema
-from lumenark.sources.durable import checkpoint_folder
+from lumenark.sources.durable import scratch
 
 NOW = Q.NOW
 
@@ -164,7 +163,7 @@ def snk3_error_lines(spark, d):
 @query("SELECT event_id AS id, user_id AS size FROM events ORDER BY event_id DESC LIMIT 100000")
 def snk4_moves_export(spark, d):
     """The exported ledger read back."""
-    folder = f"{checkpoint_folder(spark)}/moves-{uuid.uuid4().hex}"
+    folder = scratch(spark, "moves")
     sinks.write_moves(spark_table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("size")), folder)
     return spark.read.option("header", True).schema("id long, size long").csv(folder)
 
@@ -172,7 +171,7 @@ def snk4_moves_export(spark, d):
 @query(O.labelled_with(f"{Q.ITEMS}, f AS (SELECT size, {OUTCOMES} AS state FROM items) SELECT '{Q.TRIP}_20250102-030405' AS job, '{Q.TRIP}' AS trip, count(*) FILTER (state = 'verified') AS verified_files, count(*) FILTER (state = 'error') AS error_files, round(coalesce(sum(size) FILTER (state = 'verified'), 0) / 1073741824.0, 2) AS verified_gb, 'done' AS status, '/nas' AS dest_root, (SELECT count(*) FROM items) AS listed FROM f"))
 def snk6_archive_round_trip(spark, d):
     """A job's manifest set is archived, listed, and its JSON document read back."""
-    folder = f"{checkpoint_folder(spark)}/archive-{uuid.uuid4().hex}"
+    folder = scratch(spark, "archive")
     where = sinks.archive_manifest(_pass(spark, d), {"trip": Q.TRIP, "dest_root": "/nas", "status": "done"}, folder, datetime.datetime(2025, 1, 2, 3, 4, 5))
     files = spark.read.text(f"{where}/manifest.json", wholetext=True).select(F.size(F.from_json("value", "files array<struct<dest_name: string>>")["files"]).cast("long").alias("listed"))
     return inventory.archived_summaries(spark, folder).join(F.broadcast(files))  # one row
