@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from lumenark.functions import rules as R
 from lumenark.functions import scalar as S
 from lumenark.library import Library
-from lumenark.operators import grams, keyed, maintenance, places, sinks, staging, views
+from lumenark.operators import grams, keyed, maintenance, places, sinks, staging, topk, views
 from lumenark.plans import oracle as O
 from lumenark.plans import queries as Q
 from lumenark.plans.demo import duckdb_with, spark_table
@@ -186,6 +186,14 @@ def txt2_index_search(spark, d):
     return grams.keywords(grams.index(tags, "full_path", grams.hay()), tags, _asked(spark, d)).select("query_id", "full_path", "score")
 
 
+@query("WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id DESC) AS k FROM s) SELECT query_id, id, round(score, 4) AS score FROM k WHERE k <= 10")
+def srt1_many_queries(spark, d):
+    """The ten most alike of all vectors for each one whose id is divisible by 20."""
+    vectors = Q._vectors(spark, d).select("id", "vec")
+    asked = vectors.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    return topk.search(topk.build(vectors), asked, 10).select("query_id", F.col("key").alias("id"), F.round("score", 4).alias("score"))
+
+
 @query(O.labelled_with("SELECT id, place FROM near"))
 def jn2_gazetteer_join(spark, d):
     """The nearest place by cells, with the rules' gazetteer as a table."""
