@@ -29,6 +29,25 @@ def overlap(expected: DataFrame, volumes: DataFrame) -> DataFrame:
     return shared.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k")
 
 
+def matches(expected: DataFrame, volumes: DataFrame, least: float = R.MATCH_STRONG) -> DataFrame:
+    """(device_name, mount, uuid, score): all volumes that hold at least the share `least` (over 0) of a drive's folder names, for many drives and volumes.
+
+    A drive with n names that a volume holds m of, m >= least * n, shares one of its n - m + 1 rarest names with it. So only these are looked up,
+    and only in volumes of at least m names; what meets is counted by all names. Names that nearly all volumes have are hardly ever looked up.
+    """
+    want = expected.select("device_name", F.array_distinct("top").alias("_want")).filter("device_name IS NOT NULL AND size(_want) > 0")
+    held = volumes.select("mount", "uuid", F.array_distinct("top").alias("_held"))
+    names = held.select(F.explode("_held").alias("folder")).groupBy("folder").agg(F.count("*").alias("_volumes"))
+    asked = want.select("device_name", F.explode("_want").alias("folder")).join(names, "folder", "left")
+    rarest = asked.groupBy("device_name").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("_volumes", F.lit(0)).alias("n"), "folder"))), lambda x: x["folder"]).alias("_rare"))
+    need = F.ceil(F.size("_rare") * F.lit(float(least)) - 1e-9).cast("int")
+    looked = rarest.withColumn("_need", need).select("device_name", "_need", F.explode(F.slice("_rare", 1, F.size("_rare") - F.col("_need") + 1)).alias("folder"))
+    met = looked.join(held.select("mount", "uuid", F.size("_held").alias("_size"), F.explode("_held").alias("folder")), "folder").filter("_size >= _need").select("device_name", "mount", "uuid").distinct()
+    shared = F.size(F.array_intersect("_want", "_held"))
+    both = met.join(want, "device_name").join(held, ["mount", "uuid"]).withColumn("score", shared / F.size("_want"))
+    return both.filter(F.col("score") >= least).select("device_name", "mount", "uuid", "score")
+
+
 def resolve(drives: DataFrame, volumes: DataFrame, scan_roots: DataFrame, learned: DataFrame) -> DataFrame:
     """(device_name, status, via, mount, confidence, suggestion, renamed) for each drive of the inventory.
 

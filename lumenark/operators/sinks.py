@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumenark.functions import rules
 from lumenark.functions import scalar as S
 from lumenark.operators import staging
+from lumenark.sources.durable import checkpointed
 
 
 def quoted(c: str) -> Column:
@@ -46,10 +47,15 @@ def write_moves(ledger: DataFrame, path: str, limit: int = 100_000) -> None:
 
 
 def cluster_rows(ranked: DataFrame) -> DataFrame:
-    """Near-duplicate members with their cluster's number from 1 (the largest first) and what to do: KEEP or REVIEW."""
-    sizes = ranked.select("component", "members").distinct()
-    # One row a cluster: far fewer than files, and numbering is global by definition.
-    numbered = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("members"), "component")))
+    """Near-duplicate members with their cluster's number from 1 (the largest first) and what to do: KEEP or REVIEW.
+
+    Clusters are dealt into ranges of their order and numbered range by range, each after those before it; no task sees all of them.
+    """
+    order = (F.desc("members"), F.col("component"))
+    ranges = checkpointed(ranked.select("component", "members").distinct().repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = ranges.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n"))  # a row a range
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    numbered = ranges.withColumn("_k", inside).join(F.broadcast(before), "_range").withColumn("cluster", (F.col("_before") + F.col("_k")).cast("int"))
     return ranked.join(numbered.select("component", "cluster"), "component").withColumn("action", F.when(F.col("place") == 1, "KEEP").otherwise("REVIEW"))
 
 

@@ -9,10 +9,12 @@ from pyspark.sql import types as T
 from lumenark.functions import rules as R
 from lumenark.functions import scalar as S
 from lumenark.library import Library
-from lumenark.operators import grams, keyed, maintenance, places, sinks, staging, topk, views
+from lumenark.operators import drives, grams, keyed, maintenance, places, sinks, staging, topk, views
+from lumenark.operators import jobs as run_jobs
+from lumenark.plans import jobs
 from lumenark.plans import oracle as O
 from lumenark.plans import queries as Q
-from lumenark.plans.demo import duckdb_with, spark_table
+from lumenark.plans.demo import DUCKDB, TABLES, duckdb_with, spark_table
 from lumenark.plans.queries import query
 from lumenark.sources import folder as media_folder
 from lumenark.sources import inventory, schema
@@ -235,3 +237,38 @@ def prj2_near_duplicates(spark, d):
     vectors = rows.select(F.col("vec_id").alias("file_id"), path.alias("full_path"), F.col("embedding").alias("vec"))
     lib = Library(spark, {"files": schema.ensure_columns(files, schema.FILES), "media_metadata": schema.ensure_columns(metadata, schema.METADATA), "overrides": overrides, "embeddings": vectors})
     return lib.near_duplicates(Q.ALIKE).select("id", "component", F.coalesce("size", F.lit(0)).alias("size"), "members", "place")
+
+
+# --- whole rows of jobs and exports -------------------------------------------------------------------------------------------------
+
+
+@query(f"{duckdb_with('files', 'metadata', 'tags')}, {jobs.CANDIDATES}, l AS (SELECT *, CASE file_size % 3 WHEN 0 THEN 'ocean' WHEN 1 THEN 'receipt' ELSE 'thing' END AS label FROM cand) SELECT id AS file_id, full_path, label AS top_label, {jobs.BUCKET_OF} AS content_bucket, 'read' AS text_sample, '{NOW}' AS tagged_at FROM l UNION ALL SELECT file_id, full_path, top_label, content_bucket, text_sample, NULL FROM tags WHERE file_id NOT IN (SELECT id FROM cand)")
+def job8_tag_rows(spark, d):
+    files, old = spark_table(spark, d, "files"), spark_table(spark, d, "tags")
+    return run_jobs.tag_job(files, spark_table(spark, d, "metadata"), old, jobs._observations(spark, d), jobs._present(spark, d), NOW).select("file_id", "full_path", "top_label", "content_bucket", "text_sample", "tagged_at")
+
+
+@query(O.enriched_with(f", {jobs.SHOTS}, tags AS ({TABLES['tags'].format(**DUCKDB)}), p AS (SELECT *, regexp_extract(full_path, '([^/]*)$', 1) AS name, regexp_replace(regexp_extract(regexp_replace(full_path, '/+[^/]*$', ''), '([^/]*)$', 1), '[_-]', ' ', 'g') AS parent FROM tags), w AS (SELECT *, list_filter(regexp_split_to_array(lower(regexp_replace(name, '^(.+)\\.[^.]+$', '\\1')), '[\\s_\\-.]+'), lambda t: t <> '' AND NOT regexp_full_match(t, '[0-9]+') AND t NOT IN {O._in(R.CAPTION_STOP)}) AS words FROM p), c AS (SELECT file_id, array_to_string(list_filter(list_concat([coalesce(content_bucket, ''), replace(coalesce(top_label, ''), '_', ' '), parent], words[1:6], [substr(coalesce(text_sample, ''), 1, 80)]), lambda x: x <> ''), ', ') AS caption FROM w) SELECT id AS file_id, full_path, caption, 'lexical' AS source, '{NOW}' AS created_at FROM shot JOIN c ON id = file_id UNION ALL SELECT id, full_path, 'x', 'old', NULL FROM files WHERE id NOT IN (SELECT id FROM shot)"))
+def job9_caption_rows(spark, d):
+    files = spark_table(spark, d, "files")
+    old = files.select(F.col("id").alias("file_id"), "full_path", F.lit("x").alias("caption"), F.lit("old").alias("source"))
+    return run_jobs.caption_job(files, old, spark_table(spark, d, "tags"), jobs._present(spark, d), NOW).select("file_id", "full_path", "caption", "source", "created_at")
+
+
+WRONG = "CASE size_bytes % 6 WHEN 1 THEN 'source could not be read' WHEN 2 THEN 'size mismatch after copy (expected ' || size_bytes || ', got ' || (size_bytes + 1) || ')' ELSE 'sha256 mismatch after copy' END"
+FIELDS = " || ',' || ".join("'\"' || replace(coalesce(cast({} AS varchar), ''), '\"', '''') || '\"'".format({"error": WRONG, "resolved_source_path": "NULL", "copied_at": "NULL"}.get(c, c)) for c in R.MANIFEST_COLUMNS)
+
+
+@query(O.labelled_with(f"{Q.ITEMS}, f AS ({jobs.MANIFEST}) SELECT {FIELDS} AS line FROM f WHERE copy_status = 'error'"))
+def snk3_error_fields(spark, d):
+    """All 18 fields of the failed items' CSV lines."""
+    return sinks.manifest_lines(staging.manifest(jobs._pass(spark, d), "/nas").filter("copy_status = 'error'"))
+
+
+@query("WITH w AS (SELECT source AS device_name, list(DISTINCT lang || n_chars % 7) AS top FROM documents GROUP BY source), v AS (SELECT '/v' || doc_id % 50 AS mount, 'u' || doc_id % 50 % 3 AS uuid, list(DISTINCT lang || n_chars % 7) AS top FROM documents GROUP BY doc_id % 50) SELECT device_name, mount, uuid, len(list_intersect(w.top, v.top)) / len(w.top) AS score FROM w, v WHERE len(list_intersect(w.top, v.top)) / len(w.top) >= 0.5")
+def jn7_all_matches(spark, d):
+    """Sources as drives, fifty shares of the documents as volumes, language and length as folder names."""
+    docs = spark_table(spark, d, "documents").withColumn("folder", F.concat("lang", F.col("n_chars") % 7))
+    share = F.col("doc_id") % 50
+    volumes = docs.groupBy(F.concat(F.lit("/v"), share).alias("mount"), F.concat(F.lit("u"), share % 3).alias("uuid")).agg(F.collect_set("folder").alias("top"))
+    return drives.matches(docs.groupBy(F.col("source").alias("device_name")).agg(F.collect_set("folder").alias("top")), volumes)

@@ -510,4 +510,4 @@ def srt5_recent_moves(spark, d):
     return maintenance.recent_moves(spark_table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("size")))
 
 
-from lumenark.plans import changes, jobs  # noqa: E402, F401 - register their queries, which build on those above
+from lumenark.plans import jobs, changes  # noqa: E402, F401 - register their queries, which build on those above
