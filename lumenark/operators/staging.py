@@ -104,11 +104,16 @@ def run_pass(items: DataFrame, sources: DataFrame, copies: DataFrame, at_destina
     item stays pending. A copy or a file already there counts if its size, and its hash where asked for and
     known, agree.
     """
-    todo = F.col("state").isin("pending", "copying")
     first = items.select("sha256", F.posexplode("candidates").alias("_i", "_c")).join(sources, F.col("_c.path") == F.col("path")).groupBy("sha256").agg(F.min_by("used_path", "_i").alias("_src"))
     seen = copies.select(F.col("used_path").alias("_src"), F.col("size").alias("_size"), F.col("sha256").alias("_sha"))
     there = at_destination.select("dest_rel", "dest_name", F.col("size").alias("_old_size"), F.col("sha256").alias("_old_sha"))
     joined = items.join(first, "sha256", "left").join(seen, "_src", "left").join(there, ["dest_rel", "dest_name"], "left")
+    return judged(joined, verify, dry_run).select(*items.columns)
+
+
+def judged(joined: DataFrame, verify: bool, dry_run: bool = False) -> DataFrame:
+    """Items beside what a pass knows of each (_src, the source used; _size and _sha of its copy; _old_size and _old_sha of what is at the destination), with their state after it."""
+    todo = F.col("state").isin("pending", "copying")
     hashed = F.lit(verify) & ~F.col("sha256").startswith("__nh")
     resumed = F.coalesce((F.col("_old_size") == F.col("size")) & (~hashed | (F.col("_old_sha") == F.col("sha256"))), F.lit(False))
     outcome = (
@@ -123,7 +128,7 @@ def run_pass(items: DataFrame, sources: DataFrame, copies: DataFrame, at_destina
     error = F.when(o == "size", wrong_size).when(o == "hash", "sha256 mismatch after copy").when(o == "unread", "source could not be read").otherwise(F.col("error"))
     return joined.withColumns(
         {"state": state, "verify_status": status, "error": error, "used_path": F.when(o.isin("dry", "resumed", "copied"), F.col("_src")).otherwise(F.col("used_path")), "verified_sha": F.when((o == "copied") & F.col("_hashed"), F.col("_sha")).otherwise(F.col("verified_sha"))}
-    ).select(*items.columns)
+    )
 
 
 def retry(items: DataFrame) -> DataFrame:
