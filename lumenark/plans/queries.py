@@ -348,9 +348,11 @@ def txt4_screenshot_sort(spark, d):
 ASKED = (("drone sunset 2024", "Drone", None, 2024, None, "sunset"), ("vertical iphone portraits", "iPhone", "Vertical", None, None, "portraits"), ("waterfall", None, None, None, None, "waterfall"), ("beach photos july", None, None, None, 7, "beach photos"), ("Sony", "Sony", None, None, None, "Sony"), ("maybe landscape 1999x", None, "Horizontal", None, 5, "maybe 1999x"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else O._q(v) for v in row) + ")" for row in ASKED) + ") t(query, device, orientation, year, month, text)")
+@query("SELECT doc_id, device, orientation, year, month, trim(t.text || ' q' || doc_id) AS text FROM documents JOIN (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else O._q(v) for v in (k, *row[1:5], "" if row[1] and row[5] == row[0] else row[5])) + ")" for k, row in enumerate(ASKED)) + ") t(k, device, orientation, year, month, text) ON doc_id % 6 = k")
 def scl12_parse_query(spark, d):
-    return spark.createDataFrame([(row[0],) for row in ASKED], "query string").select("query", S.query_filters("query").alias("f")).select("query", "f.*")
+    """One of the written queries for each document, with a word of the document's own (of a query that is a filter alone no other is left)."""
+    asked = F.element_at(F.array(*(F.lit(row[0]) for row in ASKED)), (F.col("doc_id") % len(ASKED) + 1).cast("int"))
+    return spark_table(spark, d, "documents").select("doc_id", S.query_filters(F.concat(asked, F.lit(" q"), "doc_id")).alias("f")).select("doc_id", "f.*")
 
 
 @query(f"{duckdb_with('files', 'tags')} SELECT content_bucket, count(*) AS files FROM (SELECT coalesce(nullif(content_bucket, ''), 'Unsorted') AS content_bucket FROM tags) x GROUP BY 1")
