@@ -116,7 +116,7 @@ class Library:
     def near_duplicates(self, threshold: float = clusters.R.NEAR_DUPLICATE) -> DataFrame:
         """Members of clusters inside a trip, the shot to keep at place 1."""
         vectors = self["embeddings"].select(F.col("file_id").alias("id"), "vec").join(self.files.select("id", F.col("trip").alias("block")), "id", "left")
-        found = clusters.components(vectors, clusters.similar_pairs(vectors, threshold))
+        found = clusters.components(vectors, clusters.similar_links(vectors, threshold))
         about = self.files.select("id", "file_name", F.col("full_path").alias("known_path"), F.lower("extension").alias("known_extension"), F.col("file_size").alias("size"), (F.col("width") * F.col("height")).alias("pixels"))
         named = found.join(self["embeddings"].select(F.col("file_id").alias("id"), "full_path"), "id").join(about, "id", "left")
         # Vectors from outside the inventory have their path only.

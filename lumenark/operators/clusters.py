@@ -12,16 +12,21 @@ from pyspark.sql import functions as F
 from lumenark.functions import rules as R
 from lumenark.sources.durable import checkpoint_folder, checkpointed
 
-#: Vectors of a cell that meet in one task, squared.
+#: Blocks larger than this have an index.
 TILE = 2048
-#: Vectors that are compared with their block's pivots in one task.
-SLICE = 8192
+#: Vectors of a tile of a cell, at least: two tiles meet in one task, so a vector goes to as many tasks as its cell has tiles.
+MEET = 16384
+#: Cells that a vector visits, on average, at most, and at most a quarter of them (or as many as its block has tiles): where it would be more,
+#: the block is one cell.
+VISITS = 32
+#: Vectors that are compared with their block's pivots in one task, and at once.
+SLICE, AT_ONCE = 8192, 512
 #: Vectors to a pivot, at least, and pivots of a block, at most: one task chooses them, from so many times their number.
 SHARE, PIVOTS, SAMPLE = 32, 4096, 4
 #: Radians that rounding may move an angle by.
 ROUNDING = 1e-6
 
-PLACED = "block string, id long, vec array<double>, cell int, angle double, visits array<int>, visit_angles array<double>"
+PLACED = "block string, id long, vec {}, cell int, angle double, visits array<int>, visit_angles array<double>"
 
 
 def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -33,14 +38,23 @@ def _units(vectors: pd.Series) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
+def _near(angles: np.ndarray, home: np.ndarray, own: np.ndarray, theta: np.ndarray | float) -> np.ndarray:
+    """Which cells of a lower number than its own can hold a partner of a vector."""
+    return (angles <= (own + 2 * theta)[:, None]) & (np.arange(angles.shape[1]) < home[:, None])
+
+
 def _choose_pivots(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of a block's sample, again and again the vector farthest from the pivots so far, until what is left lies close to one."""
+    """Of a block's sample, again and again the vector farthest from the pivots so far, until what is left lies close to one; the
+    first alone if others of the sample would visit more cells than pay."""
     frame = frame.sort_values("id")
     units, theta, most = _units(frame["vec"]), frame["theta"].iat[0], int(frame["pivots"].iat[0])
     chosen, far = [0], _angles(units, units[:1])[:, 0]
     while len(chosen) < most and far.max() > theta / 2:
         chosen.append(int(far.argmax()))
         far = np.minimum(far, _angles(units, units[chosen[-1:]])[:, 0])
+    angles = _angles(np.delete(units, chosen, axis=0)[:AT_ONCE], units[chosen])
+    if len(angles) and _near(angles, angles.argmin(axis=1), angles.min(axis=1), theta).sum() > len(angles) * max(min(VISITS, len(chosen) // 4), frame["tiles"].iat[0]):
+        chosen = chosen[:1]
     return pd.DataFrame({"block": frame["block"].iat[0], "cell": np.arange(len(chosen), dtype=np.int32), "pivot": list(units[chosen])})
 
 
@@ -48,41 +62,49 @@ def _place(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
     """Each vector's nearest pivot, and the cells of a lower number that can hold a partner: those whose pivot is at most twice the
     greatest angle farther off."""
     if not len(rows):
-        return pd.DataFrame({c.split()[0]: np.empty(0, object) for c in PLACED.split(", ")})
+        return pd.DataFrame({c: np.empty(0, object) for c in ("block", "id", "vec", "cell", "angle", "visits", "visit_angles")})
     if not len(pivots):
         return pd.DataFrame({"block": rows["block"], "id": rows["id"], "vec": rows["vec"], "cell": np.int32(0), "angle": 0.0, "visits": [[]] * len(rows), "visit_angles": [[]] * len(rows)})
-    pivots = pivots.sort_values("cell")
-    angles = _angles(_units(rows["vec"]), np.stack(pivots["pivot"].to_numpy()))
-    home = angles.argmin(axis=1)
-    own = angles[np.arange(len(rows)), home]
-    near = (angles <= (own + 2 * rows["theta"].to_numpy())[:, None]) & (np.arange(angles.shape[1]) < home[:, None])
-    visits = [np.flatnonzero(row).astype(np.int32) for row in near]
-    return pd.DataFrame({"block": rows["block"].to_numpy(), "id": rows["id"].to_numpy(), "vec": rows["vec"].to_numpy(), "cell": home.astype(np.int32), "angle": own, "visits": visits, "visit_angles": [angles[k, v] for k, v in enumerate(visits)]})
+    pivots = np.stack(pivots.sort_values("cell")["pivot"].to_numpy())
+    home, own, visits, visit_angles = [], [], [], []
+    for begin in range(0, len(rows), AT_ONCE):
+        some = rows.iloc[begin : begin + AT_ONCE]
+        angles = _angles(_units(some["vec"]), pivots)
+        home.append(angles.argmin(axis=1))
+        own.append(angles.min(axis=1))
+        for k, row in enumerate(_near(angles, home[-1], own[-1], some["theta"].to_numpy())):
+            visits.append(np.flatnonzero(row).astype(np.int32))
+            visit_angles.append(angles[k, visits[-1]])
+    return pd.DataFrame({"block": rows["block"].to_numpy(), "id": rows["id"].to_numpy(), "vec": rows["vec"].to_numpy(), "cell": np.concatenate(home).astype(np.int32), "angle": np.concatenate(own), "visits": visits, "visit_angles": visit_angles})
 
 
 def _meetings(vectors: DataFrame, threshold: float, tile: int) -> DataFrame:
     """(block, cell, lo, hi, t, id, vec, angle, resident, theta): vectors by the task (block, cell, lo, hi) that compares them."""
-    rows = vectors.filter("vec IS NOT NULL").select("id", F.coalesce(F.col("block").cast("string"), F.lit("Unsorted")).alias("block"), F.col("vec").cast("array<double>").alias("vec"))
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    rows = vectors.filter("vec IS NOT NULL").select("id", F.coalesce(F.col("block").cast("string"), F.lit("Unsorted")).alias("block"), F.col("vec"))
+    # Products are made of doubles; floats travel as they are.
+    kind = vectors.schema["vec"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows, placed_as, tile_of = rows.withColumn("vec", F.col("vec").cast(kind)), PLACED.format(kind), max(tile, MEET)
+    norm = F.sqrt(F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
     # Where vectors are not of unit length, a product of at least the threshold still means a cosine of at least threshold / longest^2.
     theta = F.acos(F.least(F.lit(1.0), F.lit(float(threshold)) / (F.col("longest") * F.col("longest")))) + ROUNDING if threshold > 0 else F.lit(np.pi)
     blocks = rows.groupBy("block").agg(F.count("*").alias("n"), F.max(norm).alias("longest")).withColumn("theta", F.coalesce(F.nanvl(theta, F.lit(np.pi)), F.lit(np.pi)))
-    blocks = blocks.select("block", "n", "theta", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"), F.when(F.col("n") > tile, F.least(F.lit(PIVOTS), F.ceil(F.greatest(F.sqrt("n"), F.col("n") / SHARE)))).otherwise(0).cast("int").alias("pivots"), F.ceil(F.col("n") / tile).alias("tiles"))
+    blocks = blocks.select("block", "n", "theta", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"), F.when(F.col("n") > tile, F.least(F.lit(PIVOTS), F.ceil(F.greatest(F.sqrt("n"), F.col("n") / SHARE)))).otherwise(0).cast("int").alias("pivots"), F.ceil(F.col("n") / tile_of).alias("tiles"))
     dealt = rows.join(blocks, "block").withColumn("slice", F.expr("cast(pmod(xxhash64(id), slices) AS int)"))
     sample = dealt.filter((F.col("pivots") > 0) & (F.expr("pmod(xxhash64(id, 7), 1000000)") < F.col("pivots") * (SAMPLE * 1e6) / F.col("n")))
-    chosen = sample.select("block", "id", "vec", "theta", "pivots").groupBy("block").applyInPandas(_choose_pivots, "block string, cell int, pivot array<double>")
+    chosen = sample.select("block", "id", "vec", "theta", "pivots", "tiles").groupBy("block").applyInPandas(_choose_pivots, "block string, cell int, pivot array<double>")
     spread = chosen.join(blocks.select("block", "slices"), "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-    placed = checkpointed(dealt.select("block", "slice", "id", "vec", "theta").groupBy("block", "slice").cogroup(spread.groupBy("block", "slice")).applyInPandas(_place, PLACED))
-    # A block whose vectors would visit more cells than it has tiles is one cell: then nothing can be left out, and tiles cost less.
+    placed = checkpointed(dealt.select("block", "slice", "id", "vec", "theta").groupBy("block", "slice").cogroup(spread.groupBy("block", "slice")).applyInPandas(_place, placed_as))
+    # A block whose vectors would visit many cells is one cell: then little can be left out, and tiles cost less.
     spent = placed.groupBy("block").agg(F.sum(F.size("visits")).alias("visits"))
-    blocks = blocks.join(spent, "block").select("block", "theta", (F.col("visits") > F.col("n") * F.col("tiles")).alias("dense"))
+    blocks = blocks.join(spent, "block").select("block", "theta", (F.col("visits") > F.col("n") * F.greatest("tiles", F.least(F.lit(VISITS), F.floor(F.col("pivots") / 4)))).alias("dense"))
     cells = placed.groupBy("block", "cell").agg(F.min("angle").alias("least"), F.max("angle").alias("radius"))
     known = placed.join(blocks, "block")
     residents = known.select("block", F.when(F.col("dense"), 0).otherwise(F.col("cell")).alias("cell"), "id", "vec", F.when(F.col("dense"), 0.0).otherwise(F.col("angle")).alias("angle"), "theta", F.lit(True).alias("resident"))
     visitors = known.filter("NOT dense").select("block", "id", "vec", "theta", F.explode(F.arrays_zip("visits", "visit_angles")).alias("v")).select("block", F.col("v.visits").alias("cell"), "id", "vec", F.col("v.visit_angles").alias("angle"), "theta", F.lit(False).alias("resident"))
     visitors = visitors.join(cells, ["block", "cell"]).filter((F.col("angle") <= F.col("radius") + F.col("theta")) & (F.col("angle") >= F.col("least") - F.col("theta"))).drop("least", "radius")
     members = residents.unionByName(visitors)
-    tiles = members.groupBy("block", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    tiles = members.groupBy("block", "cell").agg(F.ceil(F.count("*") / tile_of).cast("int").alias("tiles"))
     dealt = members.join(tiles, ["block", "cell"]).withColumn("t", F.expr("cast(pmod(xxhash64(id), tiles) AS int)"))
     # Tile t meets every tile, the lower number first.
     meeting = dealt.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"lo": F.least("t", "u"), "hi": F.greatest("t", "u")})
@@ -121,19 +143,66 @@ def similar_pairs(vectors: DataFrame, threshold: float = R.NEAR_DUPLICATE, tile:
     Exact, by an index of angles: a block larger than a tile has pivots, one to SHARE vectors, far from each other; a vector lives in
     the cell of the nearest one and visits those of a lower number where a partner can live. By the triangle inequality that is a cell whose pivot is at most 2 theta
     farther off than its own, and whose radius reaches to within theta of it; theta is the angle of the threshold. In a cell, vectors are compared
-    by their angle to the pivot, with those at most theta away. A cell is cut into tiles, and each two of them meet in a
-    task of their own, so a cell may be as large as it likes. Where vectors do not lie in clusters nothing can be left out; such a
-    block is one cell. Null vectors are like no other.
+    by their angle to the pivot, with those at most theta away. A cell is cut into tiles of MEET vectors or more, and each two of them meet in a
+    task of their own, so a cell may be as large as it likes. Where vectors do not lie in clusters little can be left out; such a
+    block is one cell, which a sample shows before any visit is written. Null vectors are like no other.
     """
 
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        found = [f for f, _ in _products(frame, threshold)]
-        columns = {c: np.concatenate([f[c] for f in found]) if found else [] for c in ("a", "b", "score")}
-        return pd.DataFrame({"block": np.full(len(columns["a"]), frame["block"].iat[0], object), **columns})
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(batches), ignore_index=True)
+        block = frame["block"].iat[0]
+        for found, _ in _products(frame, threshold):  # handed on as they are found, so a task holds its vectors only
+            yield pd.DataFrame({"block": np.full(len(found["a"]), block, object), **found})
 
     return _meetings(vectors, threshold, tile).groupBy("block", "cell", "lo", "hi").applyInPandas(pairs, "block string, a long, b long, score double")
 
 
+def _forest(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(a, b): pairs of a meeting, one fewer than vectors at most, that reach all that its pairs reach."""
+    ids = np.unique(frame["id"].to_numpy())
+    label, edges = np.arange(len(ids)), []
+    for found, _ in _products(frame, threshold):
+        x, y = np.searchsorted(ids, found["a"]), np.searchsorted(ids, found["b"])
+        apart = np.flatnonzero(label[x] != label[y])
+        if not len(apart):
+            continue
+        p, q = label[x[apart]], label[y[apart]]
+        _, once = np.unique(np.minimum(p, q) * len(ids) + np.maximum(p, q), return_index=True)
+        parent: dict[int, int] = {}
+        for at, i, j in zip(apart[once].tolist(), p[once].tolist(), q[once].tolist()):
+            i, j = _root(parent, i), _root(parent, j)
+            if i != j:
+                parent[max(i, j)] = min(i, j)
+                edges.append((found["a"][at], found["b"][at]))
+        to = np.arange(len(ids))
+        for k in parent:
+            to[k] = _root(parent, k)
+        label = to[label]
+    return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
+
+
+def _root(parent: dict[int, int], k: int) -> int:
+    while k in parent:
+        up = parent[k]
+        if up in parent:
+            parent[k] = parent[up]
+        k = up
+    return k
+
+
+def similar_links(vectors: DataFrame, threshold: float = R.NEAR_DUPLICATE, tile: int = TILE) -> DataFrame:
+    """(a, b): of similar_pairs() as many as reach all that all of them reach; what components() needs.
+
+    All vectors meet as there, and each meeting hands on a spanning forest of its pairs: fewer rows than it has vectors,
+    however many pairs there are.
+    """
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        return _forest(frame, threshold)
+
+    return _meetings(vectors, threshold, tile).groupBy("block", "cell", "lo", "hi").applyInPandas(links, "a long, b long")
+
+
 def products(vectors: DataFrame, threshold: float = R.NEAR_DUPLICATE, tile: int = TILE) -> DataFrame:
     """(block, vectors, products): how many products similar_pairs makes in a block, beside those with pivots."""
 
@@ -151,7 +220,7 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     Labels spread to neighbours and then jump to their label's label; each round is checkpointed.
     """
     checkpoint_folder(nodes.sparkSession)
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
+    both = pairs.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).checkpoint()  # pairs are found once
     labels = both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")).checkpoint()
     before = None
     while True:

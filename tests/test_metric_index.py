@@ -73,3 +73,38 @@ def test_products_are_never_more_than_all_pairs(spark):
     v = np.random.default_rng(5).normal(size=(3000, 32))
     rows = spark.createDataFrame([(k, "t", x) for k, x in enumerate((v / np.linalg.norm(v, axis=1, keepdims=True)).tolist())], SCHEMA)
     assert clusters.products(rows, 0.9, 256).first().products < 1.1 * 3000 * 3000 / 2
+
+
+def _shifted(spark, monkeypatch, meet, visits):
+    monkeypatch.setattr(clusters, "MEET", meet)
+    monkeypatch.setattr(clusters, "VISITS", visits)
+
+
+@pytest.mark.parametrize("visits", [0, 1000])
+@pytest.mark.parametrize("meet", [8, 50])
+def test_small_tiles_by_index_and_without(spark, monkeypatch, meet, visits):
+    """Cells of many tiles, by way of the index and as one cell each."""
+    _shifted(spark, monkeypatch, meet, visits)
+    rows = listed(scenes(150, 9)) + listed(np.random.default_rng(2).normal(size=(70, 24)) / 5, "loose", 1000) + listed([scenes(1, 1)[0]] * 60, "copies", 2000)
+    check(spark, rows, 0.6, 16)
+
+
+def test_vectors_do_not_multiply_where_nothing_can_be_left_out(spark):
+    """Vectors without clusters went to a task for each tile they met, or visited most pivots: 6,000 vectors, tiles of 64."""
+    v = np.random.default_rng(5).normal(size=(6000, 32))
+    rows = spark.createDataFrame([(k, "t", x) for k, x in enumerate((v / np.linalg.norm(v, axis=1, keepdims=True)).tolist())], SCHEMA)
+    assert clusters._meetings(rows, 0.4, 64).count() <= 2 * 6000
+
+
+@pytest.mark.parametrize(("meet", "visits"), [(16, 0), (16384, 32)])
+def test_links_reach_what_pairs_reach(spark, monkeypatch, meet, visits):
+    _shifted(spark, monkeypatch, meet, visits)
+    rows = listed(scenes(300, 40)) + listed(scenes(100, 60, seed=4), "loose", 1000) + listed([scenes(1, 1)[0]] * 80, "copies", 2000) + [(3000, "t", None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    links = clusters.similar_links(df, 0.9, 32)
+    pairs = {(a, b) for _, a, b in brute(rows, 0.9)}
+    found = [(r.a, r.b) for r in links.collect()]
+    assert set(found) <= pairs and (meet < 100 or len(found) < len(rows))
+    got = {r.id: r.component for r in clusters.components(df, links).collect()}
+    want = {r.id: r.component for r in clusters.components(df, spark.createDataFrame(list(pairs), "a long, b long")).collect()}
+    assert got == want and len(set(want.values())) > 40
