@@ -12,32 +12,36 @@ from lumenark.functions import rules as R
 from lumenark.functions import scalar as S
 
 
-def top_k(vectors: DataFrame, query: list[float], k: int, vec: str = "vec", key: str = "id") -> DataFrame:
-    """The k rows most alike to the query (unit vectors), the larger key first among equals; each task keeps k."""
+def top_k(vectors: DataFrame, query: list[float], k: int, vec: str = "vec", key: str = "id", digits: int | None = None) -> DataFrame:
+    """The k rows most alike to the query (unit vectors), the larger key first among equals; each task keeps k.
+
+    With digits scores are rounded before they are ranked, so that those shown as equal are equals.
+    """
     q = F.array(*map(F.lit, map(float, query)))
-    return vectors.withColumn("score", S.dot(vec, q)).orderBy(F.desc("score"), F.desc(key)).limit(k)
+    score = S.dot(vec, q)
+    return vectors.withColumn("score", score if digits is None else F.round(score, digits)).orderBy(F.desc("score"), F.desc(key)).limit(k)
 
 
-def semantic(vectors: DataFrame, files: DataFrame, query: list[float], k: int = 60, floor: float = R.RELEVANCE["neural"], **filters: str | int) -> DataFrame:
+def semantic(vectors: DataFrame, files: DataFrame, query: list[float], k: int = 60, floor: float = R.RELEVANCE["neural"], digits: int | None = None, **filters: str | int) -> DataFrame:
     """Top k among files that pass the filters (columns of files), above the floor, with the files' columns.
 
-    Filters go before the ranking; the floor after it. vectors (id, vec); files (id, any).
+    Filters go before the ranking; the floor after it. vectors (id, vec); files (id, any). digits: see top_k().
     """
     kept = files
     for column, value in filters.items():
         kept = kept.filter(F.col(column) == value)
-    best = top_k(vectors.join(kept.select("id"), "id", "left_semi"), query, k).filter(F.col("score") > floor)
+    best = top_k(vectors.join(kept.select("id"), "id", "left_semi"), query, k, digits=digits).filter(F.col("score") > floor)
     return best.drop("vec").join(files, "id")
 
 
-def text_search(vectors: DataFrame, files: DataFrame, query: str, k: int = 60, dates: bool = False) -> DataFrame:
+def text_search(vectors: DataFrame, files: DataFrame, query: str, k: int = 60, dates: bool = False, digits: int | None = None) -> DataFrame:
     """A written query against lexical embeddings: device and orientation in it filter, and year and month if dates are asked for; the rest ranks."""
     asked = vectors.sparkSession.range(1).select(S.query_filters(F.lit(query)).alias("q")).select("q.*", S.lexical_embedding(F.col("q.text")).alias("vec")).first()
     filters = {c: asked[c] for c in ("device", "orientation") if asked[c]}
     if dates:
         files = files.withColumns({"year": F.substring("month", 1, 4).try_cast("int"), "_month": F.substring("month", 6, 2).try_cast("int")})
         filters |= {c: asked[n] for c, n in (("year", "year"), ("_month", "month")) if asked[n]}
-    return semantic(vectors, files, list(asked["vec"]), k, R.RELEVANCE["lexical"], **filters)
+    return semantic(vectors, files, list(asked["vec"]), k, R.RELEVANCE["lexical"], digits, **filters)
 
 
 def embed(files: DataFrame, backend=None) -> DataFrame:

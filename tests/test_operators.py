@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lumenark.operators import clusters, dedupe, drives, maintenance, search, sinks, staging
 from lumenark.sources import inventory, schema
@@ -365,3 +366,40 @@ def test_startup_overrides_and_status(spark, tmp_path):
     assert inventory.locate(spark, [f"{tmp_path}/none", str(tmp_path)]) == str(tmp_path)
     with pytest.raises(FileNotFoundError):
         inventory.locate(spark, [f"{tmp_path}/none"])
+
+
+def test_scores_shown_as_equal_are_equals(spark):
+    """Ranked as they are shown: 0.50001 and 0.49999 are both 0.5, and the larger key is first."""
+    vectors = spark.createDataFrame([(1, [0.50001, 0.0]), (2, [0.49999, 0.0]), (3, [0.4, 0.0])], "id long, vec array<double>")
+    assert [(r.id, r.score) for r in search.top_k(vectors, [1.0, 0.0], 1, digits=4).collect()] == [(2, 0.5)]
+    assert [r.id for r in search.top_k(vectors, [1.0, 0.0], 1).collect()] == [1]
+    files = vectors.select("id", F.lit("Drone").alias("device"))
+    assert [r.id for r in search.semantic(vectors, files, [1.0, 0.0], 2, 0.49999, 4, device="Drone").orderBy("id").collect()] == [1, 2]
+
+
+def test_written_query_ranks_scores_as_shown(spark):
+    files = spark.createDataFrame([(i, "/a/b.jpg") for i in range(3)], "id long, full_path string")
+    v = [[0.0] * 512 for _ in range(3)]
+    asked = spark.range(1).select(search.S.lexical_embedding(F.lit("beach")).alias("v")).first().v
+    for row, size in zip(v, (0.90001, 0.89999, 0.9)):
+        row[:] = [x * size for x in asked]
+    vectors = spark.createDataFrame(list(enumerate(v)), "id long, vec array<double>")
+    assert [r.id for r in search.text_search(vectors, files, "beach", 1, digits=4).collect()] == [2]
+
+
+def test_means_of_many_groups(spark):
+    """More groups than the first arrays hold, among them equal ones, each mean renewed alone."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(400, 96))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v = np.concatenate([v, v[::2] + rng.normal(size=(200, 96)) * 0.02])
+    sums, want = [], []
+    for x in v:
+        alike = np.array([s / n @ x for s, n in sums])
+        at = len(alike) - 1 - int(alike[::-1].argmax()) if len(alike) and alike.max() >= 0.8 else len(sums)
+        if at == len(sums):
+            sums.append((np.zeros(96), 0))
+        sums[at] = (sums[at][0] + x, sums[at][1] + 1)
+        want.append(at)
+    got = clusters.greedy_groups(spark.createDataFrame(list(enumerate(v.tolist())), "id long, vec array<double>"), 0.8).orderBy("id").collect()
+    assert [r.person_id for r in got] == want and max(want) > 300
