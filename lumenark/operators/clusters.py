@@ -258,24 +258,27 @@ def greedy_groups(vectors: DataFrame, threshold: float = R.SAME_FACE, order: tup
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, sizes = None, np.zeros(0)
+        sums = means = None
+        sizes = np.zeros(64)
+        n = 0
         for frame in frames:
             labels = []
             for v in frame["vec"]:
                 v = np.asarray(v, np.float64)
                 best = -1
-                if len(sizes):
-                    means = sums[: len(sizes)] / sizes[:, None]
-                    alike = means @ v
+                if n:
+                    alike = means[:n] @ v
                     top = len(alike) - 1 - int(alike[::-1].argmax())
                     best = top if alike[top] >= threshold else -1
                 if best < 0:
-                    best = len(sizes)
-                    if sums is None or best == len(sums):
-                        sums = np.concatenate([sums, np.zeros_like(sums)]) if sums is not None else np.zeros((64, len(v)))
-                    sizes = np.append(sizes, 0.0)
+                    best, n = n, n + 1
+                    if sums is None:
+                        sums, means = np.zeros((64, len(v))), np.zeros((64, len(v)))
+                    elif best == len(sums):
+                        sums, means, sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (sums, means, sizes))
                 sums[best] += v
                 sizes[best] += 1
+                means[best] = sums[best] / sizes[best]  # of one group; the others' stay as they are
                 labels.append(best)
             yield pd.DataFrame({"id": frame["id"], "person_id": labels})
 
