@@ -8,37 +8,54 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenark.functions import rules as R
 from lumenark.functions import scalar as S
+from lumenark.sources.durable import checkpointed
 
 LONGEST = 3
 #: What parts the words of a query: any white space.
 SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]+"
 
 
-def _grams(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+def _codes(text: str) -> np.ndarray:
+    """The different grams of a text, as numbers: 21 bits a code point, the last the lowest, code points counted from one."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+    return np.unique(np.concatenate([sum(c[i : len(c) - n + 1 + i] << 21 * (n - 1 - i) for i in range(n)) for n in range(1, min(LONGEST, len(c)) + 1)] or [c]))
 
+
+def _gram(code: int) -> str:
+    return "".join(chr((code >> shift & (1 << 21) - 1) - 1) for shift in (42, 21, 0) if code >> shift)
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, key): the different grams of each text; those of some texts are named together."""
     for batch in batches:
-        grams, rows = [], []
+        found, begin, n = [], 0, 0
+
+        def out(end: int) -> pa.RecordBatch:
+            codes, at = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_inverse=True)
+            rows = np.repeat(np.arange(begin, end), [len(f) for f in found])
+            return pa.RecordBatch.from_arrays([pa.array(map(_gram, codes.tolist()), pa.string()).take(pa.array(at)), batch.column(0).take(pa.array(rows, pa.int64()))], ["gram", "key"])
+
         for k, text in enumerate(batch.column(1).to_pylist()):
-            found = {text[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(text) - n + 1)}
-            grams += found
-            rows += [k] * len(found)
-            if len(grams) > 1 << 18:
-                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), batch.column(0).take(pa.array(rows))], ["gram", "key"])
-                grams, rows = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), batch.column(0).take(pa.array(rows, pa.int64()))], ["gram", "key"])
+            found.append(_codes(text))
+            n += len(found[-1])
+            if n > 1 << 18:
+                yield out(k + 1)
+                found, begin, n = [], k + 1, 0
+        yield out(batch.num_rows)
 
 
 def index(rows: DataFrame, key: str, text: str | Column) -> DataFrame:
     """(gram, key): what each row's text holds, in lower case. Null keys and texts are not found."""
     low = F.lower(F.col(text) if isinstance(text, str) else text)
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(F.col(key).alias("key"), low.alias("text")).filter("key IS NOT NULL AND text <> ''").mapInArrow(_grams, f"gram string, key {kind}").distinct()
+    return rows.select(F.col(key).alias("key"), low.alias("text")).filter("key IS NOT NULL AND text <> ''").mapInArrow(_grams, f"gram string, key {kind}")
 
 
 def write(found: DataFrame, path: str) -> None:
@@ -66,7 +83,9 @@ def _candidates(grams: DataFrame, asked: DataFrame) -> DataFrame:
     each = asked.select("query_id", F.explode(F.array_distinct("words")).alias("word"))
     parts = F.when(F.length("word") <= LONGEST, F.array("word")).otherwise(F.transform(F.sequence(F.lit(1), F.length("word") - (LONGEST - 1)), lambda i: F.substring(F.col("word"), i, F.lit(LONGEST))))
     looked = each.select("query_id", "word", F.explode(F.array_distinct(parts)).alias("gram"))
-    counts = grams.join(looked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    # Of the index only what is asked for is kept, once: texts are read once, and a key that stands in several rows counts once.
+    grams = checkpointed(grams.join(F.broadcast(looked.select("gram").distinct()), "gram", "left_semi").distinct())
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = looked.join(counts, "gram", "left").groupBy("query_id", "word").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     return grams.join(rarest, "gram").groupBy("query_id", "key").agg(F.count("*").alias("n"))
 

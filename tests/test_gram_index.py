@@ -53,3 +53,26 @@ def test_nothing(spark, frames):
     none = rows.limit(0)
     assert grams.captions(grams.index(none, "file_id", "caption"), none, queries).count() == 0
     assert grams.captions(grams.index(rows, "file_id", "caption"), rows, queries.limit(0)).count() == 0
+
+
+def test_grams_of_a_text(spark):
+    """Each once, all that stand there, for code points of any size."""
+    for text in ("a", "ab", "abab", "\x00\U0010ffff\x00é", "the theme"):
+        got = [grams._gram(c) for c in grams._codes(text).tolist()]
+        assert sorted(got) == sorted({text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1)})
+
+
+def test_texts_are_read_once_and_only_what_is_asked_moves(spark, frames):
+    """All grams of all texts went through a shuffle, twice; the index is made once for a table of queries."""
+    rows, queries = frames
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = rows.filter("file_id IS NOT NULL")
+    found = grams.index(rows, "file_id", "caption").mapInArrow(counted, "gram string, key long")
+    total = grams.index(rows, "file_id", "caption").count()
+    assert grams.captions(found, rows, queries, limit=None).count() > 0 and made.value == total
