@@ -21,8 +21,8 @@ from lumenark.sources.durable import checkpointed
 
 #: Cells, at most, and vectors of the sample for each: what the driver and each task hold of an index.
 CELLS, SAMPLE = 1024, 4
-#: Vectors, and queries, that meet in one task.
-SLICE, QUERIES = 8192, 4096
+#: Vectors of a shelf (a run of cells), at least, and of a slice of it, and queries, that meet in one task; queries that are looked at at once.
+SLICE, QUERIES, AT_ONCE = 8192, 4096, 256
 #: Scores are compared rounded to so many digits, so that the order of sums does not matter; equal ones go by the larger key.
 DIGITS = 12
 SAFE = 1e-9
@@ -37,6 +37,11 @@ class Bounds:
     count: np.ndarray
     longest: np.ndarray
 
+    @property
+    def shelf(self) -> np.ndarray:
+        """Of each cell the shelf it stands on."""
+        return ((np.cumsum(self.count) - self.count) // SLICE).astype(np.int32)
+
     def order(self, units: np.ndarray) -> np.ndarray:
         return _angles(units, self.pivots)
 
@@ -94,29 +99,34 @@ def _first(hits: DataFrame, k: int) -> DataFrame:
 
 
 def _hits(index: Index, pairs: DataFrame, k: int) -> DataFrame:
-    """(query_id, key, score): of the cells that pairs (query_id, qvec, cell) name, k rows a query and task at most."""
+    """(query_id, key, score): of the cells that pairs (see PAIRS) name, k rows a query and task at most."""
     spark = pairs.sparkSession
-    sizes = F.broadcast(spark.createDataFrame([(c, int(-(-n // SLICE))) for c, n in enumerate(index.bounds.count.tolist()) if n], "cell int, slices int"))  # at most CELLS rows
-    asked = pairs.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    left = index.placed.join(sizes, "cell").join(asked, "cell").select("cell", F.expr("cast(pmod(xxhash64(key), slices) AS int)").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", "vec")
-    right = pairs.join(sizes, "cell").join(asked, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.expr("cast(pmod(xxhash64(query_id), parts) AS int)").alias("part"), "query_id", "qvec")
+    on, count = index.bounds.shelf, index.bounds.count
+    held = np.bincount(on, count)
+    sizes = F.broadcast(spark.createDataFrame([(c, int(s), int(-(-held[s] // SLICE))) for c, (s, n) in enumerate(zip(on, count)) if n], "cell int, shelf int, slices int"))  # at most CELLS rows
+    shelves = F.broadcast(spark.createDataFrame([(s, int(-(-n // SLICE))) for s, n in enumerate(held.tolist()) if n], "shelf int, slices int"))
+    asked = pairs.groupBy("shelf").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    left = index.placed.join(sizes, "cell").join(asked, "shelf").select("shelf", F.expr("cast(pmod(xxhash64(key), slices) AS int)").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cell", "key", "vec")
+    right = pairs.join(shelves, "shelf").join(asked, "shelf").select("shelf", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.expr("cast(pmod(xxhash64(query_id), parts) AS int)").alias("part"), "query_id", "qvec", "cells")
 
     def best(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "key": [], "score": []}
         if len(vectors) and len(queries):
-            v, keys = np.stack(vectors["vec"].to_numpy()), vectors["key"].to_numpy()
-            for begin in range(0, len(queries), 256):
-                some = queries.iloc[begin : begin + 256]
+            v, keys, cell = np.stack(vectors["vec"].to_numpy()), vectors["key"].to_numpy(), vectors["cell"].to_numpy()
+            for begin in range(0, len(queries), AT_ONCE):
+                some = queries.iloc[begin : begin + AT_ONCE]
                 scores = np.round(np.stack(some["qvec"].to_numpy()) @ v.T, DIGITS) + 0.0
-                for query, row in zip(some["query_id"], scores):
+                for query, cells, row in zip(some["query_id"], some["cells"], scores):
+                    own = np.flatnonzero(np.isin(cell, cells))  # cells of the shelf that the query does not ask are left out
+                    row = row[own]
                     top = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if k < len(row) else np.arange(len(row))
-                    top = top[np.lexsort((-keys[top], -row[top]))][:k]
+                    top = top[np.lexsort((-keys[own[top]], -row[top]))][:k]
                     out["query_id"].append(np.full(len(top), query))
-                    out["key"].append(keys[top])
+                    out["key"].append(keys[own[top]])
                     out["score"].append(row[top])
         return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0, np.float64 if c == "score" else np.int64) for c, x in out.items()})
 
-    groups = ("cell", "slice", "part")
+    groups = ("shelf", "slice", "part")
     return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(best, "query_id long, key long, score double")
 
 
@@ -124,33 +134,44 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("qvec")).filter("query_id IS NOT NULL AND qvec IS NOT NULL")
 
 
-PAIRS = "query_id long, qvec array<double>, cell int"
+#: A row for each query and shelf, with the cells of it that the query looks into: a query travels once a shelf, not once a cell.
+PAIRS = "query_id long, qvec array<double>, shelf int, cells array<int>"
+
+
+def _pairs(frame: pd.DataFrame, cells: list[np.ndarray], on: np.ndarray) -> pd.DataFrame:
+    at, shelves, parts = [], [], []
+    for k, own in enumerate(cells):
+        own = np.sort(own)
+        first = np.flatnonzero(np.diff(on[own], prepend=-1))
+        at += [k] * len(first)
+        shelves.append(on[own[first]])
+        parts += np.split(own.astype(np.int32), first[1:]) if len(own) else []
+    frame = frame.iloc[at]
+    return pd.DataFrame({"query_id": frame["query_id"].to_numpy(), "qvec": frame["qvec"].to_numpy(), "shelf": np.concatenate([np.zeros(0, np.int32), *shelves]), "cells": pd.Series(parts, dtype=object)})
 
 
-def _pairs(frame: pd.DataFrame, cells: list[np.ndarray]) -> pd.DataFrame:
-    at = np.repeat(np.arange(len(frame)), [len(c) for c in cells])
-    return pd.DataFrame({"query_id": frame["query_id"].to_numpy()[at], "qvec": frame["qvec"].to_numpy()[at], "cell": np.concatenate(cells).astype(np.int32) if cells else np.zeros(0, np.int32)})
+def _some(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for begin in range(0, len(frame), AT_ONCE):
+            yield frame.iloc[begin : begin + AT_ONCE]
 
 
 def _both(index: Index, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of the first look, its hits, and pairs of the second."""
-    bounds = index.bounds
+    bounds, on = index.bounds, index.bounds.shelf
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                yield _pairs(frame, bounds.probed(bounds.order(_units(frame["qvec"])), k))
+        for frame in _some(frames):
+            yield _pairs(frame, bounds.probed(bounds.order(_units(frame["qvec"])), k), on)
 
     def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame):
-                continue
+        for frame in _some(frames):
             angles = bounds.order(_units(frame["qvec"]))
             lengths = np.array([np.linalg.norm(v) for v in frame["qvec"]])
             can = (bounds.most(angles, lengths) >= frame["kth"].fillna(-np.inf).to_numpy(np.float64)[:, None]) & (bounds.count > 0)
             for row, seen in zip(can, bounds.probed(angles, k)):
                 row[seen] = False
-            yield _pairs(frame, [np.flatnonzero(row) for row in can])
+            yield _pairs(frame, [np.flatnonzero(row) for row in can], on)
 
     asked = _asked(queries)
     first = checkpointed(asked.mapInPandas(probe, PAIRS))
@@ -170,5 +191,5 @@ def looked_into(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """One row: queries, cells that have vectors, and how many (query, cell) pairs were looked into and left out."""
     first, _, second = _both(index, queries, k)
     cells = int((index.bounds.count > 0).sum())
-    both = first.select("query_id").unionByName(second.select("query_id")).agg(F.count("*").alias("looked"))
+    both = first.select("cells").unionByName(second.select("cells")).agg(F.coalesce(F.sum(F.size("cells")), F.lit(0)).alias("looked"))
     return _asked(queries).agg(F.count("*").alias("queries")).join(F.broadcast(both)).select("queries", F.lit(cells).alias("cells"), "looked", (F.col("queries") * cells - F.col("looked")).alias("left_out"))  # one row each

@@ -55,3 +55,15 @@ def test_nothing(spark):
     index = topk.build(frame(spark, [[1.0, 0.0]]))
     assert topk.search(index, frame(spark, [], "query_id"), 3).count() == 0
     assert [tuple(r) for r in topk.search(index, frame(spark, [[0.5, 1.0]], "query_id"), 3).collect()] == [(0, 0, 0.5)]
+
+
+def test_a_query_travels_once_a_shelf(spark, monkeypatch):
+    """Vectors without clusters: each query looks into most cells, and went along with each of them."""
+    monkeypatch.setattr(topk, "SLICE", 500)
+    v = np.random.default_rng(4).normal(size=(2000, 24))
+    v = list(v / np.linalg.norm(v, axis=1, keepdims=True))
+    index = topk.build(frame(spark, v))
+    first, _, second = topk._both(index, frame(spark, v[:30], "query_id"), 5)
+    assert index.bounds.shelf.max() <= 4 and first.count() + second.count() <= 2 * 5 * 30
+    got = topk.search(index, frame(spark, v[:30], "query_id"), 5).collect()
+    assert {(r.query_id, r.key) for r in got} == brute(v, v[:30], 5)
