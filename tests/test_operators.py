@@ -403,3 +403,17 @@ def test_means_of_many_groups(spark):
         want.append(at)
     got = clusters.greedy_groups(spark.createDataFrame(list(enumerate(v.tolist())), "id long, vec array<double>"), 0.8).orderBy("id").collect()
     assert [r.person_id for r in got] == want and max(want) > 300
+
+
+def test_manifest_reads_its_items_once(spark, tmp_path):
+    """Each of its files, and each part of the JSON document, made the items anew."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    done = items(spark, {"sha256": "h", "dest_name": "a", "candidates": [], "state": "error", "error": "gone"}, {"sha256": "i", "dest_name": "c", "candidates": [], "state": "verified", "size": 3})
+    sinks.write_manifest(done.mapInArrow(counted, done.schema), {"trip": "A", "dest_root": "/nas", "status": "done"}, f"{tmp_path}/m")
+    assert made.value == 2
