@@ -6,13 +6,15 @@ contexts; nothing is pooled. A word that is too common for one task (over SHARD
 each bucket of the word before it, each with that many tokens.
 
 Tokens are dealt to shards by the later word, so a shard holds whole restaurants of both levels. There seating is sampled by Gibbs
-sweeps: in each a customer of every dish gets up (of a common dish one more for each doubling of its customers), its table closes
+sweeps: in each as many customers of a dish get up as it has, one after another, drawn by lot; a table closes
 if it was the last, which takes a customer from the parent, and it sits down again, at a table in proportion to its
 customers less the discount, or at a new one in proportion to (strength + discount * tables) * parent's prediction, which
-sends a customer to the parent. Dishes move side by side, against the totals of the step before, as in
-distributed samplers. Shards meet in the root: a first pass over them, whose base is their own word counts, gives the root's
+sends a customer to the parent. (A dish's only customer would come back to the table it left, so it stays; its parent's customers have sweeps of their own.)
+Dishes move side by side, against the totals of the step before, as in distributed samplers; the few that have most
+customers move on alone. Shards meet in the root: a first pass over them, whose base is their own word counts, gives the root's
 customers; the root is seated by word; its predictions are the base of a second pass, whose sweeps after the first BURN_IN
-are averaged into the predictions that texts are scored by.
+are averaged into the predictions that texts are scored by. In that pass, too, the root is seated anew after each sweep: a shard
+puts its own customers of the moment in place of those it sent, while those of others stay as they were sent.
 
 Texts travel as compact arrays: for each chunk of some texts and shard one row of bytes.
 """
@@ -20,9 +22,10 @@ Texts travel as compact arrays: for each chunk of some texts and shard one row o
 from __future__ import annotations
 
 import math
+import random
 import struct
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +47,9 @@ END = b""  # the token after a text's last word
 START = np.uint64(0x9E3779B97F4A7C15)  # before its first
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Of each task the commonest words are looked at to find those that need several restaurants.
-COMMONEST = 4096
+COMMONEST, SLICE = 4096, 1 << 16
+#: Dishes that move side by side, at least.
+FEW = 48
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -70,17 +75,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _commonest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The commonest contexts of a task (hash, count), and under key 0 how many tokens it has."""
+    """The commonest contexts of a task (hash, count), and under key 0 how many tokens it has. Of a word one occurrence in each slice of SLICE
+    tokens, which most words have no more of, is not counted but added for all slices: no count is too small."""
     counts: Counter[bytes] = Counter()
-    total = texts = 0
+    total = texts = slices = 0
+    held: list[bytes] = []
+
+    def count() -> None:
+        nonlocal held, slices, counts
+        counts.update({w: n - 1 for w, n in Counter(held).items() if n > 1})
+        held, slices = [], slices + 1
+        if len(counts) > 40 * COMMONEST:
+            counts = Counter(dict(counts.most_common(20 * COMMONEST)))
+
     for batch in batches:
         for text in _binary(batch):
             tokens = _tokens(text)
-            counts.update(tokens[:-1])
+            held += tokens[:-1]
             total, texts = total + len(tokens), texts + 1
-            if len(counts) > 40 * COMMONEST:
-                counts = Counter(dict(counts.most_common(20 * COMMONEST)))
-    top = [(xxhash.xxh64_intdigest(w), n) for w, n in counts.most_common(COMMONEST)] + [(int(START), texts), (0, total)]
+            if len(held) >= SLICE:
+                count()
+    count()
+    top = [(xxhash.xxh64_intdigest(w), n + slices) for w, n in counts.most_common(COMMONEST)] + [(int(START), texts), (0, total)]
     yield pa.RecordBatch.from_arrays([pa.array(np.array([w for w, _ in top], np.uint64).view(np.int64)), pa.array([n for _, n in top], pa.int64())], ["key", "n"])
 
 
@@ -125,9 +141,11 @@ def _deal(shards: int, hot: np.ndarray, buckets: np.ndarray):
                 at = np.minimum(np.searchsorted(hot, v), len(hot) - 1)
                 is_hot = hot[at] == v
                 context = np.where(is_hot, _mixed(v + np.uint64(1) + _mixed(u) % buckets[at]), v)
-            shard = (_mixed(context) % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((context, shard))  # the upper bits come first
-            ends = np.searchsorted(shard[order], np.arange(shards + 1))
+            shard = _mixed(context) % np.uint64(shards)
+            place = (shard << np.uint64(32)) + (context >> np.uint64(32))
+            order = np.argsort(place, kind="stable")  # texts in order compress better
+            ends = np.searchsorted(place[order], np.arange(shards + 1, dtype=np.uint64) << np.uint64(32))
+            del place, shard
             rows = [(number % shards, 1, _packed(np.array([i is None for i in ids], bool), np.array([i or 0 for i in ids], np.int64), np.array(held, bool), sizes))]
             for s in np.flatnonzero(np.diff(ends)).tolist():
                 own = order[ends[s] : ends[s + 1]]
@@ -169,20 +187,25 @@ class Level:
         self.rng, self.discount, self.strength, self.context, self.room = rng, discount, strength, context, room
         self.first = np.cumsum(room) - room
         self.customers, self.tables = customers.astype(np.int64), (customers > 0).astype(np.int64)
-        slots, of = np.arange(room.sum()), np.repeat(np.arange(len(room)), room)
-        self.seat = self.first[of]  # of each customer its table, a slot of its dish
-        self.size = np.zeros(len(slots), np.int64)
+        seats = int(room.sum())
+        self.seat = np.repeat(self.first.astype(np.int32), room)  # of each customer its table, a slot of its dish
+        self.size = np.zeros(seats, np.int32)
         self.size[self.first[customers > 0]] = customers[customers > 0]
-        self.free = slots + self.tables[of]  # by dish a stack of room - tables slots that are free
+        self.free = np.arange(seats, dtype=np.int32)  # by dish a stack of room - tables slots that are free
+        self.free += np.repeat(self.tables.astype(np.int32), room)
         self.all_tables = np.bincount(context, self.tables, contexts)
         self.all_customers = np.bincount(context, self.customers, contexts)
 
     def _count(self, dishes: np.ndarray, customers: int, tables: np.ndarray) -> None:
         self.customers[dishes] += customers
         self.tables[dishes] += tables
-        of = self.context[dishes]
-        np.add.at(self.all_customers, of, customers)
-        np.add.at(self.all_tables, of, tables)
+        of, contexts = self.context[dishes], len(self.all_tables)
+        if 8 * len(of) > contexts:
+            self.all_customers += customers * np.bincount(of, minlength=contexts)
+        else:
+            np.add.at(self.all_customers, of, customers)
+        changed = tables != 0
+        np.add.at(self.all_tables, of[changed], tables[changed])
 
     def remove(self, dishes: np.ndarray) -> np.ndarray:
         """A customer of each of different dishes gets up; whether its table closes."""
@@ -202,7 +225,7 @@ class Level:
         first, n, tables = self.first[dishes], self.customers[dishes], self.tables[dishes]
         new = (self.strength + self.discount * self.all_tables[self.context[dishes]]) * parent
         opened = (n == 0) | (self.rng.random(len(dishes)) * (new + n - self.discount * tables) < new)
-        table = np.empty(len(dishes), np.int64)
+        table = np.empty(len(dishes), np.int32)
         table[opened] = self.free[(first + self.room[dishes] - tables - 1)[opened]]
         left = np.flatnonzero(~opened)
         while len(left):  # a table in proportion to its customers, taken with (customers - discount) / customers
@@ -215,6 +238,37 @@ class Level:
         self._count(dishes, 1, opened.astype(np.int64))
         return opened
 
+    def move(self, dish: int, customers: int, parent: Callable[[int], float]) -> None:
+        """Customers of one dish get up and sit down one after another. parent(1), (-1) or (0): the parent's prediction, after a customer came to it, left it or neither."""
+        first, room, n, tables, of = (int(x) for x in (self.first[dish], self.room[dish], self.customers[dish], self.tables[dish], self.context[dish]))
+        seat, size = (self.seat[first : first + n] - first).tolist(), self.size[first : first + room].tolist()
+        free = (self.free[first : first + room - tables] - first).tolist()
+        discount, strength, all_tables, before = self.discount, self.strength, float(self.all_tables[of]), tables
+        chance, p, n = random.Random(int(self.rng.integers(1 << 62))).random, parent(0), n - 1
+        for _ in range(customers):
+            place = int(chance() * (n + 1))
+            table, seat[place] = seat[place], seat[n]
+            size[table] -= 1
+            if not size[table]:
+                free.append(table)
+                tables, all_tables, p = tables - 1, all_tables - 1, parent(-1)
+            new = (strength + discount * all_tables) * p
+            if not n or chance() * (new + n - discount * tables) < new:
+                table = free.pop()
+                tables, all_tables, p = tables + 1, all_tables + 1, parent(1)
+            else:
+                while chance() * size[table := seat[int(chance() * n)]] >= size[table] - discount:
+                    pass
+            seat[n] = table
+            size[table] += 1
+        self.seat[first : first + n + 1] = seat
+        self.seat[first : first + n + 1] += first
+        self.size[first : first + room] = size
+        self.free[first : first + len(free)] = free
+        self.free[first : first + len(free)] += first
+        self.tables[dish] = tables
+        self.all_tables[of] += tables - before
+
     def predictions(self, parent: np.ndarray, dishes: np.ndarray | slice = slice(None)) -> np.ndarray:
         """Of all or some dishes, of which parent holds the parent's."""
         of = self.context[dishes]
@@ -227,34 +281,72 @@ class Restaurants:
 
     def __init__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, training: np.ndarray, base: np.ndarray, rng: np.random.Generator):
         words, before = len(base), int(u.max(initial=0)) + 1
-        pairs, pair_of = np.unique(v * words + w, return_inverse=True)
-        triples, self.triple_of = np.unique(pair_of * before + u, return_inverse=True)
+        pairs, pair_of = np.unique(v.astype(np.int64) * words + w, return_inverse=True)
+        triples, triple_of = np.unique(pair_of * before + u, return_inverse=True)
+        del pair_of
+        self.triple_of = triple_of.astype(np.int32)
         self.pair = triples // before  # of each triple
         contexts, context = np.unique(pairs[self.pair] // words * before + triples % before, return_inverse=True)
         counts = np.bincount(self.triple_of[training], minlength=len(triples))
         own = np.bincount(self.pair, counts, len(pairs)).astype(np.int64)
         kinds = np.bincount(self.pair, counts > 0, len(pairs)).astype(np.int64)
-        self.word, self.base = pairs % words, base[pairs % words]
+        self.words, self.word = words, (pairs % words).astype(np.int32)
+        self.renew(base)
         self.two = Level(counts, counts, context, len(contexts), DISCOUNT[2], STRENGTH[2], rng)
         self.one = Level(kinds, own, pairs // words, int(v.max(initial=-1)) + 1, DISCOUNT[1], STRENGTH[1], rng)
 
+    def renew(self, base: np.ndarray) -> None:
+        self.base = base[self.word]
+
+    def _send(self, pairs: np.ndarray, change: np.ndarray) -> None:
+        """Customers come to pairs or leave them, which may repeat."""
+        pairs, at = np.unique(pairs, return_inverse=True)
+        change = np.bincount(at, change, len(pairs)).astype(np.int64)
+        while (fewer := change < 0).any():
+            self.one.remove(pairs[fewer])
+            change[fewer] += 1
+        while (more := change > 0).any():
+            self.one.add(pairs[more], self.base[pairs[more]])
+            change[more] -= 1
+
+    def _parent(self, pair: np.ndarray) -> Callable[[int], float]:
+        """The prediction of one pair, see Level.move."""
+
+        def changed(customers: int) -> float:
+            if customers < 0:
+                self.one.remove(pair)
+            elif customers:
+                self.one.add(pair, self.base[pair])
+            return float(self.one.predictions(self.base[pair], pair)[0])
+
+        return changed
+
     def sweep(self) -> None:
-        two, one, low = self.two, self.one, 2
-        while len(dishes := np.flatnonzero(two.customers >= low)):
-            pair = self.pair[dishes]
-            closed = two.remove(dishes).astype(np.int64)
-            opened = two.add(dishes, one.predictions(self.base[pair], pair))
-            change = np.bincount(pair, opened - closed, len(one.room)).astype(np.int64)
-            while len(fewer := np.flatnonzero(change < 0)):
-                one.remove(fewer)
-                change[fewer] += 1
-            while len(more := np.flatnonzero(change > 0)):
-                one.add(more, self.base[more])
-                change[more] -= 1
-            low *= 2
-        dishes = np.flatnonzero(one.customers >= 2)
-        one.remove(dishes)
-        one.add(dishes, self.base[dishes])
+        two, one = self.two, self.one
+        step, moved = np.flatnonzero(two.customers >= 2), 0
+        while len(step) >= FEW:
+            pair = self.pair[step]
+            closed = two.remove(step).astype(np.int64)
+            opened = two.add(step, one.predictions(self.base[pair], pair))
+            differ = opened != closed
+            self._send(pair[differ], (opened - closed)[differ])
+            moved += 1
+            step = step[two.customers[step] > moved]
+        for dish in step.tolist():
+            two.move(dish, int(two.customers[dish]) - moved, self._parent(self.pair[dish : dish + 1]))
+        step, moved = np.flatnonzero(one.customers >= 2), 0
+        while len(step) >= FEW:
+            one.remove(step)
+            one.add(step, self.base[step])
+            moved += 1
+            step = step[one.customers[step] > moved]
+        for dish in step.tolist():
+            base = float(self.base[dish])
+            one.move(dish, int(one.customers[dish]) - moved, lambda customers, base=base: base)
+
+    def sent(self) -> np.ndarray:
+        """By word its customers in the root."""
+        return np.bincount(self.word, self.one.tables, self.words).astype(np.int64)
 
     def predictions(self) -> np.ndarray:
         """Of each triple's word after its context."""
@@ -263,7 +355,8 @@ class Restaurants:
 
 def _shard(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[tuple[int, np.ndarray]]]:
     """Sorted names of the words w, u, v and w as numbers (each of its own), whether a token is for training, and by chunk the texts of its tokens."""
-    parts = [(chunk, _unpacked(data)) for chunk, kind, data in zip(*(table.column(c).to_pylist() for c in ("chunk", "kind", "data"))) if not kind]
+    rows = zip(table.column("chunk").to_pylist(), table.column("kind").to_pylist(), table.column("data"))
+    parts = [(chunk, _unpacked(data.as_buffer())) for chunk, kind, data in rows if not kind]
     if not parts:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), [none, none, none, none.astype(bool)], []
@@ -273,8 +366,8 @@ def _shard(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[tuple[in
     u, w, v, text = [], [], [], []
     for _, (own, before, at, of, counts, texts) in parts:
         u.append(before)
-        w.append(np.searchsorted(names, own)[at])
-        v.append(np.repeat(np.searchsorted(contexts, of), counts))
+        w.append(np.searchsorted(names, own).astype(np.int32)[at])
+        v.append(np.repeat(np.searchsorted(contexts, of).astype(np.int32), counts))
         text.append(texts)
     training = np.concatenate(text) % 2 == 0
     return names, [np.unique(np.concatenate(u), return_inverse=True)[1], np.concatenate(v), np.concatenate(w), training], [(chunk, t // 2) for (chunk, _), t in zip(parts, text)]
@@ -292,8 +385,7 @@ def _root_customers(table: pa.Table) -> pa.Table:
     tables = Restaurants(u, v, w, training, (counts + 0.5) / (len(w) + 0.5 * len(names) + 1), rng)
     for _ in range(FIRST_SWEEPS):
         tables.sweep()
-    customers = np.bincount(tables.word, tables.one.tables, len(names)).astype(np.int64)
-    return pa.table({"shard": pa.array(np.full(len(names), table.column("shard")[0].as_py()), pa.int32()), "key": names.view(np.int64), "k": customers, "c": counts})
+    return pa.table({"shard": pa.array(np.full(len(names), table.column("shard")[0].as_py()), pa.int32()), "key": names.view(np.int64), "k": tables.sent(), "c": counts})
 
 
 def seat(customers: np.ndarray, odds: float, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -315,12 +407,37 @@ def _root_tables(odds: float, number: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng([SEED, number, TaskContext.get().partitionId()])
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seat(batch.column("k").to_numpy(), odds, DISCOUNT[0], rng))], [*batch.schema.names, f"t{number}"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seat(batch.column("k").to_numpy(), odds, DISCOUNT[0], rng))], [*batch.schema.names, "t"])
 
     return run
 
 
-def _scored(unseen: float):
+def _ordered(table: pa.Table) -> pa.Table:
+    """(shard, data): of a shard's words in the order of their names k, t, sent and c, zero if there are none."""
+    order = np.argsort(table.column("key").to_numpy().view(np.uint64))
+    data = _packed(*(_short(table.column(c).fill_null(0).to_numpy()[order]) for c in ("k", "t", "sent", "c")))
+    return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
+
+
+class Root:
+    """The root as a shard sees it: by word its customers k and tables t, of k those that the shard sent; and in all, over a vocabulary."""
+
+    def __init__(self, k: np.ndarray, t: np.ndarray, sent: np.ndarray, customers: int, tables: int, vocabulary: int):
+        self.others, self.customers, self.tables, self.vocabulary = k - sent, customers - int(sent.sum()), tables - int(t.sum()), vocabulary
+        self.own, self.t = sent, t
+
+    def _odds(self) -> float:
+        return (STRENGTH[0] + DISCOUNT[0] * (self.tables + int(self.t.sum()))) / (self.vocabulary + 1)
+
+    def seat(self, sent: np.ndarray, rng: np.random.Generator) -> None:
+        """All of its words' customers sit down anew, of whom the shard now sends these."""
+        self.own, self.t = sent, seat(self.others + sent, self._odds(), DISCOUNT[0], rng)
+
+    def predictions(self) -> np.ndarray:
+        return (self.others + self.own - DISCOUNT[0] * self.t + self._odds()) / (STRENGTH[0] + self.customers + int(self.own.sum()))
+
+
+def _scored(customers: int, all_tables: int, vocabulary: int):
     """(chunk, kind, data) of a shard: by chunk sums over its tokens by text (kind 0), and lists of texts as they came (kind 1)."""
 
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
@@ -328,13 +445,15 @@ def _scored(unseen: float):
         names, (u, v, w, training), texts = _shard(table)
         if texts:
             rng = _generator(table)
-            at = np.searchsorted(names, known.column("key").to_numpy().view(np.uint64))
-            base, counts = np.full(len(names), unseen), np.zeros(len(names), np.int64)
-            base[at], counts[at] = known.column("p").to_numpy(), known.column("c").to_numpy()
-            tables = Restaurants(u, v, w, training, base, rng)
+            k, t, sent, counts = (a.astype(np.int64) for a in _unpacked(known.column("data")[0].as_buffer()))
+            root = Root(k, t, sent, customers, all_tables, vocabulary)
+            tables = Restaurants(u, v, w, training, root.predictions(), rng)
+            del u, v, training
             mean = 0.0
             for number in range(SWEEPS):
                 tables.sweep()
+                root.seat(tables.sent(), rng)
+                tables.renew(root.predictions())
                 if number >= BURN_IN:
                     mean = mean + tables.predictions() / (SWEEPS - BURN_IN)
             scores, bases, is_known, at = np.log10(mean)[tables.triple_of], np.log10(counts + 1.0)[w], counts[w] > 0, 0
@@ -388,21 +507,18 @@ def score_documents(docs: DataFrame) -> DataFrame:
     release(spark)
     root = spool(held.groupBy("key").agg(F.sum("k").alias("k"), F.sum("c").alias("c")).filter("c > 0"))
     vocabulary, n, customers = root.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-    tables, kept, roots = vocabulary, [], [root]
+    tables, roots = vocabulary, [root]
     for number in range(ROOT_SWEEPS):
-        new = (STRENGTH[0] + DISCOUNT[0] * tables) / (vocabulary + 1)
-        root = spool(root.mapInArrow(_root_tables(new, number), ", ".join(f"{c} long" for c in [*root.columns, f"t{number}"])))
+        odds = (STRENGTH[0] + DISCOUNT[0] * tables) / (vocabulary + 1)
+        root = spool(root.select("key", "k", "c").mapInArrow(_root_tables(odds, number), "key long, k long, c long, t long"))
         roots.append(root)
-        tables = root.agg(F.coalesce(F.sum(f"t{number}"), F.lit(0))).first()[0]
-        kept.append((STRENGTH[0] + DISCOUNT[0] * tables) / (vocabulary + 1))
-    # Predictions of the root, averaged over its sweeps but the first.
-    mean = sum((F.col("k") - DISCOUNT[0] * F.col(f"t{s}") + kept[s]) / (STRENGTH[0] + customers) for s in range(1, ROOT_SWEEPS)) / (ROOT_SWEEPS - 1)
-    unseen = sum(kept[1:]) / (ROOT_SWEEPS - 1) / (STRENGTH[0] + customers)
-    known = spool(held.select("shard", "key").join(root.select("key", "c", mean.alias("p")), "key"))
+        tables = root.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
+    known = held.selectExpr("shard", "key", "k AS sent").join(root, "key", "left")
+    known = spool(known.groupBy("shard").applyInArrow(_ordered, "shard int, data binary"))  # without names, which shards have
     discard(held, *roots)
     release(spark)
 
-    parts = dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_scored(unseen), "chunk long, kind int, data binary")
+    parts = dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_scored(customers, tables, vocabulary), "chunk long, kind int, data binary")
     sums = parts.groupBy("chunk").applyInArrow(_summed, SUMS)
     floor = math.log10(n + vocabulary + 1)
     return sums.select(

@@ -271,6 +271,55 @@ def test_seating_has_the_known_mean():
         assert tables.mean() == pytest.approx((p * np.arange(len(p))).sum(), rel=0.05)
 
 
+@pytest.mark.parametrize("few", (1, 48, 10**9))  # all side by side, as it is, all alone
+def test_a_sweep_moves_every_customer(monkeypatch, few):
+    """Of each dish with two or more; counts and tables still agree, and tables have the known mean."""
+    monkeypatch.setattr(pitman_yor, "FEW", few)
+    rng = np.random.default_rng(4)
+    w = np.concatenate([np.repeat(np.arange(60), 9), np.full(300, 60)])
+    none = np.zeros(len(w), np.int64)
+    tables = pitman_yor.Restaurants(none, none, w, none == 0, np.full(61, 1 / 61), rng)
+    moved = Counter()
+    remove, move = pitman_yor.Level.remove, pitman_yor.Level.move
+
+    def counted_remove(self, dishes):
+        moved.update(dishes.tolist() if self is tables.two else [])
+        return remove(self, dishes)
+
+    def counted_move(self, dish, customers, parent):
+        moved.update({dish: customers} if self is tables.two else {})
+        return move(self, dish, customers, parent)
+
+    monkeypatch.setattr(pitman_yor.Level, "remove", counted_remove)
+    monkeypatch.setattr(pitman_yor.Level, "move", counted_move)
+    for _ in range(3):
+        tables.sweep()
+    assert moved == {**dict.fromkeys(range(60), 27), 60: 900}
+    for level in (tables.two, tables.one):
+        of = np.repeat(np.arange(len(level.room)), level.room)
+        assert (np.bincount(of, level.size, len(level.room)) == level.customers).all() and (np.bincount(of, level.size > 0, len(level.room)) == level.tables).all()
+        assert level.all_tables.sum() == level.tables.sum() and level.all_customers.sum() == level.customers.sum()
+        for dish, (first, room, n, t) in enumerate(zip(level.first, level.room, level.customers, level.tables)):
+            seats = np.bincount(level.seat[first : first + n] - first, minlength=room)
+            assert (seats == level.size[first : first + room]).all() and set(level.free[first : first + room - t] - first) == set(np.flatnonzero(seats == 0))
+    assert (np.bincount(tables.pair, tables.two.tables, len(tables.one.room)) == tables.one.customers).all()
+
+
+def test_the_root_follows_its_shard():
+    """A shard that holds all of the corpus: its customers in the root are those of the moment, and predictions sum to one."""
+    rng = np.random.default_rng(2)
+    corpus, sent = little_corpus(), np.array([9, 7, 3, 2, 0])
+    root = pitman_yor.Root(sent + 5 * (sent > 0), np.minimum(sent, 4), sent, int((sent + 5 * (sent > 0)).sum()), int(np.minimum(sent, 4).sum()), 5)
+    tables = pitman_yor.Restaurants(*all_asked(corpus), root.predictions(), rng)
+    for _ in range(5):
+        tables.sweep()
+        root.seat(tables.sent(), rng)
+        tables.renew(root.predictions())
+        assert root.own.sum() == tables.one.tables.sum() and (root.t <= root.others + root.own).all()
+        unseen = root._odds() / (pitman_yor.STRENGTH[0] + root.customers + int(root.own.sum()))
+        assert root.predictions().sum() + unseen == pytest.approx(1)  # five words and the unseen one
+
+
 # --- packing -------------------------------------------------------------------------------------------------------
 
 
