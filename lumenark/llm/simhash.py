@@ -12,8 +12,8 @@ three bits in the first case and two in the second: of its 4 or 3 pieces one is
 
 `keep_one` drops near copies: texts whose fingerprints over five-word shingles say that the cosine of their sets of shingles is 0.8 or
 more (two SimHash bits differ with the probability of angle / pi; sets with a Jaccard similarity of 0.8 have a cosine of 0.89).
-That is a fifth of the bits, so these fingerprints are BITS long, and the grid is laid over many choices of
-segments of one bit; cells have log2(N) - SPARE of them, and there are as many choices as find a pair that
+That is a fifth of the bits, so these fingerprints are BITS long: vectors of BITS / 2 counts, of segments of two bits, and the grid is laid over
+many choices of them; a cell has as many counts as leave 2**SPARE of N texts in it by chance, and there are as many choices as find a pair that
 differs in as many bits as it may with the probability RECALL. Candidates are verified by the exact distance of their
 whole fingerprints, which go along with each cell. Only components are asked for: first, in ROUNDS, each text is linked to the nearest
 of its cells' representatives that it is not linked to yet, which joins a large group by few links; then all that is still
@@ -150,6 +150,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 #: Words of a shingle, and the least cosine of two near copies.
 COPY_SHINGLE, SIMILAR = 5, 0.8
 BITS = 512
+SEGMENTS = BITS // 2
 #: Differing bits of two near copies, at most.
 WITHIN = math.floor(BITS * math.acos(SIMILAR) / math.pi)
 #: Texts that share a cell by chance are 2**SPARE; a pair that differs in WITHIN bits is found with the probability RECALL.
@@ -183,13 +184,21 @@ def long_fingerprint(keys: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(keys), bitorder="little")
 
 
+def embedded(packed: np.ndarray) -> np.ndarray:
+    """Of fingerprints (rows of bytes) the counts of ones in their segments of two bits."""
+    fields = packed - ((packed >> 1) & 0x55)
+    return np.stack([(fields >> at) & 3 for at in (0, 2, 4, 6)], axis=-1).reshape(len(packed), SEGMENTS)
+
+
 def grids(n: int) -> np.ndarray:
-    """By row: the bits that make the cells of one choice of segments, for n texts."""
-    size = min(40, max(0, math.ceil(math.log2(max(n, 1))) - SPARE))
-    met = math.comb(BITS - WITHIN, size) / math.comb(BITS, size)
+    """By row: the segments that make the cells of one choice, for n texts."""
+    # Counts of unrelated texts are equal with the probability 3/8.
+    size = min(25, max(0, math.ceil((math.ceil(math.log2(max(n, 1))) - SPARE) / math.log2(8 / 3))))
+    # Counts of a pair are equal where no bit differs, or both do and there is one in each; j: segments of the second kind.
+    met = sum(math.comb(size, j) * math.comb(BITS - 2 * size, WITHIN - 2 * j) / 2**j for j in range(size + 1)) / math.comb(BITS, WITHIN)
     count = 1 if met == 1 else math.ceil(math.log(1 - RECALL) / math.log(1 - met))
     rng = np.random.default_rng(SEED)
-    return np.array([rng.choice(BITS, size, replace=False) for _ in range(count)], np.int64).reshape(count, size)
+    return np.array([rng.choice(SEGMENTS, size, replace=False) for _ in range(count)], np.int64).reshape(count, size)
 
 
 def _long_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +215,8 @@ def _cells(choices: np.ndarray):
         for batch in batches:
             n = batch.num_rows
             packed = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(n, BITS // 8)
-            bits = np.unpackbits(packed, axis=1, bitorder="little")
-            cell = (np.arange(count) << 40) + bits[:, choices.ravel()].reshape(n, count, size).astype(np.int64) @ (1 << np.arange(size, dtype=np.int64))
+            counts = embedded(packed)[:, choices.ravel()].reshape(n, count, size)
+            cell = (np.arange(count) << 40) + counts.astype(np.int64) @ 3 ** np.arange(size, dtype=np.int64)
             columns = [cell.ravel(), *(np.repeat(x, count) for x in (batch.column("id").to_numpy(), batch.column("root").to_numpy(), *packed.view(np.int64).T))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "id", "root", *WORDS])
 

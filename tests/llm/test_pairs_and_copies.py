@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -164,6 +165,30 @@ def test_bits_differ_by_the_angle():
     assert abs(differ - np.arccos(0.8) / np.pi) < 0.04
 
 
+def test_cells_are_of_counts_and_find_pairs():
+    """Segments whose bits change places keep their cells; a pair that differs in as many bits as it may shares one as often as RECALL says."""
+    rng = np.random.default_rng(7)
+    bits = rng.integers(0, 2, (400, simhash.BITS), np.uint8)
+    pack = lambda x: np.packbits(x, axis=1, bitorder="little")
+    counts = simhash.embedded(pack(bits))
+    assert (counts == bits.reshape(400, -1, 2).sum(-1)).all()
+    turned = bits.reshape(400, -1, 2)[:, :, ::-1].reshape(400, -1)
+
+    def cells(x):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(range(400)), pa.array([r.tobytes() for r in pack(x)], pa.binary())], ["id", "root", "bits"])
+        return next(simhash._cells(choices)(iter([batch]))).column("cell").to_numpy().reshape(400, -1)
+
+    choices = simhash.grids(200_000)
+    assert (cells(bits) == cells(turned)).all()
+    other = bits.copy()
+    for row in other:
+        row[rng.choice(simhash.BITS, simhash.WITHIN, replace=False)] ^= 1
+    assert (np.abs(simhash.embedded(pack(other)).astype(int) - counts).sum(1) <= simhash.WITHIN).all()
+    assert (cells(bits) == cells(other)).any(1).mean() > simhash.RECALL - 0.04
+    apart = (cells(bits) == cells(bits[::-1])).mean()  # by chance
+    assert apart < 2 * 2**simhash.SPARE / 200_000
+
+
 # --- sketches ----------------------------------------------------------------------------------------------
 
 
