@@ -21,7 +21,7 @@ done again with another seed.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from lumenark.llm.common import prepare, release, spool, whole_text
 
 WINDOW, ANCHOR = 13, 5
+#: Words of some texts that are handled at a time, about.
+TOGETHER = 1 << 15
 HOT = 1 << 16
 #: Seeds of the hashes that are tried before giving up.
 SEEDS = 8
@@ -84,29 +86,67 @@ class Ranges:
         return _mixed((total[size:] - total[:-size]) * up[: self.n - size + 1])
 
 
-def paths(ranges: Ranges) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First edge, end of edges, anchor's hash and path's hash of each path, in order; ranges has at least WINDOW words."""
+def paths(ranges: Ranges, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First edge, end of edges, anchor's hash and path's hash of each path, in order, and which text's it is; ranges holds the words of texts of
+    these sizes, one after another, and edges are numbered by their first words."""
+    ends = np.cumsum(sizes)
+    edges = np.maximum(sizes - WINDOW + 1, 0)
+    text = np.repeat(np.arange(len(sizes)), edges)
+    if not len(text):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), text
+    own = np.arange(len(text)) + np.repeat(ends - sizes - np.cumsum(edges) + edges, edges)
     grams = ranges.fixed(ANCHOR)
     wide = WINDOW - ANCHOR + 1
-    edges = ranges.n - WINDOW + 1
-    least, at = grams[:edges].copy(), np.arange(edges)
-    for k in range(1, wide):  # the first of equal hashes stays
-        other = grams[k : k + edges]
-        less = other < least
-        least[less] = other[less]
-        at[less] = np.flatnonzero(less) + k
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    end = np.append(first[1:], edges)
+    n = len(grams) - wide + 1
+    # The least from each gram on: of two, four, eight, and then of all nine.
+    least, span = grams, 1
+    while 2 * span <= wide:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    least = np.minimum(least[:n], least[wide - span :][:n])
+    # Where it stands first.
+    at = np.full(n, wide, np.int64)
+    for k in range(wide - 1, -1, -1):
+        at[grams[k : k + n] == least] = k
+    at = (at + np.arange(n))[own]
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
+    last = np.append(first[1:], len(own)) - 1
+    start, end, anchor = own[first], own[last] + 1, at[first]
     total, up = ranges.sums(0)
-    whole = (total[end + WINDOW - 1] - total[first]) * up[first]
-    shape = ((end - first) * 64 + at[first] - first).astype(np.uint64)
-    return first, end, grams[at[first]], _mixed(whole + shape * np.uint64(BASES[1]))
+    whole = (total[end + WINDOW - 1] - total[start]) * up[start]
+    shape = ((end - start) * 64 + anchor - start).astype(np.uint64)
+    return start, end, grams[anchor], _mixed(whole + shape * np.uint64(BASES[1])), text[first]
+
+
+def _together(rows: Iterable[tuple]) -> Iterator[tuple[list[tuple], list[bytes], np.ndarray]]:
+    """Rows that end with a text, some at a time: the rest of each, and the words of all with each text's number of them."""
+    kept, words, sizes = [], [], []
+    for *row, text in rows:
+        own = text.split()
+        if len(own) >= WINDOW:
+            kept.append(row)
+            sizes.append(len(own))
+            words += own
+            if len(words) >= TOGETHER:
+                yield kept, words, np.array(sizes)
+                kept, words, sizes = [], [], []
+    if kept:
+        yield kept, words, np.array(sizes)
 
 
 def _columns(batch: pa.RecordBatch, *names: str) -> zip:
     return zip(*(batch.column(n).cast(pa.binary()).to_pylist() if n == "text" else batch.column(n).to_pylist() for n in names))
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """first, size and source of the runs of each row, none if they are null."""
+    runs = batch.column("runs")
+    flat, ends = runs.flatten(), np.cumsum(runs.value_lengths().fill_null(0).to_numpy())
+    first, size, source = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "size", "source"))
+    for a, b in zip([0, *ends.tolist()], ends.tolist()):
+        yield first[a:b], size[a:b], source[a:b]
+
+
 def _signed(parts: list[np.ndarray]) -> pa.Array:
     return pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
 
@@ -114,16 +154,10 @@ def _signed(parts: list[np.ndarray]) -> pa.Array:
 def _anchors(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchors, hashes, places, spots = [], [], [], []
-            for place, spot, text in _columns(batch, "place", "spot", "text"):
-                words = text.split()
-                if len(words) >= WINDOW:
-                    _, _, anchor, path = paths(Ranges(words, seed))
-                    anchors.append(anchor)
-                    hashes.append(path)
-                    places.append(np.full(len(anchor), place, np.int64))
-                    spots.append(np.full(len(anchor), spot, np.int64))
-            yield pa.RecordBatch.from_arrays([_signed(anchors), _signed(hashes), _signed(places), _signed(spots)], ["anchor", "path", "place", "spot"])
+            for rows, words, sizes in _together(_columns(batch, "place", "spot", "text")):
+                _, _, anchor, path, text = paths(Ranges(words, seed), sizes)
+                place, spot = (np.array(c, np.int64)[text] for c in zip(*rows))
+                yield pa.RecordBatch.from_arrays([_signed([anchor]), _signed([path]), pa.array(place), pa.array(spot)], ["anchor", "path", "place", "spot"])
 
     return run
 
@@ -136,35 +170,29 @@ def _spans(seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[np.ndarray, ...]] = []
-            for place, spot, text, anchors, sources in _columns(batch, "place", "spot", "text", "anchors", "sources"):
-                words = text.split()
-                if len(words) < WINDOW:
-                    continue
+            for rows, words, sizes in _together(_columns(batch, "place", "spot", "anchors", "sources", "text")):
                 ranges = Ranges(words, seed)
-                first, end, anchor, _ = paths(ranges)
-                source = dict(zip(anchors, sources))  # null: it branches
-                known = [source.get(a, place) for a in anchor.view(np.int64).tolist()]
-                settled = np.array([s is not None and s < place for s in known])
-                branching = np.array([s is None for s in known])
-                for chosen, one_by_one in ((settled, False), (branching, True)):
-                    if not chosen.any():
-                        continue
-                    start, size = first[chosen], (end - first)[chosen]
-                    if one_by_one:
-                        start = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-                        size = np.ones(len(start), np.int64)
-                        e1, e2 = ranges.fixed(WINDOW)[start], ranges.fixed(WINDOW, 1)[start]
-                        own = np.zeros(len(start), np.int64)
-                    else:
-                        e1 = e2 = np.zeros(len(start), np.uint64)
-                        own = np.array([s for s, c in zip(known, chosen.tolist()) if c], np.int64)
-                    n = len(start)
-                    rows.append((np.full(n, place), np.full(n, spot), start.astype(np.int32), size.astype(np.int32), own, e1.view(np.int64), e2.view(np.int64), np.full(n, not one_by_one)))
-            if rows:
-                place, spot, start, size, own, e1, e2, none = (np.concatenate(c) for c in zip(*rows))
-                columns = [pa.array(place), pa.array(spot), pa.array(start), pa.array(size), pa.array(own, mask=~none), pa.array(e1, mask=none), pa.array(e2, mask=none)]
-                yield pa.RecordBatch.from_arrays(columns, ["place", "spot", "first", "size", "source", "e1", "e2"])
+                first, end, anchor, _, text = paths(ranges, sizes)
+                begin = np.cumsum(sizes) - sizes
+                place, spot = (np.array(c, np.int64)[text] for c in list(zip(*rows))[:2])
+                cut, hashes, known = np.searchsorted(text, np.arange(len(rows) + 1)).tolist(), anchor.view(np.int64).tolist(), []
+                for k, (own, _, anchors, sources) in enumerate(rows):
+                    source = dict(zip(anchors, sources))  # null: it branches
+                    known += [source.get(a, own) for a in hashes[cut[k] : cut[k + 1]]]
+                branching = np.array([x is None for x in known], bool)
+                source = np.array([0 if x is None else x for x in known], np.int64)
+                settled = ~branching & (source < place)
+                size = end - first
+                # The edges of branching paths, one by one.
+                each, count = np.flatnonzero(branching), size[branching]
+                edge = np.repeat(first[each] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                each = np.repeat(each, count)
+                of = np.concatenate([np.flatnonzero(settled), each])
+                none = np.arange(len(of)) < len(of) - len(each)
+                e1, e2 = (np.concatenate([np.zeros(none.sum(), np.int64), ranges.fixed(WINDOW, which)[edge].view(np.int64)]) for which in (0, 1))
+                start = np.concatenate([first[settled], edge]) - begin[text[of]]
+                columns = [place[of], spot[of], start.astype(np.int32), np.where(none, size[of], 1).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(source[of], mask=~none), pa.array(e1, mask=none), pa.array(e2, mask=none)], ["place", "spot", "first", "size", "source", "e1", "e2"])
 
     return run
 
@@ -175,15 +203,11 @@ def _quoted(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[int, int, bytes]] = []
-            for text, runs in _columns(batch, "text", "runs"):
-                words, spans = text.split(), []
-                for r in sorted(runs, key=lambda r: (r["source"], r["first"])):
-                    end = r["first"] + r["size"]
-                    if spans and spans[-1][0] == r["source"] and spans[-1][2] >= r["first"]:
-                        spans[-1][2] = max(end, spans[-1][2])
-                    else:
-                        spans.append([r["source"], r["first"], end])
-                for source, first, end in spans:
+            for (text,), (first, size, source) in zip(_columns(batch, "text"), _runs(batch)):
+                words, order = text.split(), np.lexsort((first, source))  # no two runs of a text have an edge in common
+                first, end, source = first[order], (first + size)[order], source[order]
+                new = np.flatnonzero(np.concatenate([[True], (source[1:] != source[:-1]) | (first[1:] > end[:-1])]))
+                for source, first, end in zip(source[new].tolist(), first[new].tolist(), end[np.append(new[1:], len(end)) - 1].tolist()):
                     edge = Ranges(words[first : first + WINDOW], seed).fixed(WINDOW).view(np.int64)
                     found.append((source, int(edge[0]), b" ".join(words[first : end + WINDOW - 1])))
             columns = list(zip(*found)) or [(), (), ()]
@@ -221,14 +245,11 @@ def _compared(seed: int):
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, gone, shas = [], [], []
-        for text, runs in _columns(batch, "text", "runs"):
+        for (text,), (first, size, _) in zip(_columns(batch, "text"), _runs(batch)):
             words = text.split()
             sizes.append(len(words))
-            if runs:
-                change = np.zeros(len(words) + 1, np.int64)
-                start = np.array([r["first"] for r in runs])
-                np.add.at(change, start, 1)
-                np.add.at(change, start + np.array([r["size"] for r in runs]) + WINDOW - 1, -1)
+            if len(first):
+                change = np.bincount(first, minlength=len(words) + 1) - np.bincount(first + size + WINDOW - 1, minlength=len(words) + 1)
                 covered = np.cumsum(change[:-1]) > 0
                 gone.append(int(covered.sum()))
                 words = [w for w, c in zip(words, covered.tolist()) if not c]

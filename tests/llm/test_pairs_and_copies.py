@@ -313,6 +313,23 @@ def test_edges_that_stand_apart_in_their_source_are_verified(documents):
     assert sorted((key(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_removed(rows)
 
 
+def test_texts_handled_together_have_paths_of_their_own():
+    """A text's anchors and paths are the same whatever stands before and after it, and a batch of many texts is hashed few times."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 6, n)).encode() for n in (13, 60, 5, 0, 14, 200, 12, 40)]
+
+    def anchors(rows):
+        batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([0] * len(rows)), pa.array([t.decode() for _, t in rows])], ["place", "spot", "text"])
+        return [r for out in substrings._anchors(0)(iter([batch])) for r in out.to_pylist()]
+
+    rows, made = list(enumerate(texts)), []
+    alone = [r for row in rows for r in anchors([row])]
+    whole, init = substrings.Ranges, substrings.Ranges.__init__
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(whole, "__init__", lambda self, words, seed=0: (made.append(len(words)), init(self, words, seed))[1])
+        assert anchors(rows) == alone and made == [sum(len(t.split()) for t in texts if len(t.split()) >= 13)]
+
+
 def test_spans_are_verified_at_their_source(documents, awkward, monkeypatch):
     """With a word hash of few values spans that differ are taken for equal; the comparison finds them, and another seed is tried."""
     rows = [*[r for r in awkward if r[0] != 40], (70, "a b " * 30), (71, "a b " * 20 + "c"), (72, " ".join(f"w{k}" for k in range(40))), (73, " ".join(f"v{k}" for k in range(40)) + " x")]
