@@ -6,8 +6,10 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -247,6 +249,37 @@ def test_sampler_agrees_with_one_that_moves_customers_in_turn():
     assert np.abs(mean - want).mean() < 0.004 and np.abs(mean - want).max() < 0.04, (np.abs(mean - want).mean(), np.abs(mean - want).max())
 
 
+def test_hashes_tell_words_apart():
+    """By the words of a plain tokenizer, across blocks of bytes and with words longer than one."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aAbB zZ\t\n\r\v\fé漢 ") for _ in range(rng.randint(0, 300))).encode() for _ in range(1500)]
+    texts += [b"x" * 70_000 + b" y " + b"X" * 70_000, b"", b"q" * 65_536, b"q" * 65_535 + b" q", b"q" * 65_535]
+    hashes, sizes = pitman_yor._hashed(texts)
+    want = [[*(w.decode(errors="replace") for w in tokens(t.decode()))] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    pairs = set(zip([w for own in want for w in own], hashes.tolist()))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+
+
+def test_no_shard_has_much_more_than_its_share(monkeypatch):
+    """Words just too rare for buckets lie in shards that other words leave room in: with them a shard had up to twice its tokens, and as much memory."""
+    monkeypatch.setattr(pitman_yor, "SHARD", 8192)
+    monkeypatch.setattr(pitman_yor, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(5)
+    common = [f"common{i}" for i in range(5)]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.4 else f"w{int(rng.random() ** 2 * 4000)}" for _ in range(400)) for _ in range(240)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "held_out": [False] * len(texts), "text": texts})
+    found = dict(zip(*(c.to_pylist() for c in next(pitman_yor._commonest(iter([batch]))).columns)))
+    total, shards = found.pop(0), -(-found[int(pitman_yor.START.view(np.int64))] * 401 // 8192)
+    assert total == 240 * 401
+    homes = pitman_yor._homes([(k % (1 << 64), n) for k, n in found.items() if n > 8192 // 16], total, shards)
+    sizes = Counter()
+    for dealt in pitman_yor._deal(shards, *homes)(iter([batch])):
+        for shard, kind, data in zip(*(dealt.column(c).to_pylist() for c in ("shard", "kind", "data"))):
+            sizes[shard] += 0 if kind else len(pitman_yor._unpacked(data)[5])
+    assert sum(sizes.values()) == total and len(sizes) == shards and max(sizes.values()) < 1.25 * total / shards
+
+
 def test_shards_and_buckets_change_no_counts(documents, awkward, monkeypatch):
     """Small shards and chunks, common words in buckets: the same texts, tokens and base scores, and scores that make sense."""
     whole = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in pitman_yor.score_documents(documents(awkward)).collect())
