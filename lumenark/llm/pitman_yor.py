@@ -49,10 +49,13 @@ START = np.uint64(0x9E3779B97F4A7C15)  # before its first
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")
 #: Of each task the commonest words are looked at to find those that need several restaurants.
 COMMONEST, SLICE = 4096, 1 << 16
+ZSTD = pa.Codec("zstd", 1)
+#: Dishes for which arrays don't pay, at most.
+SINGLE = 16
 #: Dishes that move side by side, at least.
 FEW = 48
-#: Customers who look for a table, above which each draws one lot at a time.
-LOTS = 1024
+#: Lots that customers who look for a table draw at a time, about, but one to 16 each.
+LOTS = 2048
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -165,15 +168,21 @@ def _commonest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    return b"".join(struct.pack("<cI", a.dtype.char.encode(), len(a)) + a.tobytes() for a in arrays)
+    """Arrays one after another, of each all first bytes, then all second ones and so on, compressed."""
+    data = b"".join(struct.pack("<cI", a.dtype.char.encode(), len(a)) + np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1 if len(a) else 1).T).tobytes() for a in arrays)
+    return struct.pack("<Q", len(data)) + ZSTD.compress(data, asbytes=True)
 
 
-def _unpacked(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(data):
+def _unpacked(packed: bytes | pa.Buffer) -> list[np.ndarray]:
+    packed = pa.py_buffer(packed)
+    (size,) = struct.unpack_from("<Q", packed)
+    data, out, at = ZSTD.decompress(packed.slice(8), size), [], 0
+    while at < size:
         kind, n = struct.unpack_from("<cI", data, at)
-        out.append(np.frombuffer(data, kind.decode(), n, at + 5))
-        at += 5 + out[-1].nbytes
+        dtype = np.dtype(kind.decode())
+        planes = np.frombuffer(data, np.uint8, n * dtype.itemsize, at + 5)
+        out.append(np.ascontiguousarray(planes.reshape(dtype.itemsize, n).T).view(dtype).reshape(n))
+        at += 5 + planes.nbytes
     return out
 
 
@@ -293,6 +302,8 @@ class Level:
 
     def remove(self, dishes: np.ndarray) -> np.ndarray:
         """A customer of each of different dishes gets up; whether its table closes."""
+        if len(dishes) <= SINGLE:
+            return np.array([self.remove_one(dish) for dish in dishes.tolist()], bool)
         first, n = self.first[dishes], self.customers[dishes]
         place = first + (self.rng.random(len(dishes)) * n).astype(np.int32)
         table = self.seat[place]
@@ -310,6 +321,8 @@ class Level:
 
     def add(self, dishes: np.ndarray, parent: np.ndarray) -> np.ndarray:
         """A customer sits down at each of different dishes, of which parent holds the parent's prediction; whether at a new table."""
+        if len(dishes) <= SINGLE:
+            return np.array([self.add_one(dish, p) for dish, p in zip(dishes.tolist(), parent.tolist())], bool)
         first, n, tables, of = self.first[dishes], self.customers[dishes], self.tables[dishes], self.context[dishes]
         new = (self.strength + self.discount * self.all_tables[of]) * parent
         opened = (n == 0) | (self.rng.random(len(dishes)) * (new + n - self.discount * tables) < new)
@@ -319,7 +332,7 @@ class Level:
         table[came] = self.free[first[came] + self.room[taken] - count - 1]
         left = np.flatnonzero(~opened & (tables > 1))
         while len(left):  # a table in proportion to its customers, taken with (customers - discount) / customers; the first taken of some
-            lots = self.rng.random((2, len(left), 1 if len(left) > LOTS else 16))
+            lots = self.rng.random((2, len(left), min(16, LOTS // len(left) + 1)))
             found = self.seat[first[left, None] + (lots[0] * n[left, None]).astype(np.int32)]
             size = self.size[found]
             fits = (lots[1] * size < size - self.discount) | (tables[left] == n[left])[:, None]  # tables of one customer are all alike
@@ -333,6 +346,39 @@ class Level:
         np.add.at(self.all_tables, of[came], 1.0)
         return opened
 
+    def remove_one(self, dish: int) -> bool:
+        first, n, seat = self.first.item(dish), self.customers.item(dish), self.seat
+        place = first + int(self.rng.random() * n)
+        table = seat.item(place)
+        seat[place] = seat[first + n - 1]
+        self.customers[dish] = n - 1
+        self.size[table] = size = self.size.item(table) - 1
+        if not size:
+            tables = self.tables.item(dish)
+            self.free[first + self.room.item(dish) - tables] = table
+            self.tables[dish] = tables - 1
+            self.all_tables[self.context.item(dish)] -= 1
+        return not size
+
+    def add_one(self, dish: int, parent: float) -> bool:
+        first, n, tables, of, chance = self.first.item(dish), self.customers.item(dish), self.tables.item(dish), self.context.item(dish), self.rng.random
+        new = (self.strength + self.discount * self.all_tables.item(of)) * parent
+        opened = not n or chance() * (new + n - self.discount * tables) < new
+        if opened:
+            table = self.free.item(first + self.room.item(dish) - tables - 1)
+            self.tables[dish] = tables + 1
+            self.all_tables[of] += 1
+        else:
+            while True:
+                table = self.seat.item(first + int(chance() * n))
+                size = self.size.item(table)
+                if tables == 1 or tables == n or chance() * size < size - self.discount:
+                    break
+        self.seat[first + n] = table
+        self.size[table] += 1
+        self.customers[dish] = n + 1
+        return opened
+
     def move(self, dish: int, customers: int, parent: Callable[[int], float]) -> None:
         """Customers of one dish get up and sit down one after another. parent(1), (-1) or (0): the parent's prediction, after a customer came to it, left it or neither."""
         first, room, n, tables, of = (int(x) for x in (self.first[dish], self.room[dish], self.customers[dish], self.tables[dish], self.context[dish]))
@@ -371,10 +417,25 @@ class Level:
         return (self.customers[dishes] - self.discount * self.tables[dishes] + new * parent) / (self.strength + self.all_customers[of])
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As np.unique with the inverse; where a key and its place fit 64 bits, they are sorted as one number, which is faster."""
+    bits = np.uint64(max(1, len(keys) - 1).bit_length())
+    if not len(keys) or int(keys.max()) >> (64 - int(bits)):
+        keys, number = np.unique(keys, return_inverse=True)
+        return keys, number.astype(np.int32)
+    placed = np.sort((keys.astype(np.uint64) << bits) + np.arange(len(keys), dtype=np.uint64))
+    place = (placed & np.uint64((1 << int(bits)) - 1)).astype(np.int32)
+    placed >>= bits
+    new = np.concatenate([[False], placed[1:] != placed[:-1]])
+    number = np.empty(len(keys), np.int32)
+    number[place] = np.cumsum(new, dtype=np.int32)
+    new[0] = True
+    return placed[new].astype(keys.dtype), number
+
+
 def _numbered(keys: np.ndarray, first: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and of each key its number among them; those come first that first() marks, of (distinct keys, numbers)."""
-    keys, number = np.unique(keys, return_inverse=True)
-    number = number.astype(np.int32)
+    keys, number = _distinct(keys)
     order = np.argsort(~first(keys, number), kind="stable")
     place = np.empty(len(keys), np.int32)
     place[order] = np.arange(len(keys), dtype=np.int32)
@@ -418,6 +479,8 @@ class Restaurants:
 
     def _send(self, pairs: np.ndarray, change: np.ndarray) -> None:
         """Customers come to pairs or leave them, which may repeat."""
+        if not len(pairs):
+            return
         pairs, at = np.unique(pairs, return_inverse=True)
         change = np.bincount(at, change, len(pairs)).astype(np.int64)
         while (fewer := change < 0).any():
@@ -429,17 +492,18 @@ class Restaurants:
             self.one.come(pairs[more], 1)
             change[more] -= 1
 
-    def _parent(self, pair: np.ndarray) -> Callable[[int], float]:
+    def _parent(self, pair: int) -> Callable[[int], float]:
         """The prediction of one pair, see Level.move."""
+        one, base, of = self.one, self.base.item(pair), self.one.context.item(pair)
 
         def changed(customers: int) -> float:
             if customers < 0:
-                self.one.remove(pair)
-                self.one.come(pair, -1)
+                one.remove_one(pair)
             elif customers:
-                self.one.add(pair, self.base[pair])
-                self.one.come(pair, 1)
-            return float(self.one.predictions(self.base[pair], pair)[0])
+                one.add_one(pair, base)
+            one.all_customers[of] += customers
+            new = one.strength + one.discount * one.all_tables.item(of)
+            return (one.customers.item(pair) - one.discount * one.tables.item(pair) + new * base) / (one.strength + one.all_customers.item(of))
 
         return changed
 
@@ -455,7 +519,7 @@ class Restaurants:
             moved += 1
             step = step[two.customers[step] > moved]
         for dish in step.tolist():
-            two.move(dish, int(two.customers[dish]) - moved, self._parent(self.pair[dish : dish + 1]))
+            two.move(dish, int(two.customers[dish]) - moved, self._parent(self.pair.item(dish)))
         step, moved = np.flatnonzero(one.customers >= 2), 0
         while len(step) >= FEW:
             one.remove(step)
@@ -614,9 +678,15 @@ def _scored(customers: int, all_tables: int, vocabulary: int):
             scores, bases, is_known, at = np.log10(mean), np.log10(counts + 1.0), counts > 0, 0
             for chunk, own in texts:
                 part = slice(at, at := at + len(own))
-                which, place = np.unique(own >> 1, return_inverse=True)
-                sums = (np.bincount(place, of[number[part]], len(which)) for of, number in ((scores, triple_of), (bases, w), (is_known, w)))
-                score, base, n = sums
+                place = own >> 1
+                if int(place.max()) < 4 * len(place):  # most texts have a token here
+                    which = np.flatnonzero(np.bincount(place))
+                    numbers = np.zeros(int(which[-1]) + 1, np.int32)
+                    numbers[which] = np.arange(len(which))
+                    place = numbers[place]
+                else:
+                    which, place = _distinct(place)
+                score, base, n = (np.bincount(place, of[number[part]], len(which)) for of, number in ((scores, triple_of), (bases, w), (is_known, w)))
                 rows.append((chunk, 0, _packed(_short(which), score.astype(np.float32), base, _short(n))))
         columns = list(zip(*rows)) or [(), (), ()]
         return pa.table({"chunk": pa.array(columns[0], pa.int64()), "kind": pa.array(columns[1], pa.int32()), "data": pa.array(columns[2], pa.binary())})
