@@ -79,15 +79,6 @@ def spool(df: DataFrame) -> DataFrame:
     return kept_till_exit(df, f"{df.sparkSession.sparkContext.getCheckpointDir()}/spool-{uuid.uuid4().hex}")
 
 
-def discard(*spooled: DataFrame) -> None:
-    """Delete tables that spool() made and nothing reads any more."""
-    for df in spooled:
-        jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
-        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-            place = jvm.org.apache.hadoop.fs.Path(folder)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more; it learns of them
     when the driver collects its garbage, which may be long after a spool() has made them useless."""
