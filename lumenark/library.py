@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lumenark.functions import scalar as S
 from lumenark.operators import clusters, dedupe, drives, jobs, maintenance, search, sinks, staging, trips
 from lumenark.sources import inventory, schema
+from lumenark.sources.durable import checkpointed
 
 TABLES = {
     "files": schema.FILES, "media_metadata": schema.METADATA, "vision_tags": schema.VISION_TAGS, "captions": schema.CAPTIONS, "embeddings": schema.EMBEDDINGS, "faces": schema.FACES,
@@ -116,7 +117,8 @@ class Library:
     def near_duplicates(self, threshold: float = clusters.R.NEAR_DUPLICATE) -> DataFrame:
         """Members of clusters inside a trip, the shot to keep at place 1."""
         vectors = self["embeddings"].select(F.col("file_id").alias("id"), "vec").join(self.files.select("id", F.col("trip").alias("block")), "id", "left")
-        found = clusters.components(vectors, clusters.similar_links(vectors, threshold))
+        vectors = checkpointed(vectors)  # read several times on the way; the files' plan is long
+        found = clusters.components(vectors, clusters.similar_stars(vectors, threshold))
         about = self.files.select("id", "file_name", F.col("full_path").alias("known_path"), F.lower("extension").alias("known_extension"), F.col("file_size").alias("size"), (F.col("width") * F.col("height")).alias("pixels"))
         named = found.join(self["embeddings"].select(F.col("file_id").alias("id"), "full_path"), "id").join(about, "id", "left")
         # Vectors from outside the inventory have their path only.

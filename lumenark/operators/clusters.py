@@ -90,6 +90,7 @@ def _meetings(vectors: DataFrame, threshold: float, tile: int) -> DataFrame:
     theta = F.acos(F.least(F.lit(1.0), F.lit(float(threshold)) / (F.col("longest") * F.col("longest")))) + ROUNDING if threshold > 0 else F.lit(np.pi)
     blocks = rows.groupBy("block").agg(F.count("*").alias("n"), F.max(norm).alias("longest")).withColumn("theta", F.coalesce(F.nanvl(theta, F.lit(np.pi)), F.lit(np.pi)))
     blocks = blocks.select("block", "n", "theta", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"), F.when(F.col("n") > tile, F.least(F.lit(PIVOTS), F.ceil(F.greatest(F.sqrt("n"), F.col("n") / SHARE)))).otherwise(0).cast("int").alias("pivots"), F.ceil(F.col("n") / tile_of).alias("tiles"))
+    blocks = checkpointed(blocks)  # a row each, used in many places: without this the plan holds what vectors are made of as many times
     dealt = rows.join(blocks, "block").withColumn("slice", F.expr("cast(pmod(xxhash64(id), slices) AS int)"))
     sample = dealt.filter((F.col("pivots") > 0) & (F.expr("pmod(xxhash64(id, 7), 1000000)") < F.col("pivots") * (SAMPLE * 1e6) / F.col("n")))
     chosen = sample.select("block", "id", "vec", "theta", "pivots", "tiles").groupBy("block").applyInPandas(_choose_pivots, "block string, cell int, pivot array<double>")
@@ -98,6 +99,7 @@ def _meetings(vectors: DataFrame, threshold: float, tile: int) -> DataFrame:
     # A block whose vectors would visit many cells is one cell: then little can be left out, and tiles cost less.
     spent = placed.groupBy("block").agg(F.sum(F.size("visits")).alias("visits"))
     blocks = blocks.join(spent, "block").select("block", "theta", (F.col("visits") > F.col("n") * F.greatest("tiles", F.least(F.lit(VISITS), F.floor(F.col("pivots") / 4)))).alias("dense"))
+    blocks = checkpointed(blocks)
     cells = placed.groupBy("block", "cell").agg(F.min("angle").alias("least"), F.max("angle").alias("radius"))
     known = placed.join(blocks, "block")
     residents = known.select("block", F.when(F.col("dense"), 0).otherwise(F.col("cell")).alias("cell"), "id", "vec", F.when(F.col("dense"), 0.0).otherwise(F.col("angle")).alias("angle"), "theta", F.lit(True).alias("resident"))
@@ -157,8 +159,9 @@ def similar_pairs(vectors: DataFrame, threshold: float = R.NEAR_DUPLICATE, tile:
     return _meetings(vectors, threshold, tile).groupBy("block", "cell", "lo", "hi").applyInPandas(pairs, "block string, a long, b long, score double")
 
 
-def _forest(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """(a, b): pairs of a meeting, one fewer than vectors at most, that reach all that its pairs reach."""
+def _joined(frame: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """A meeting's ids in order, for each the place of the least id that its pairs reach, and pairs, one fewer than vectors at most, that
+    reach as much."""
     ids = np.unique(frame["id"].to_numpy())
     label, edges = np.arange(len(ids)), []
     for found, _ in _products(frame, threshold):
@@ -178,7 +181,19 @@ def _forest(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
         for k in parent:
             to[k] = _root(parent, k)
         label = to[label]
-    return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
+    return ids, label, edges
+
+
+def _forest(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(a, b): pairs of a meeting, one fewer than vectors at most, that reach all that its pairs reach."""
+    return pd.DataFrame(_joined(frame, threshold)[2], columns=["a", "b"], dtype=np.int64)
+
+
+def _stars(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(a, b): the least id that the pairs of a meeting reach from b, where it is another."""
+    ids, label, _ = _joined(frame, threshold)
+    own = np.flatnonzero(label != np.arange(len(ids)))
+    return pd.DataFrame({"a": ids[label[own]], "b": ids[own]})
 
 
 def _root(parent: dict[int, int], k: int) -> int:
@@ -191,7 +206,7 @@ def _root(parent: dict[int, int], k: int) -> int:
 
 
 def similar_links(vectors: DataFrame, threshold: float = R.NEAR_DUPLICATE, tile: int = TILE) -> DataFrame:
-    """(a, b): of similar_pairs() as many as reach all that all of them reach; what components() needs.
+    """(a, b): of similar_pairs() as many as reach all that all of them reach.
 
     All vectors meet as there, and each meeting hands on a spanning forest of its pairs: fewer rows than it has vectors,
     however many pairs there are.
@@ -203,6 +218,18 @@ def similar_links(vectors: DataFrame, threshold: float = R.NEAR_DUPLICATE, tile:
     return _meetings(vectors, threshold, tile).groupBy("block", "cell", "lo", "hi").applyInPandas(links, "a long, b long")
 
 
+def similar_stars(vectors: DataFrame, threshold: float = R.NEAR_DUPLICATE, tile: int = TILE) -> DataFrame:
+    """(a, b), a < b: reaches all that similar_pairs() reaches, and is as small as similar_links(), but b's a is the least id that its meeting
+    reaches from b, alike to it or not. Trees are then one step deep in each meeting, so components() needs few rounds; those of
+    similar_links() may be deep, and each round costs the driver a plan, its code and its broadcasts.
+    """
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        return _stars(frame, threshold)
+
+    return _meetings(vectors, threshold, tile).groupBy("block", "cell", "lo", "hi").applyInPandas(links, "a long, b long")
+
+
 def products(vectors: DataFrame, threshold: float = R.NEAR_DUPLICATE, tile: int = TILE) -> DataFrame:
     """(block, vectors, products): how many products similar_pairs makes in a block, beside those with pivots."""
 

@@ -1,6 +1,7 @@
 """The index of angles against all pairs, on vectors in clusters, vectors without any, hot blocks and odd ones."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lumenark.operators import clusters
@@ -108,3 +109,37 @@ def test_links_reach_what_pairs_reach(spark, monkeypatch, meet, visits):
     got = {r.id: r.component for r in clusters.components(df, links).collect()}
     want = {r.id: r.component for r in clusters.components(df, spark.createDataFrame(list(pairs), "a long, b long")).collect()}
     assert got == want and len(set(want.values())) > 40
+
+
+@pytest.mark.parametrize(("meet", "visits"), [(16, 0), (16384, 32)])
+def test_stars_reach_what_pairs_reach(spark, monkeypatch, meet, visits):
+    """Chains of vectors, whose trees of pairs are deep: in one meeting each leads to its least id at once."""
+    _shifted(spark, monkeypatch, meet, visits)
+    turn = np.linspace(0, 3, 120)
+    chain = np.stack([np.cos(turn), np.sin(turn)], axis=1)[np.random.default_rng(6).permutation(120)]
+    rows = listed(chain) + listed([scenes(1, 1)[0]] * 80, "copies", 2000) + [(3000, "t", None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    links = clusters.similar_stars(df, 0.999, 16).collect()
+    got = {r.id: r.component for r in clusters.components(df, spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(120), 0), **dict.fromkeys(range(2000, 2080), 2000), 3000: 3000}
+    frame = pd.DataFrame({"lo": 0, "hi": 0, "t": 0, "id": range(120), "vec": list(chain), "angle": 0.0, "resident": True, "theta": 3.2})
+    found = clusters._stars(frame, 0.999)
+    assert found["a"].tolist() == [0] * 119 and found["b"].tolist() == list(range(1, 120))
+
+
+def test_plans_of_near_duplicates_stay_short(spark, monkeypatch):
+    """The files' plan stood in the pairs' plan once for each use of the vectors, and the driver ran out of memory."""
+    from lumenark.library import Library
+    from lumenark.sources import schema
+
+    seen, components, rounds = [], clusters.components, []
+    monkeypatch.setattr(clusters, "components", lambda nodes, links: seen.append(links) or components(nodes, links))
+    checkpoint = type(spark.range(1)).checkpoint
+    turn = np.linspace(0, 3, 120)
+    chain = np.stack([np.cos(turn), np.sin(turn)], axis=1)[np.random.default_rng(6).permutation(120)].tolist()
+    vectors = spark.createDataFrame([(k, f"/x/{k}.jpg", v) for k, v in enumerate(chain)], schema.EMBEDDINGS)
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda self, *a, **k: rounds.append(1) or checkpoint(self, *a, **k))
+    assert {r.component for r in Library(spark, {"embeddings": vectors}).near_duplicates(0.999).select("component").collect()} == {0}
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and plan.count("\n") < 100
+    assert len(rounds) <= 9
