@@ -13,11 +13,12 @@ three bits in the first case and two in the second: of its 4 or 3 pieces one is
 `keep_one` drops near copies: texts whose fingerprints over five-word shingles say that the cosine of their sets of shingles is 0.8 or
 more (two SimHash bits differ with the probability of angle / pi; sets with a Jaccard similarity of 0.8 have a cosine of 0.89).
 That is a fifth of the bits, so these fingerprints are BITS long: vectors of BITS / 2 counts, of segments of two bits, and the grid is laid over
-many choices of them; a cell has as many counts as leave 2**SPARE of N texts in it by chance, and there are as many choices as find a pair that
-differs in as many bits as it may with the probability RECALL. Candidates are verified by the exact distance of their
+many choices of them; a cell has as many counts as leave 2**SPARE of N texts in it by chance, and there would be as many choices as find a pair that
+differs in as many bits as it may with the probability RECALL; FIRST of them are used. Candidates are verified by the exact distance of their
 whole fingerprints, which go along with each cell. Only components are asked for: first, in ROUNDS, each text is linked to the nearest
-of its cells' representatives that it is not linked to yet, which joins a large group by few links; then all that is still
-apart is compared, where a cell's largest known group is not compared within itself.
+of its cells' representatives that it is not linked to yet, which joins a large group by few links. Cells may miss a pair, and at a fifth of the
+bits no choice of pieces is sure to find all; so then all texts meet, tile by tile, and all that is still apart is compared: every link is found, and the
+work of this step grows with the square of the number of texts. A large known group is not compared within itself.
 
 Equal fingerprints, or texts, are one node, so copies never meet in pairs. Components come from alternating
 star contraction over the links, checkpointed each round.
@@ -160,6 +161,10 @@ SPARE, RECALL = 10, 0.95
 ROUNDS, FIRST, DRAWN = 2, 8, (2, 32)
 #: Texts of a group known to be linked, from which on it is left out of comparisons within itself.
 BIG = 64
+#: Texts of a tile at most where all meet, and tiles at least (where they have some 1,024 texts), for tasks to share the work.
+TILE, TILES = 1 << 18, 16
+#: Texts of two tiles that are compared at once.
+ROWS, COLUMNS = 16, 2048
 #: The fingerprint as longs.
 WORDS = [f"w{k}" for k in range(BITS // 64)]
 CELLS = ", ".join(f"{c} long" for c in ("cell", "id", "root", *WORDS))
@@ -237,8 +242,82 @@ def _nearest(asked: DataFrame, drawn_from: DataFrame, number: int) -> DataFrame:
     return best.selectExpr("least(id, o.id) AS a", "greatest(id, o.id) AS b").distinct()
 
 
+def _joined(lo: int, hi: int, t: np.ndarray, ids: np.ndarray, roots: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
+    """(a, b): near copies of texts of tile lo and tile hi (t: each one's tile; words: their fingerprints, a row for each word) that join groups
+    which roots, and the pairs before, leave apart.
+
+    All pairs are looked at but those within a group of BIG or more: the first half of the words shows of nearly all others that they differ in
+    too many bits.
+    """
+    order = np.lexsort((ids, roots))
+    left, right = order[t[order] == lo], order[t[order] == hi]
+    distinct, group = np.unique(roots, return_inverse=True)
+    x, y = words[:, left], words[:, right]
+    own, other = group[left], group[right]
+    label, out, half = np.arange(len(distinct)), [], len(words) // 2
+    buf, ones, acc = (np.empty((ROWS, COLUMNS), kind) for kind in (np.uint64, np.uint8, np.uint8))
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal label
+        some = label[own[i]] != label[other[j]]
+        i, j = i[some], j[some]
+        some = np.bitwise_count(x[:, i] ^ y[:, j]).sum(axis=0, dtype=np.int64) <= WITHIN
+        i, j = i[some], j[some]
+        if not len(i):
+            return
+        p, q = label[own[i]], label[other[j]]
+        _, once = np.unique(np.minimum(p, q) * len(label) + np.maximum(p, q), return_index=True)
+        to = np.arange(len(label))
+        for k, m, n in zip(once.tolist(), p[once].tolist(), q[once].tolist()):
+            while to[m] != m:
+                to[m] = m = to[to[m]]
+            while to[n] != n:
+                to[n] = n = to[to[n]]
+            if m != n:
+                to[max(m, n)] = min(m, n)
+                out.append((int(ids[left[i[k]]]), int(ids[right[j[k]]])))
+        while (to != to[to]).any():
+            to = to[to]
+        label = to[label]
+
+    for begin in range(0, len(left), ROWS):
+        end = min(begin + ROWS, len(left))
+        spans = [(begin if lo == hi else 0, len(right))]
+        if own[begin] == own[end - 1]:  # rows are sorted by their groups
+            first, last = np.searchsorted(other, own[begin], "left"), np.searchsorted(other, own[begin], "right")
+            if last - first >= BIG:
+                spans = [(spans[0][0], first), (max(last, spans[0][0]), len(right))]
+        for start, stop in spans:
+            for at in range(start, stop, COLUMNS):
+                upto = min(at + COLUMNS, stop)
+                b, o, s = (z[: end - begin, : upto - at] for z in (buf, ones, acc))
+                s[...] = 0
+                for k in range(half):
+                    np.bitwise_xor(x[k, begin:end, None], y[k, at:upto], out=b)
+                    np.add(s, np.bitwise_count(b, out=o), out=s)  # 256 of 256 becomes 0, which join() looks into
+                i, j = np.divmod(np.flatnonzero(s <= WITHIN), upto - at)
+                if len(i):
+                    join(i + begin, j + at)
+    return out
+
+
+def _meeting(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    words = np.stack([table.column(w).to_numpy().view(np.uint64) for w in WORDS])
+    found = _joined(key[0].as_py(), key[1].as_py(), *(table.column(c).to_numpy() for c in ("t", "id", "root")), words)
+    return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
+
+
+def _apart_links(rows: DataFrame, n: int) -> DataFrame:
+    """(a, b): near copies among texts (rows of CELLS, one for each; n or fewer), enough of them to link, with the links that root stands
+    for, all that are. Tiles of texts meet in tasks of their own, each two once."""
+    tiles = max(math.ceil(n / TILE), min(TILES, math.ceil(n / 1024)), 1)
+    dealt = rows.drop("cell").withColumn("t", F.expr(f"cast(pmod(xxhash64(id, {SEED}), {tiles}) AS int)"))
+    met = dealt.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumns({"lo": F.least("t", "u"), "hi": F.greatest("t", "u")}).drop("u")
+    return met.groupBy("lo", "hi").applyInArrow(_meeting, "a long, b long")
+
+
 def near_copies(texts: DataFrame, n: int) -> DataFrame:
-    """(a, b): near copies among texts (id, text; n rows), enough of them to link all found, directly or over others."""
+    """(a, b): near copies among texts (id, text; n rows), enough of them to link all that are, directly or over others."""
     prints = spool(texts.mapInArrow(_long_fingerprints, "id long, bits binary").dropDuplicates(["id"]))
     choices = grids(n)
     columns = ("id", "root", "bits")
@@ -254,17 +333,11 @@ def near_copies(texts: DataFrame, n: int) -> DataFrame:
         release(texts.sparkSession)
         links = cut(links.unionByName(found))
 
+    # What no cell has brought together may still be alike: all texts meet, each two once.
     roots = cut(components(links))
     release(texts.sparkSession)
-    big = roots.groupBy("root").agg(F.count("*").alias("members")).filter(f"members >= {BIG}").select("root")
     placed = prints.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "bits")
-    crowd = placed.join(big, "root", "left_semi").select(*columns).mapInArrow(_cells(choices), CELLS)
-    crowd = crowd.groupBy("cell", "root").agg(F.count("*").alias("members")).groupBy("cell").agg(F.max(F.struct("members", "root")).getField("root").alias("most"))
-    entries = placed.mapInArrow(_cells(choices), CELLS)
-    asked = entries.join(crowd, "cell", "left").filter("most IS NULL OR root <> most")
-    other = entries.selectExpr("cell", "id AS o_id", "root AS o_root", *(f"{w} AS o_{w}" for w in WORDS))
-    met = asked.hint("merge").join(other, "cell").filter(f"root <> o_root AND (id < o_id OR o_root = most) AND {_apart('o_')} <= {WITHIN}")
-    rest = cut(met.selectExpr("least(id, o_id) AS a", "greatest(id, o_id) AS b").distinct())
+    rest = cut(_apart_links(placed.mapInArrow(_cells(choices[:1, :0]), CELLS), n))
     release(texts.sparkSession)
     return links.unionByName(rest)
 

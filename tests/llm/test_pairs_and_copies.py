@@ -157,6 +157,59 @@ def test_the_pipeline_drops_near_copies(documents, awkward, monkeypatch, spare,
     assert simhash.keep_one(documents([])).count() == 0
 
 
+@pytest.mark.parametrize("tile, big", [(1 << 18, 64), (40, 3)])  # all in one tile; tiles that meet
+def test_near_copies_that_share_no_cell_are_linked(documents, monkeypatch, tile, big):
+    """One choice of 25 counts: nearly all near copies lie in different cells."""
+    for name, value in (("SPARE", -40), ("RECALL", 1e-9), ("TILE", tile), ("BIG", big)):
+        monkeypatch.setattr(simhash, name, value)
+    rng, texts = np.random.default_rng(9), {}
+    for k in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 9999, 200)]
+        for copy in range(14):
+            changed = list(words)
+            for at in rng.choice(200, copy, replace=False):
+                changed[at] = f"new{k}.{copy}.{at}"
+            texts[100 * k + copy] = " ".join(changed)
+    bits, label = {i: long_bits(t) for i, t in texts.items()}, {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if j < i and label[i] != label[j] and (bits[i] ^ bits[j]).bit_count() <= 104:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if x == high else x for k, x in label.items()}
+    assert simhash.grids(len(texts)).shape == (1, 25) and len(set(label.values())) < 100
+    assert sorted(r.doc_id for r in simhash.keep_one(documents(list(texts.items()))).collect()) == sorted(set(label.values()))
+
+
+def test_meetings_find_all_that_is_apart(monkeypatch):
+    """Against all pairs: words that cancel out, groups known before, borders of blocks."""
+    for name, value in (("ROWS", 4), ("COLUMNS", 8), ("BIG", 5)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(10)
+    bits = np.repeat(rng.integers(0, 2, (12, simhash.BITS), np.uint8), 8, axis=0)
+    for row in bits:
+        row[rng.choice(simhash.BITS, rng.integers(0, 90), replace=False)] ^= 1
+    bits[90] = bits[91] ^ 1  # all bits differ
+    words = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).T.copy()
+    ids = rng.permutation(96) * 3 - 50
+    roots = np.where(np.arange(96) < 24, ids[np.arange(96) // 8 * 8], ids)
+    close = (bits[:, None] != bits).sum(-1) <= simhash.WITHIN
+
+    def groups(pairs):
+        label = dict(zip(ids.tolist(), roots.tolist()))
+        for a, b in pairs:
+            old, new = label[a], label[b]
+            label = {k: new if x == old else x for k, x in label.items()}
+        return {frozenset(k for k, x in label.items() if x == y) for y in label.values()}
+
+    t = rng.integers(0, 3, 96)
+    found = [p for lo in range(3) for hi in range(lo, 3) for m in [(t == lo) | (t == hi)] for p in simhash._joined(lo, hi, t[m], ids[m], roots[m], words[:, m])]
+    place = {k: n for n, k in enumerate(ids.tolist())}
+    assert all(close[place[a], place[b]] for a, b in found)
+    want = groups((int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(close)))
+    assert groups(found) == want and 12 < len(want) < 80
+    assert len(simhash._joined(0, 0, np.zeros(96, int), ids, roots, words)) == len(set(roots.tolist())) - len(want)
+
+
 def test_bits_differ_by_the_angle():
     rng = np.random.default_rng(6)
     a = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
