@@ -21,6 +21,8 @@ MEET = 16384
 VISITS = 32
 #: Vectors that are compared with their block's pivots in one task, and at once.
 SLICE, AT_ONCE = 8192, 512
+#: Vectors of a tile that are multiplied at once with some of another: their products stay in the processor's cache.
+COLUMNS = 2048
 #: Vectors to a pivot, at least, and pivots of a block, at most: one task chooses them, from so many times their number.
 SHARE, PIVOTS, SAMPLE = 32, 4096, 4
 #: Radians that rounding may move an angle by.
@@ -113,6 +115,40 @@ def _meetings(vectors: DataFrame, threshold: float, tile: int) -> DataFrame:
     return meeting.select("block", "cell", "lo", "hi", "t", "id", "vec", "angle", "resident", "theta")
 
 
+def _comparing(a: np.ndarray, b: np.ndarray, threshold: float):
+    """A function of ranges (begin, end, first, last) of rows of a and b: places and products of those with a product >= threshold.
+
+    Single floats, whose error is bounded by the lengths, tell which pairs can reach the threshold; those alone are multiplied as
+    doubles. Where many do, or numbers are too large for that, all are.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        lengths = np.linalg.norm(a, axis=1).max() * np.linalg.norm(b, axis=1).max()
+        # Of d products and their sum, and of rounding both factors; numbers under the least single float add d * 1e-37 at most.
+        least = np.float32(threshold - lengths * (a.shape[1] + 8) * 1.2e-7 - a.shape[1] * 1e-37) if np.isfinite(threshold) else np.float32("nan")
+        least = np.nextafter(least, np.float32("-inf"))
+        single = bool(max(np.abs(a).max(initial=0), np.abs(b).max(initial=0)) < 1e15 and np.isfinite(least))
+        left, right = (x.astype(np.float32) for x in (a, b)) if single else (a, b)
+
+    def compared(begin: int, end: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = []
+        for at in range(first, last, COLUMNS):
+            upto = min(at + COLUMNS, last)
+            near = np.flatnonzero(left[begin:end] @ right[at:upto].T >= least) if single else None
+            if near is None or len(near) * 16 > (end - begin) * (upto - at):
+                score = (a[begin:end] @ b[at:upto].T).ravel()
+                near = np.flatnonzero(score >= threshold)
+                score = score[near]
+                i, j = np.divmod(near, upto - at)
+            else:
+                i, j = np.divmod(near, upto - at)
+                score = np.einsum("ij,ij->i", a[begin + i], b[at + j])
+                i, j, score = (z[score >= threshold] for z in (i, j, score))
+            found.append((i, j + (at - first), score))
+        return tuple(np.concatenate(z) for z in zip(*found))
+
+    return compared
+
+
 def _products(frame: pd.DataFrame, threshold: float) -> Iterator[tuple[dict, int]]:
     """Pairs found, and products made, some rows of a meeting at a time: by their angle to the pivot, each with those at most theta away.
     Residents of one tile meet all of the other, visitors its residents only."""
@@ -125,18 +161,17 @@ def _products(frame: pd.DataFrame, threshold: float) -> Iterator[tuple[dict, int
         if not len(left) or not len(right):
             continue
         (a, x, p), (b, y, q) = ((np.stack(f["vec"].to_numpy()).astype(np.float64), f["id"].to_numpy(), f["angle"].to_numpy()) for f in (left, right))
-        triangle = lo == hi and k == 0
+        triangle, compared = lo == hi and k == 0, _comparing(a, b, threshold)
         for begin in range(0, len(a), 128):
             end = min(begin + 128, len(a))
             first, last = int(np.searchsorted(q, p[begin] - theta, "left")), int(np.searchsorted(q, p[end - 1] + theta, "right"))
             first = max(first, begin) if triangle else first
             if first >= last:
                 continue
-            score = a[begin:end] @ b[first:last].T
-            i, j = np.nonzero(score >= threshold)
+            i, j, score = compared(begin, end, first, last)
             m, n = x[begin + i], y[first + j]
             once = (m != n) & (begin + i < first + j) if triangle else m != n
-            yield {"a": np.minimum(m, n)[once], "b": np.maximum(m, n)[once], "score": score[i, j][once]}, (end - begin) * (last - first)
+            yield {"a": np.minimum(m, n)[once], "b": np.maximum(m, n)[once], "score": score[once]}, (end - begin) * (last - first)
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = R.NEAR_DUPLICATE, tile: int = TILE) -> DataFrame:

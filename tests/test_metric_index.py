@@ -111,6 +111,36 @@ def test_links_reach_what_pairs_reach(spark, monkeypatch, meet, visits):
     assert got == want and len(set(want.values())) > 40
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-25, 3e14, 1e30])
+@pytest.mark.parametrize("threshold", [0.3, 0.999999, 0.0, -2.0])
+def test_products_equal_those_of_doubles(monkeypatch, threshold, scale):
+    """Products just at the threshold, many, few and none of a block, numbers that single floats can't hold."""
+    monkeypatch.setattr(clusters, "COLUMNS", 32)
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(150, 24))
+    v = np.concatenate([v, v[:40] + rng.normal(size=(40, 24)) * 1e-6, np.repeat(v[:1], 60, axis=0)])
+    v = v / np.linalg.norm(v, axis=1, keepdims=True) * scale
+    a, b = v[:120], v[90:]
+    exact = a @ b.T
+    wanted = threshold * scale * scale
+    i, j, score = clusters._comparing(a, b, wanted)(16, 110, 5, 150)
+    part, near = exact[16:110, 5:150], np.abs(exact[16:110, 5:150] - wanted) <= 1e-14 * scale * scale
+    found = np.zeros(part.shape, bool)
+    found[i, j] = True
+    assert len(i) == found.sum() and ((found == (part >= wanted)) | near).all()
+    assert np.allclose(score, part[i, j], rtol=1e-12, atol=1e-14 * scale * scale)
+
+
+def test_few_products_are_made_of_doubles(monkeypatch):
+    """Unrelated vectors: all products were made of doubles, in blocks larger than the cache."""
+    made, einsum = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda *x: made.append(len(x[1])) or einsum(*x))
+    v = np.random.default_rng(12).normal(size=(5000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    i, _, _ = clusters._comparing(v, v, 0.6)(0, 128, 0, 5000)
+    assert len(made) == 3 and len(i) <= sum(made) < 200
+
+
 @pytest.mark.parametrize(("meet", "visits"), [(16, 0), (16384, 32)])
 def test_stars_reach_what_pairs_reach(spark, monkeypatch, meet, visits):
     """Chains of vectors, whose trees of pairs are deep: in one meeting each leads to its least id at once."""
